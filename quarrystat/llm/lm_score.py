@@ -5,11 +5,13 @@ With c(x) the count of an n-gram over all other documents, a word w after contex
     backoff * score(w | shorter context)   otherwise, and at last  max(c(w), 1) / (words of all other documents, 1 at least).
 A document's score is the mean natural logarithm over its words; words are space-separated, A-Z lower-cased.
 
-The count tables and the exploded n-grams meet in one relational step, partitioned by n-gram hash. A task sends, for each
-bucket of hashes, its distinct n-grams with counts; a bucket adds them up (the count table) and answers each sender with
-the totals of just its n-grams (the join); a document chunk and its answers are co-grouped and summed by document. Hashes
-travel as transposed bytes of sorted 64-bit keys, so that shuffle compression removes their common high bytes. Chunks
-and buckets are sized from the corpus, so no task grows with it, and a frequent n-gram is one key for each sender.
+The count tables and the exploded n-grams meet in one relational step, partitioned by n-gram hash. Documents are first
+written in units of about ``unit_chars`` characters. A unit sends its distinct n-grams with counts to buckets, which are
+ranges of the hash; a bucket adds up what all units sent (its part of the count table) and answers each unit with the
+totals of just the n-grams it sent (the join); a unit and its answers are co-grouped and summed by document. An answer
+needs no keys, as a unit's distinct n-grams in hash order are the same again. Hashes travel as transposed bytes of sorted
+64-bit keys, so that shuffle compression removes their common high bytes. Units and buckets have fixed sizes, so no task
+grows with the corpus, and a frequent n-gram is one key for each unit.
 
 Defined results: null text, or text without words, has n_words 0 and a null score; repeated rows each count and each get a
 score; rows with null doc_id are scored like others; an empty table gives an empty result.
@@ -26,19 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import space_words
-from quarrystat.llm.texthash import chunks, hashed_words, mix
+from quarrystat.llm.common import materialize
+from quarrystat.llm.texthash import chunks, count_words, hashed_words, mix
 
 
 @dataclass(frozen=True)
 class Model:
     order: int = 2
     backoff: float = 0.4
-    #: Characters of text in a co-grouped chunk, and in what one hash bucket counts.
-    chunk_chars: int = 24_000_000
+    #: Characters of text in a unit, and in what one hash bucket counts.
+    unit_chars: int = 24_000_000
     bucket_chars: int = 4_000_000
-    #: Characters that a task gathers before it sends its n-grams.
-    send_chars: int = 32_000_000
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -57,106 +57,130 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-SENT = "chunk int, sender long, bucket int, keys binary, counts binary"
+UNIT = "unit long, chars long, words long, docs binary"
+SENT = "unit long, bucket int, keys binary, counts binary"
+
+
+def _units(cfg: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            words = sum(count_words(t) for b in held for t in b.column(1).to_pylist())
+            number += 1
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([size]), pa.array([words]), pa.array([zstandard.ZstdCompressor(3).compress(sink.getvalue())], pa.binary())],
+                ["unit", "chars", "words", "docs"],
+            )
+            held, size = [], 0
+            return row
+
+        for batch in batches:
+            n = np.cumsum([len(t or "") for t in batch.column(1).to_pylist()])
+            at = 0
+            while at < len(n):
+                start = n[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(n, start + cfg.unit_chars - size, "right")))
+                held.append(batch.slice(at, end - at))
+                size += int(n[end - 1] - start)
+                at = end
+                if size >= cfg.unit_chars or at < len(n):
+                    yield close()
+        if held:
+            yield close()
+
+    return run
+
+
+def _texts(blob: bytes) -> tuple[pa.ChunkedArray, list[str | None]]:
+    import zstandard
+
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+    return table.column(0), table.column(1).to_pylist()
 
 
 def _of_document(h: np.ndarray, order: int) -> list[np.ndarray]:
     return [ngrams(h, n) for n in range(1, order + 1) if len(h) >= n]
 
 
-def _send(cfg: Model, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _documents(texts: list[str | None]) -> Iterator[np.ndarray]:
+    for lo, hi in chunks(texts):
+        h, off = hashed_words(texts[lo:hi])
+        for d in range(hi - lo):
+            yield h[off[d] : off[d + 1]]
 
-        held: dict[int, list[np.ndarray]] = {}
-        size, number = 0, TaskContext.get().partitionId() << 20
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            for chunk, parts in held.items():
-                number += 1
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                # buckets are ranges of the hash, so sorted keys fall into runs
+def _send(cfg: Model, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                grams = [g for h in _documents(_texts(blob.as_py())[1]) for g in _of_document(h, cfg.order)]
+                if not grams:
+                    continue
+                keys, counts = np.unique(np.concatenate(grams), return_counts=True)
                 place = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 ends = np.concatenate((cut[1:], [len(keys)]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([chunk] * len(cut), pa.int32()),
-                        pa.array([number] * len(cut), pa.int64()),
+                        pa.array([unit] * len(cut), pa.int64()),
                         pa.array(place[cut].astype(np.int32)),
                         pa.array([pack(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()),
-                        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                        pa.array([pack(counts[a:b]) for a, b in zip(cut, ends)], pa.binary()),
                     ],
-                    ["chunk", "sender", "bucket", "keys", "counts"],
+                    ["unit", "bucket", "keys", "counts"],
                 )
-            held.clear()
-
-        for batch in batches:
-            texts, to = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                h, off = hashed_words(texts[lo:hi])
-                for d in range(hi - lo):
-                    if off[d + 1] > off[d]:
-                        held.setdefault(to[lo + d], []).extend(_of_document(h[off[d] : off[d + 1]], cfg.order))
-                size += sum(len(t or "") for t in texts[lo:hi])
-                if size > cfg.send_chars:
-                    yield from flush()
-                    size = 0
-        yield from flush()
 
     return run
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """A hash bucket: adds up what all senders count, and answers each with the totals of its keys."""
+    """A hash bucket: adds up what all units count, and answers each with the totals of its keys, in their order."""
     keys = [unpack(b) for b in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(b, dtype="<u4") for b in table.column("counts").to_pylist()]
+    counts = [unpack(b) for b in table.column("counts").to_pylist()]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(counts), minlength=len(every))
-    told = total[where].astype("<u8")
+    told = np.bincount(where, weights=np.concatenate(counts), minlength=len(every))[where]
     at = np.cumsum([0, *map(len, keys)])
-    return pa.table(
-        {
-            "chunk": table.column("chunk"),
-            "keys": table.column("keys"),
-            "totals": pa.array([pack(told[a:b]) for a, b in zip(at, at[1:])], pa.binary()),
-        }
-    )
+    totals = pa.array([pack(told[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+    return pa.table({"unit": table.column("unit"), "bucket": table.column("bucket"), "totals": totals})
 
 
 def _score(cfg: Model, words: int):
     log_backoff = math.log(cfg.backoff)
 
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, ids = docs.column("text").to_pylist(), docs.column("doc_id")
-        if answers.num_rows:
-            keys = np.concatenate([unpack(b) for b in answers.column("keys").to_pylist()])
-            totals = np.concatenate([unpack(b) for b in answers.column("totals").to_pylist()])
-            order = np.argsort(keys, kind="stable")
-            keys, totals = keys[order], totals[order].astype(np.int64)
+    def run(key: tuple, units: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts = _texts(units.column("docs")[0].as_py())
+        docs = [_of_document(h, cfg.order) for h in _documents(texts)]
+        keys = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(g for d in docs for g in d)]))
+        answers = answers.sort_by("bucket").column("totals").to_pylist()
+        totals = np.concatenate([np.zeros(0, dtype=np.int64), *(unpack(b).astype(np.int64) for b in answers)])
+        if len(totals) != len(keys):
+            raise ValueError("a unit's answers don't fit its n-grams")
         n_words, sums = [], []
-        for lo, hi in chunks(texts):
-            h, off = hashed_words(texts[lo:hi])
-            for d in range(hi - lo):
-                w = h[off[d] : off[d + 1]]
-                n_words.append(len(w))
-                if not len(w):
-                    sums.append(None)
-                    continue
-                rest = []  # for each order, counts in other documents, by start
-                for g in _of_document(w, cfg.order):
-                    u, inverse, own = np.unique(g, return_inverse=True, return_counts=True)
-                    rest.append((totals[np.searchsorted(keys, u)] - own)[inverse])
-                score = np.log(np.maximum(rest[0], 1)) - math.log(max(words - len(w), 1))
-                for n in range(2, len(rest) + 1):
-                    # n-gram i predicts word i + n - 1 from the (n-1)-gram that starts at i
-                    full, context = rest[n - 1], rest[n - 2][: len(rest[n - 1])]
-                    seen = full > 0
-                    score[n - 1 :] = np.where(
-                        seen, np.log(np.maximum(full, 1)) - np.log(np.maximum(context, 1)), log_backoff + score[n - 1 :]
-                    )
-                sums.append(float(score.sum() / len(w)))
+        for grams in docs:
+            n_words.append(len(grams[0]) if grams else 0)
+            if not grams:
+                sums.append(None)
+                continue
+            rest = []  # for each order, counts in other documents, by start
+            for g in grams:
+                u, inverse, own = np.unique(g, return_inverse=True, return_counts=True)
+                rest.append((totals[np.searchsorted(keys, u)] - own)[inverse])
+            score = np.log(np.maximum(rest[0], 1)) - math.log(max(words - n_words[-1], 1))
+            for n in range(2, len(rest) + 1):
+                # n-gram i predicts word i + n - 1 from the (n-1)-gram that starts at i
+                full, context = rest[n - 1], rest[n - 2][: len(rest[n - 1])]
+                told = np.log(np.maximum(full, 1)) - np.log(np.maximum(context, 1))
+                score[n - 1 :] = np.where(full > 0, told, log_backoff + score[n - 1 :])
+            sums.append(float(score.sum() / n_words[-1]))
         return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "lm_score": pa.array(sums, pa.float64())})
 
     return run
@@ -164,19 +188,17 @@ def _score(cfg: Model, words: int):
 
 def score(docs: DataFrame, cfg: Model = Model()) -> DataFrame:
     """One row for each document: doc_id, n_words, lm_score (mean log score of a word; null without words)."""
-    spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    total = plain.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.size(space_words(F.col("text")))).alias("words")).first()
-    chars, words = total["chars"] or 0, total["words"] or 0
-    n_chunks, n_buckets = max(1, -(-chars // cfg.chunk_chars)), max(1, -(-chars // cfg.bucket_chars))
-    placed = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
-    sent = placed.select("text", "chunk").mapInArrow(_send(cfg, n_buckets), SENT)
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk int, keys binary, totals binary")
+    units = materialize(plain.mapInArrow(_units(cfg), UNIT), "units")
+    total = units.agg(F.sum("chars").alias("chars"), F.sum("words").alias("words")).first()
+    buckets = max(1, -(-(total["chars"] or 0) // cfg.bucket_chars))
+    sent = units.select("unit", "docs").mapInArrow(_send(cfg, buckets), SENT)
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "unit long, bucket int, totals binary")
     return (
-        placed.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_score(cfg, words), "doc_id long, n_words long, lm_score double")
+        units.select("unit", "docs")
+        .groupBy("unit")
+        .cogroup(answers.groupBy("unit"))
+        .applyInArrow(_score(cfg, total["words"] or 0), "doc_id long, n_words long, lm_score double")
     )
 
 

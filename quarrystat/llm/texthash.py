@@ -60,6 +60,14 @@ def space_table() -> np.ndarray:
     return out
 
 
+def count_words(text: str | None) -> int:
+    """Number of space-separated words."""
+    if not text:
+        return 0
+    word = space_table()[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    return int(word[0]) + int(np.count_nonzero(word[1:] & ~word[:-1]))
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts hold about CHUNK_BYTES together; a longer text stands alone."""
     at, held = 0, 0

@@ -17,9 +17,11 @@ a null doc_id comes first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +38,20 @@ from quarrystat.llm.wavelet import WaveletMatrix, encode
 class Output:
     tokenizer: str
     end_id: int = 0
-    bits: int = 16
     shard_tokens: int = 1_000_000
     #: Pieces in each of the two generations of the cache.
-    cached: int = 250_000
-    batch_chars: int = 2_000_000
+    cached: int = 500_000
+    batch_chars: int = 4_000_000
 
 
 #: White space that the tokenizer's pattern or Python knows, other than space and newline.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 CUT = "\x01"
+MARKED = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)")
 
 
 class Encoder:
-    """A tokenizer with a bounded cache of pieces; ids as little-endian bytes of ``width``."""
+    """A tokenizer with a bounded cache of pieces; ids as little-endian bytes."""
 
     def __init__(self, cfg: Output):
         import os
@@ -59,8 +61,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(cfg.tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.cfg, self.kind = cfg, "<u2" if cfg.bits <= 16 else "<u4"
-        self.new: dict[str, bytes] = {}
+        self.cfg = cfg
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        # byte-level letters: printable bytes stand for themselves, the others for code points from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        if {chr(self.letters.get(b, b)) for b in range(256)} != set(ByteLevel.alphabet()):
+            raise ValueError("the tokenizer's byte alphabet is not the known one")
+        self.fixed = {"": b"", " ": self._ids([" "])[0], "\n": self._ids(["\n"])[0]}
+        (self.newline,) = np.frombuffer(self.fixed["\n"], dtype=self.kind).tolist()
+        self.new: dict[str, bytes] = dict(self.fixed)
         self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -76,20 +89,46 @@ class Encoder:
             return None
         return text.replace("\n", f"{CUT}\n{CUT}").replace(" ", f"{CUT} ").split(CUT)
 
+    def _learn(self, missing: list[str]) -> None:
+        """Add pieces to the cache. Letters with or without one space before them are one pre-token, which goes to the
+        model at once in byte-level form, and marks after them are another; other pieces are encoded as the lines of one
+        text, a newline being a token of its own."""
+        new, tokenize, kind = self.new, self.tokenizer.model.tokenize, self.kind
+        split = [(w, m[1], m[2]) for w in missing if (m := MARKED.fullmatch(w)) and m[1].removeprefix(" ").isalpha()]
+        parts = {p for _, a, b in split for p in (a, b)}
+        todo = (parts - new.keys()).union(missing).difference(w for w, *_ in split)
+        words = [w for w in todo if w.removeprefix(" ").isalpha()]
+        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(self.letters))] for w in words]
+        raw = np.array(list(chain.from_iterable(ids)), dtype=kind).tobytes()
+        width = np.dtype(kind).itemsize
+        ends = (np.cumsum(list(map(len, ids)), dtype=np.int64) * width).tolist()
+        new.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+        if lines := list(todo.difference(words)):
+            found = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids
+            found = np.array(found, dtype=kind)
+            cut = np.flatnonzero(found == self.newline)
+            if len(cut) + 1 != len(lines):
+                raise ValueError("pieces and encoded lines differ in number")
+            starts, ends, raw = [0, *(cut + 1).tolist()], [*cut.tolist(), len(found)], found.tobytes()
+            new.update((t, raw[a * width : b * width]) for t, a, b in zip(lines, starts, ends))
+        new.update((w, new[a] + new[b]) for w, a, b in split)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         whole = [i for i, c in enumerate(cut) if c is None]
-        wanted = set().union(*[c for c in cut if c is not None])
-        if len(self.new) + len(wanted) > self.cfg.cached:
-            self.old, self.new = self.new, {}
-        missing = []
-        for w in wanted - self.new.keys():
-            if (b := self.old.get(w)) is not None:
-                self.new[w] = b
-            else:
-                missing.append(w)
-        self.new.update(zip(missing, self._ids(missing)))
-        out = [b"" if c is None else b"".join(map(self.new.__getitem__, c)) for c in cut]
+        ends = np.cumsum([0 if c is None else len(c) for c in cut]).tolist()
+        flat = list(chain.from_iterable(c for c in cut if c is not None))
+        found = list(map(self.new.get, flat))
+        gaps = [i for i, b in enumerate(found) if b is None]
+        unknown = {flat[i] for i in gaps}
+        if len(self.new) + len(unknown) > self.cfg.cached:
+            self.old, self.new = self.new, dict(self.fixed)
+        known = unknown & self.old.keys()
+        self.new.update(zip(known, map(self.old.__getitem__, known)))
+        self._learn(list(unknown - known))
+        for i in gaps:
+            found[i] = self.new[flat[i]]
+        out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
         for i, b in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = b
         return out
@@ -120,7 +159,7 @@ def _write(cfg: Output):
         def close() -> pa.RecordBatch:
             nonlocal ids, parts, size, shard
             tokens = np.frombuffer(b"".join(parts), dtype=enc.kind)
-            blob = encode(tokens, cfg.bits, ids, [len(p) // width for p in parts])
+            blob = encode(tokens, ids, [len(p) // width for p in parts])
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([blob], pa.binary())],
                 ["part", "shard", "n_tokens", "blob"],
@@ -165,7 +204,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             wm = WaveletMatrix(blob.as_buffer().to_pybytes())
-            tokens = wm.tokens().astype("<u4")
+            tokens = wm.tokens()
             ends = np.cumsum(wm.counts)
             starts = ends - wm.counts
             view = memoryview(tokens).cast("B")
