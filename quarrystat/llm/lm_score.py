@@ -37,7 +37,7 @@ class Model:
     order: int = 2
     backoff: float = 0.4
     #: Characters of text in a unit, and in what one hash bucket counts.
-    unit_chars: int = 24_000_000
+    unit_chars: int = 10_000_000
     bucket_chars: int = 4_000_000
 
 
