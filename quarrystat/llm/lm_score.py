@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.llm.common import materialize
-from quarrystat.llm.texthash import chunks, count_words, hashed_words, mix
+from quarrystat.llm.texthash import chunks, count_words, hashed_words, mix, trim
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Model:
     order: int = 2
     backoff: float = 0.4
     #: Characters of text in a unit, and in what one hash bucket counts.
-    unit_chars: int = 10_000_000
+    unit_chars: int = 8_000_000
     bucket_chars: int = 4_000_000
 
 
@@ -138,6 +138,8 @@ def _send(cfg: Model, buckets: int):
                     ],
                     ["unit", "bucket", "keys", "counts"],
                 )
+                del grams, keys, counts, place
+                trim()
 
     return run
 
@@ -150,6 +152,8 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     told = np.bincount(where, weights=np.concatenate(counts), minlength=len(every))[where]
     at = np.cumsum([0, *map(len, keys)])
     totals = pa.array([pack(told[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+    del keys, counts, every, where, told
+    trim()
     return pa.table({"unit": table.column("unit"), "bucket": table.column("bucket"), "totals": totals})
 
 
@@ -181,6 +185,8 @@ def _score(cfg: Model, words: int):
                 told = np.log(np.maximum(full, 1)) - np.log(np.maximum(context, 1))
                 score[n - 1 :] = np.where(full > 0, told, log_backoff + score[n - 1 :])
             sums.append(float(score.sum() / n_words[-1]))
+        del docs, keys, totals, texts
+        trim()
         return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "lm_score": pa.array(sums, pa.float64())})
 
     return run

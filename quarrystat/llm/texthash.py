@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def worker_cache() -> dict:
@@ -20,6 +21,17 @@ def worker_cache() -> dict:
     return pyspark.__dict__.setdefault("_quarrystat_cache", {})
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _tables(n: int) -> dict:
     """Byte table and powers of an odd base and of its inverse, at least n of them."""
     cache = worker_cache()
