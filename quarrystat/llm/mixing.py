@@ -14,7 +14,7 @@ Only DataFrame functions are used. The tree, a row for each leaf, is joined to t
 ``MAX_BROADCAST_LEAVES`` leaves and by key beyond that.
 
 Defined results: null domain, lang or source is a node of its own; null or empty text has no tokens and rides along free
-of charge where its place in the order falls in the prefix; equal doc_ids are told apart by the text's md5 and stay
+of charge where its place in the order falls in a started epoch's prefix; equal doc_ids are told apart by the text's md5 and stay
 together if equal; an empty table or a budget of 0 gives an empty result.
 """
 
@@ -140,7 +140,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), keep: list[str] | None = No
     # A document is in the prefix if its key is below the cut bucket or up to the last key that fits in it.
     ends = materialize(
         leaves.join(cut, ["d", "l", "s"], "left").join(last, ["d", "l", "s"], "left").select(
-            *[F.col(c).alias(f"{p}e_{c}") for c in ("d", "l", "s")], "full", F.greatest("cut", "last").alias("end"),
+            *[F.col(c).alias(f"{p}e_{c}") for c in ("d", "l", "s")], "full", F.when(F.col("rest") > 0, F.greatest("cut", "last")).alias("end"),
         ).withColumnsRenamed({"full": f"{p}full", "end": f"{p}end"}),
         "ends",
     )

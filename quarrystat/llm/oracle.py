@@ -163,8 +163,8 @@ k AS (
   SELECT r.*, b // tokens AS whole, b % tokens AS rest, md5('17|' || (b // tokens)::VARCHAR || '|' || id || '|' || x) AS k
   FROM r JOIN bs USING (d, l, s)),
 o AS (SELECT *, sum(t) OVER (PARTITION BY d, l, s ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM k)
-SELECT doc_id, d AS domain, l AS lang, s AS source, t AS n_tokens, (whole + (cum <= rest)::INT)::BIGINT AS copies
-FROM o WHERE whole + (cum <= rest)::INT > 0
+SELECT doc_id, d AS domain, l AS lang, s AS source, t AS n_tokens, (whole + (rest > 0 AND cum <= rest)::INT)::BIGINT AS copies
+FROM o WHERE whole + (rest > 0 AND cum <= rest)::INT > 0
 """
 
 SQL: dict[str, str] = {
