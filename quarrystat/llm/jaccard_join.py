@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from quarrystat.llm.common import materialize
 from quarrystat.llm.components import components
-from quarrystat.llm.texthash import mix, shingles
+from quarrystat.llm.texthash import mix, shingles, trim
 
 
 @dataclass(frozen=True)
@@ -87,6 +87,7 @@ def _signatures(cfg: Join):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())],
                 ["doc_id", "n", "f1", "f2"],
             )
+            trim()
 
     return run
 
@@ -128,6 +129,8 @@ def _entries(cfg: Join):
                     ],
                     ["tok", "f1", "n", "held"],
                 )
+            del toks
+            trim()
 
     return run
 
@@ -319,6 +322,8 @@ def _verify(cfg: Join):
         links = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
         edge, linked = np.flatnonzero(star != np.arange(len(ids))), np.flatnonzero(links)
         zero = np.zeros(len(edge), dtype=np.int64)
+        del sets
+        trim()
         return pa.table(
             {
                 "u": np.concatenate((ids[edge], ids[linked])),

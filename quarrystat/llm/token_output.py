@@ -40,7 +40,7 @@ class Output:
     end_id: int = 0
     shard_tokens: int = 1_000_000
     #: Pieces in each of the two generations of the cache.
-    cached: int = 500_000
+    cached: int = 300_000
     batch_chars: int = 4_000_000
 
 
@@ -69,6 +69,7 @@ class Encoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.letters[0x20])
         if {chr(self.letters.get(b, b)) for b in range(256)} != set(ByteLevel.alphabet()):
             raise ValueError("the tokenizer's byte alphabet is not the known one")
         self.fixed = {"": b"", " ": self._ids([" "])[0], "\n": self._ids(["\n"])[0]}
@@ -98,7 +99,10 @@ class Encoder:
         parts = {p for _, a, b in split for p in (a, b)}
         todo = (parts - new.keys()).union(missing).difference(w for w, *_ in split)
         words = [w for w in todo if w.removeprefix(" ").isalpha()]
-        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(self.letters))] for w in words]
+        shown = lambda w: (
+            w.replace(" ", self.space) if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+        )
+        ids = [[t.id for t in tokenize(shown(w))] for w in words]
         raw = np.array(list(chain.from_iterable(ids)), dtype=kind).tobytes()
         width = np.dtype(kind).itemsize
         ends = (np.cumsum(list(map(len, ids)), dtype=np.int64) * width).tolist()
