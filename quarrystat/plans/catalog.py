@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quarrystat.operators import process  # noqa: F401
+from quarrystat.operators import graph, learning, process, queueing, recursions, relational, statistics  # noqa: F401

@@ -25,6 +25,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def add_plan(name: str, plan) -> None:
+    """Register a declarative plan with its SQL."""
+    register(name, plan.sql())(plan.df)
+
+
 def _load() -> None:
     from quarrystat.plans import catalog  # noqa: F401
 
