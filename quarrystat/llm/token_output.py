@@ -40,7 +40,7 @@ class Output:
     end_id: int = 0
     shard_tokens: int = 1_000_000
     #: Pieces in each of the two generations of the cache.
-    cached: int = 300_000
+    cached: int = 400_000
     batch_chars: int = 4_000_000
 
 
@@ -95,9 +95,10 @@ class Encoder:
         model at once in byte-level form, and marks after them are another; other pieces are encoded as the lines of one
         text, a newline being a token of its own."""
         new, tokenize, kind = self.new, self.tokenizer.model.tokenize, self.kind
-        split = [(w, m[1], m[2]) for w in missing if (m := MARKED.fullmatch(w)) and m[1].removeprefix(" ").isalpha()]
-        parts = {p for _, a, b in split for p in (a, b)}
-        todo = (parts - new.keys()).union(missing).difference(w for w, *_ in split)
+        ended = [w for w in missing if not w[-1].isalpha()]
+        split = [(w, m[1], m[2]) for w in ended if (m := MARKED.fullmatch(w)) and m[1].removeprefix(" ").isalpha()]
+        todo = set(missing).difference([w for w, *_ in split])
+        todo.update(p for _, a, b in split for p in (a, b) if p not in new)
         words = [w for w in todo if w.removeprefix(" ").isalpha()]
         shown = lambda w: (
             w.replace(" ", self.space) if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
@@ -107,7 +108,8 @@ class Encoder:
         width = np.dtype(kind).itemsize
         ends = (np.cumsum(list(map(len, ids)), dtype=np.int64) * width).tolist()
         new.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
-        if lines := list(todo.difference(words)):
+        if len(words) < len(todo):
+            lines = list(todo.difference(words))
             found = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids
             found = np.array(found, dtype=kind)
             cut = np.flatnonzero(found == self.newline)
