@@ -66,7 +66,7 @@ def _pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("graph_k_core")
 def _core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k_core(_supply(spark, sf_dir), 3)(_supply(spark, sf_dir), 30)
+    return k_core(_supply(spark, sf_dir), 3)
 
 
 _EDGES = """e AS (SELECT DISTINCT o_custkey AS src, -l_suppkey - 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
