@@ -224,7 +224,7 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, weight:
     _, part = np.unique(heads, return_inverse=True)
     parts = int(part.max()) + 1
     bound = np.zeros((m, parts), dtype=np.float32)
-    block = max(256, 24_000_000 // max(m, 1))
+    block = max(256, 6_000_000 // max(m, 1))
     cuts = np.searchsorted(col, np.arange(0, width + block, block))
     for b in range(len(cuts) - 1):
         lo, hi = cuts[b], cuts[b + 1]

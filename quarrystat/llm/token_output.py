@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrystat.llm.common import materialize
-from quarrystat.llm.texthash import worker_cache
+from quarrystat.llm.texthash import trim, worker_cache
 from quarrystat.llm.wavelet import WaveletMatrix, encode
 
 
@@ -40,8 +40,8 @@ class Output:
     end_id: int = 0
     shard_tokens: int = 1_000_000
     #: Pieces in each of the two generations of the cache.
-    cached: int = 400_000
-    batch_chars: int = 4_000_000
+    cached: int = 120_000
+    batch_chars: int = 2_000_000
 
 
 #: White space that the tokenizer's pattern or Python knows, other than space and newline.
@@ -190,6 +190,7 @@ def _write(cfg: Output):
                 lo = hi
         if ids:
             yield close()
+        trim()
 
     return run
 
@@ -219,6 +220,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(wm.doc_ids, pa.int64()), pa.array(starts + start), pa.array(wm.counts), pa.array(crc, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
+        trim()
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
