@@ -35,7 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.digest(docs, token_config())
+    # fewer cached pieces than alone: workers that served earlier stages hold memory too
+    return token_output.digest(docs, token_config(cached=120_000))
 
 
 STAGES = [

@@ -31,8 +31,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_config() -> token_output.Output:
-    return token_output.Output(tokenizer_path())
+def token_config(**more: int) -> token_output.Output:
+    return token_output.Output(tokenizer_path(), **more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
