@@ -79,6 +79,10 @@ class Plan:
     def union(self, other: Plan) -> Plan:
         return self._with("union", other)
 
+    def each(self, name: str, low: int, high: int) -> Plan:
+        """One row for each whole number of a constant range."""
+        return self._with("each", name, low, high)
+
     def top(self, order: str, n: int) -> Plan:
         return self._with("top", order, n)
 
@@ -102,6 +106,8 @@ class Plan:
                 out = out.join(x[0].df(spark, sf_dir), F.expr(_spark(x[1])), x[2])
             elif kind == "union":
                 out = out.unionByName(x[0].df(spark, sf_dir))
+            elif kind == "each":
+                out = out.selectExpr("*", f"explode(sequence({x[1]}L, {x[2]}L)) AS {x[0]}")
             else:
                 out = out.orderBy(*[F.expr(o.removesuffix(" DESC")).desc() if o.endswith(" DESC") else F.expr(o).asc() for o in x[0].split(", ")]).limit(x[1])
         return out
@@ -128,6 +134,8 @@ class Plan:
                 out = f"SELECT * FROM ({out}) {x[2].upper()} JOIN ({x[0].sql()}) ON {_duck(x[1])}"
             elif kind == "union":
                 out = f"({out}) UNION ALL BY NAME ({x[0].sql()})"
+            elif kind == "each":
+                out = f"SELECT *, unnest(generate_series({x[1]}, {x[2]})) AS {x[0]} FROM ({out})"
             else:
                 out = f"SELECT * FROM ({out}) ORDER BY {x[0]} LIMIT {x[1]}"
         return out
