@@ -17,7 +17,7 @@ events = table("events")
 
 def buckets(unit: str) -> Plan:
     """Count n, mean v and position i of each bucket; size is the number of buckets."""
-    found = events.add(h=f"date_trunc('{unit}', ts)").agg("event_type", "h", n="count(*)", v="round(avg(value), 6)")
+    found = events.add(h=f"date_trunc('{unit}', ts)").agg("event_type", "h", n="count(*)", v="round(avg(value), 9)")
     return found.add(i=f"CAST(row_number() {BY} AS BIGINT)", size=f"count(*) {ALL}", mn=f"avg(n) {ALL}", mv=f"avg(v) {ALL}", sn=f"stddev_pop(n) {ALL}", sv=f"stddev_pop(v) {ALL}")
 
 

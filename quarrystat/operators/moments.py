@@ -48,7 +48,7 @@ strata = trial.add(k="CAST(floor(x / 5.0) AS BIGINT)").agg("k", n="count(*)", n1
 groups = items.agg("l_linestatus", "l_returnflag", n="count(*)", m="avg(l_quantity)", v="var_samp(l_quantity)")
 two = items.agg(**{f"{s}{g}": f"{f}(CASE WHEN l_linestatus = '{g}' THEN l_quantity END)" for g in "OF" for s, f in (("n", "count"), ("m", "avg"), ("v", "var_samp"))})
 flags = items.agg(n="count(*)", a="avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)", b="avg(CASE WHEN l_quantity > 45 THEN 1.0 ELSE 0.0 END)", ab="avg(CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 1.0 ELSE 0.0 END)").add(d="ab - a * b")
-kpi = events.agg("user_id", n="count(*)", m="round(avg(value), 6)", worst="max(value)")
+kpi = events.agg("user_id", n="count(*)", m="round(avg(value), 9)", worst="max(value)")
 ideal = kpi.agg(lm="PCT(m, 0.1)", lw="PCT(worst, 0.1)", ln_="PCT(n, 0.9)", sm="stddev_pop(m)", sw="stddev_pop(worst)", sn="stddev_pop(n)")
 gap = kpi.cross(ideal).add(gm="greatest(0.0, m - lm) / sm", gw="greatest(0.0, worst - lw) / sw", gn="greatest(0.0, ln_ - n) / sn").add(energy="gm * gm + gw * gw + gn * gn")
 ordered = kpi.agg("n", best="min(m)", c="count(*)").add(before="min(best) OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -92,7 +92,7 @@ PLANS = {
     "hick_law_pool_sizing_v1": order_size.agg(slope="round(regr_slope(pay, log2(lines + 1)), 3)", r2="round(regr_r2(pay, log2(lines + 1)), 6)"),
     "fitts_law_precision_v1": order_size.where("days > 0").agg(r2="round(power(corr(pay, log2(2 * days / q)), 2), 6)"),
     "job_shop_scheduling_bound_v1": order_size.agg(job="max(q)").cross(items.agg("l_suppkey", q="sum(l_quantity)").agg(machine="max(q)")).select(bound="greatest(job, machine)"),
-    "war_value_above_replacement_v1": kpi.cross(events.agg(mid="PCT(value, 0.5)")).select("user_id", war="round(m - mid, 6)"),
+    "war_value_above_replacement_v1": kpi.cross(events.agg(mid="PCT(value, 0.5)")).select("user_id", war="round(m - mid, 9)"),
     "irt_step_difficulty_v1": events.agg("event_type", s="CAST(sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) AS BIGINT)", n="count(*)").select("event_type", difficulty="round(-ln((s + 0.5) / (n - s + 0.5)), 6)"),
     "koopman_search_allocation_v1": events.agg("event_type", n="count(*)", cv="stddev_pop(value) / avg(value)").add(w="sqrt(n * cv)").add(share="w / sum(w) OVER ()").select("event_type", share="round(share, 6)"),
     "poisson_yield_complexity_v1": events.agg("event_type", d="avg(CASE WHEN value > 200 THEN 1.0 ELSE 0.0 END)", a="avg(CAST(length(props) AS DOUBLE))").select("event_type", yield_="round(exp(-d * a), 6)"),
