@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quarrystat.operators import buckets, edges, graph, learning, moments, process, queueing, recursions, relational, statistics  # noqa: F401
+from quarrystat.operators import buckets, edges, graph, learning, models, moments, process, queueing, recursions, relational, statistics  # noqa: F401
