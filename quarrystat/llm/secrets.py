@@ -1,9 +1,11 @@
 """Secret scans with a random forest that removes false positives.
 
-A text's space-separated words of twelve characters or more with a digit or an upper-case letter among lower-case or digit
-runs are candidates. Each candidate is described by its length, its character transitions, digits, capitals, distinct
-characters, dictionary coverage, its path form, known key prefixes and the words around it. A random forest, trained on
-labelled findings, gives each candidate the probability of being a secret.
+Every run of eight value characters or more is a candidate, wherever it stands in a text's space-separated words: whole
+values, values with the marks of passwords, and the parts of paths and dotted values. So minified JSON, CSV, query strings
+and connection strings give all of theirs; a run is scored with the name before it as its key. Each candidate is described
+by its length, its character transitions, digits, capitals, marks, distinct characters, dictionary coverage, its path form,
+known key prefixes and the words around it. A random forest, trained on labelled findings, gives each candidate the
+probability of being a secret. A password of several words counts as its words.
 
 The labelled findings are short texts made by rule from a seed (``labelled_findings``): keys, tokens and passwords in their
 usual surroundings, and look-alikes: digests, identifiers, versions, paths, card numbers, placeholders. Their number,
@@ -41,61 +43,82 @@ OTHERWISE = "sha[0-9]*|md5|checksum|digest|hash|commit|revision|uuid|guid|etag|v
 PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|eyJ|SG\\\\.|npm_|dop_v1_|hf_"
 DICTIONARY = ["access", "account", "address", "application", "article", "build", "change", "client", "code", "config", "content", "count", "data", "default", "document", "example", "file", "group", "image", "index", "item", "key", "language", "list", "local", "manager", "message", "model", "name", "number", "object", "order", "page", "password", "path", "placeholder", "product", "project", "release", "report", "request", "response", "result", "sample", "secret", "server", "service", "session", "source", "status", "string", "system", "table", "test", "text", "time", "token", "update", "user", "value", "version", "your"]
 
-CANDIDATE = "[0-9]|[a-z][A-Z]|[A-Z]{4}"
-VALUE = "([A-Za-z0-9+/_.~-]{8,}={0,2})[^A-Za-z0-9=]*$"
-
-
-def _features(words: Column, i: Column) -> Column:
-    """Struct of features of the candidate at word i, with its value."""
-    word = F.get(words, i)
-    near = F.lower(F.concat_ws(" ", F.get(words, i - 3), F.get(words, i - 2), F.get(words, i - 1)))
-
-    def of(v: Column) -> Column:
-        n = F.greatest(F.length(v), F.lit(1))
-        key = F.lower(F.substr(word, F.lit(1), F.length(word) - F.length(v)))
-        runs = v
-        for kind, mark in (("[a-z]+", "!"), ("[A-Z]+", "@"), ("[0-9]+", "#"), ("[+/_.~=-]+", "$")):
-            runs = F.regexp_replace(runs, kind, F.lit(mark.replace("$", "\\$")))
-        gone = lambda pattern, x=v: (n - F.length(F.regexp_replace(x, pattern, ""))).cast("double")
-        flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-        return F.struct(
-            v.alias("value"),
-            i.alias("at"),
-            n.cast("double").alias("length"),
-            (F.length(runs) / n).alias("transitions"),
-            (gone("[0-9]") / n).alias("digits"),
-            (gone("[A-Z]") / n).alias("capitals"),
-            (F.size(F.array_distinct(F.split(v, ""))) / n).alias("distinct"),
-            (gone("|".join(DICTIONARY), F.lower(v)) / n).alias("dictionary"),
-            gone("[/.]").alias("path"),
-            flag(v.rlike("^[0-9a-fA-F]+$")).alias("hex"),
-            flag(v.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-")).alias("uuid"),
-            flag(v.rlike(f"^(?:{PREFIXES})".replace("\\\\", "\\"))).alias("prefix"),
-            flag(key.rlike(f"(?:{TELLING})[^a-z]*$")).alias("key"),
-            flag(near.rlike(f"(?:{TELLING})")).alias("telling"),
-            flag(near.rlike(f"\\b(?:{OTHERWISE})") | key.rlike(OTHERWISE) | F.lower(v).rlike("example|sample|dummy|placeholder|changeme|your")).alias("otherwise"),
-        )
-
-    return let(F.regexp_extract(word, VALUE, 1), of)
-
-
-FEATURES = ("length", "transitions", "digits", "capitals", "distinct", "dictionary", "path", "hex", "uuid", "prefix", "key", "telling", "otherwise")
+#: Value runs of eight characters or more, from wide to narrow: with the marks of passwords, of keys and paths, and their parts.
+LOOSE = r"[A-Za-z0-9!#$%*+./@\\^_~-]{7,}[A-Za-z0-9!#$%*+/@\\^_~-](?:={1,2}(?![A-Za-z0-9]))?"
+VALUE = r"[A-Za-z0-9+/_.~-]{7,}[A-Za-z0-9+/_~-](?:={1,2}(?![A-Za-z0-9]))?"
+PART = r"(?<![A-Za-z0-9_-])(?:(?<=[/.])[A-Za-z0-9_-]{8,}+|[A-Za-z0-9_-]{8,}+(?=[/.][A-Za-z0-9+/_~-]))"
+#: Characters of the words before that count as surroundings, so that a text without spaces costs as much as its length.
+NEAR = 64
+
+
+def _features(x: Column, i: Column, near: Column) -> Column:
+    """Struct of features of the value run x (key, value) in word i, with its value."""
+    v, key = x["value"], x["key"]
+    n = F.greatest(F.length(v), F.lit(1))
+    name = F.regexp_extract(key, "[a-z0-9_-]*[^a-z0-9]*$", 0)
+    runs = v
+    for kind, mark in (("[a-z]+", "!"), ("[A-Z]+", "@"), ("[0-9]+", "#"), ("[^A-Za-z0-9!@#]+", "$")):
+        runs = F.regexp_replace(runs, kind, F.lit(mark.replace("$", "\\$")))
+    gone = lambda pattern, x=v: (n - F.length(F.regexp_replace(x, pattern, ""))).cast("double")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    return F.struct(
+        v.alias("value"),
+        i.alias("at"),
+        n.cast("double").alias("length"),
+        (F.length(runs) / n).alias("transitions"),
+        (gone("[0-9]") / n).alias("digits"),
+        (gone("[A-Z]") / n).alias("capitals"),
+        (F.size(F.array_distinct(F.split(v, ""))) / n).alias("distinct"),
+        (gone("|".join(DICTIONARY), F.lower(v)) / n).alias("dictionary"),
+        gone("[/.]").alias("path"),
+        gone(r"[!#$%*@\\^]").alias("marks"),
+        flag(v.rlike("^[0-9a-fA-F]+$")).alias("hex"),
+        flag(v.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-")).alias("uuid"),
+        flag(v.rlike(f"^(?:{PREFIXES})".replace("\\\\", "\\"))).alias("prefix"),
+        flag(name.rlike(f"(?:{TELLING})[^a-z]*$")).alias("key"),
+        flag(key.rlike("//[^/@]*:$")).alias("user"),
+        flag(near.rlike(f"(?:{TELLING})")).alias("telling"),
+        flag(near.rlike(f"\\b(?:{OTHERWISE})") | name.rlike(OTHERWISE) | F.lower(v).rlike("example|sample|dummy|placeholder|changeme|your")).alias("otherwise"),
+    )
+
+
+FEATURES = ("length", "transitions", "digits", "capitals", "distinct", "dictionary", "path", "marks", "hex", "uuid", "prefix", "key", "user", "telling", "otherwise")
+
+
+def _runs(word: Column, pattern: str, only: str | None = None) -> Column:
+    """Array of (key, value) of a word's runs in their order; the key is the run before with what lies between."""
+
+    def of(found: Column) -> Column:
+        gaps = F.split(word, pattern, -1)
+        key = lambda k: F.lower(F.right(F.concat(F.coalesce(F.get(found, k - 1), F.lit("")), F.get(gaps, k)), F.lit(NEAR)))
+        rows = F.transform(found, lambda v, k: F.struct(key(k).alias("key"), v.alias("value")))
+        return F.filter(rows, lambda x: x["value"].rlike(only)) if only else rows
+
+    return let(F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), of)
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<key:string,value:string>>")
 
 
 def candidates(text: Column) -> Column:
-    """Array of feature structs of a text's candidates, in text order."""
+    """Array of feature structs of all value runs of a text, by word."""
 
     def of(words: Column) -> Column:
-        places = F.filter(
-            F.transform(words, lambda w, i: F.when((F.length(w) >= 12) & w.rlike(CANDIDATE), i)), lambda i: i.isNotNull()
-        )
-        return F.filter(F.transform(places, lambda i: _features(words, i)), lambda f: F.length(f["value"]) >= 8)
+        def word(i: Column) -> Column:
+            w = F.get(words, i)
+            near = F.lower(F.concat_ws(" ", *[F.right(F.get(words, i - k), F.lit(NEAR)) for k in (3, 2, 1)]))
+            found = let(w, lambda w: F.concat(_runs(w, VALUE), F.when(w.rlike(r"[!#$%*@\\^]"), _runs(w, LOOSE, r"[!#$%*@\\^]")).otherwise(_none()), F.when(w.rlike("[/.]"), _runs(w, PART)).otherwise(_none())))
+            return let(near, lambda near: F.transform(found, lambda x: _features(x, i, near)))
+
+        places = F.filter(F.transform(words, lambda w, i: F.when(F.length(w) >= 8, i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(places, word))
 
     return let(space_words(text), of)
 
 
 def labelled_findings(n: int, seed: int) -> list[dict]:
-    """n short texts with one candidate each, and whether it is a secret."""
+    """n short texts with whether they hold a secret, and the secret."""
     r = random.Random(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -105,17 +128,33 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
     told = lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "access_key", "auth_token", "client_secret"])
     said = lambda: r.choice(["sha256", "md5", "commit", "checksum", "revision", "uuid", "digest", "etag", "file", "order"])
     mixed = low + up + digits
+    word = lambda: some(low, r.randint(8, 14))
+    shout = lambda: r.choice(["", "!!", "%%%", "***", "$$", ".##"])
+    hard = lambda: f"{some(up, 1)}{some(low, r.randint(2, 5))}{some(digits, 1)}{some(mixed, r.randint(4, 9))}"
+    marked = lambda: f"{some(up, 1)}{r.choice('@!#$%*^')}{some(low, r.randint(2, 4))}{some(digits, r.randint(1, 2))}{some(low, 2)}{r.choice('!#$*')}{some(digits, r.randint(2, 4))}"
+    key = lambda: r.choice([f"AKIA{some(up + '234567', 16)}", f"ghp_{some(mixed, 36)}", f"sk-{some(mixed, r.randint(32, 48))}", some(mixed, r.randint(16, 40)), hexa(r.choice([32, 40]))])
+    sure = lambda: r.choice([f"AKIA{some(up + '234567', 16)}", f"ghp_{some(mixed, 36)}", f"sk-{some(mixed, r.randint(32, 48))}"])
     true = [
-        lambda: f"{prose()} AKIA{some(up + '234567', 16)} {prose()}",
-        lambda: f"{prose()} ghp_{some(mixed, 36)} {prose()}",
-        lambda: f"{prose()} sk-{some(mixed, r.randint(32, 48))} {prose()}",
-        lambda: f'{prose()} {told()} = "{hexa(r.choice([32, 40, 64]))}" {prose()}',
-        lambda: f"{prose()} {told()}={hexa(r.randint(12, 40))} {prose()}",
-        lambda: f"{prose()} {told()}={some(mixed + '+/', r.randint(12, 40))} {prose()}",
-        lambda: f"{prose()} {told()}: {some(mixed, r.randint(16, 40))} {prose()}",
-        lambda: f"authorization: bearer eyJ{some(mixed, r.randint(30, 80))} {prose()}",
-        lambda: f"{prose()} xoxb-{some(digits, 12)}-{some(mixed, 24)} {prose()}",
-        lambda: f"{prose()} {hexa(40)} {prose()}",
+        lambda: f"{prose()} |AKIA{some(up + '234567', 16)}| {prose()}",
+        lambda: f"{prose()} |ghp_{some(mixed, 36)}| {prose()}",
+        lambda: f"{prose()} |sk-{some(mixed, r.randint(32, 48))}| {prose()}",
+        lambda: f'{prose()} {told()} = "|{hexa(r.choice([32, 40, 64]))}|" {prose()}',
+        lambda: f"{prose()} {told()}=|{hexa(r.randint(12, 40))}| {prose()}",
+        lambda: f"{prose()} {told()}=|{some(mixed + '+/', r.randint(12, 40))}| {prose()}",
+        lambda: f"{prose()} {told()}: |{some(mixed, r.randint(16, 40))}| {prose()}",
+        lambda: f"authorization: bearer |eyJ{some(mixed, r.randint(30, 80))}| {prose()}",
+        lambda: f"{prose()} |xoxb-{some(digits, 12)}-{some(mixed, 24)}| {prose()}",
+        lambda: f"{prose()} |{hexa(40)}| {prose()}",
+        lambda: f'{prose()} {{"id":{r.randint(1, 10**9)},"{told()}":"|{key()}|","user":"{word()}"}} {prose()}',
+        lambda: f"{prose()} https://{some(low, 8)}.example.com/{name('/')}?{told()}=|{key()}|&v={r.randint(1, 9)} {prose()}",
+        lambda: f"{prose()} |{sure()}|,{word()},{name('-')}-{r.randint(1, 9)} {prose()}",
+        lambda: f"{prose()} {word()},{r.randint(1, 10**9)},|{sure()}| {prose()}",
+        lambda: f"{prose()} https://{some(low, 8)}.example.com/{word()}/|{sure()}| {prose()}",
+        lambda: f"{prose()} {r.choice(['postgres', 'mysql', 'mongodb', 'amqp', 'redis'])}://{some(low, r.randint(4, 9))}:|{hard()}|@{r.choice(['db', some(low, 6)])}:{r.randint(1000, 9999)}/{some(low, 6)} {prose()}",
+        lambda: f"{prose()} {told()}=|{marked()}| {prose()}",
+        lambda: f'{prose()} {told()} = "|{marked()}|" {prose()}',
+        lambda: f"{prose()} {told()}=|{hard()}| {prose()}",
+        lambda: f"{prose()} {told()}=|{some(low, r.randint(10, 18))}| {prose()}",
     ]
     false = [
         lambda: f"{prose()} {said()} {hexa(r.choice([32, 40, 64]))} {prose()}",
@@ -135,11 +174,24 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
         lambda: f"{prose()} {'.'.join(str(r.randint(1, 255)) for _ in range(4))} {prose()}",
         lambda: f"{prose()} +{r.randint(1, 99)}-{some(digits, 3)}-{some(digits, 3)}-{some(digits, 4)} {prose()}",
         lambda: f"{prose()} {some(up, r.randint(8, 12))}!!{some(up, 4)} {prose()}",
+        lambda: f"{prose()} {word()} {word()} {some(up, 1)}{word()}. {some(up, 1)}{word()} {prose()}",
+        lambda: f"{prose()} {told()}: {word()} {word()} {prose()}",
+        lambda: f'{prose()} {{"{said()}":"{hexa(r.choice([32, 40, 64]))}","id":"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}","{name("_")}":"{word()}"}} {prose()}',
+        lambda: f"{prose()} {r.randint(1, 10**9)},{word()},20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)},{some(digits, 12)},{name('_')} {prose()}",
+        lambda: f"{prose()} https://{some(low, 8)}.example.com/{name('/')}/{word()}-{word()}?page={some(digits, 8)}&order={word()} {prose()}",
+        lambda: f"{prose()} {word()}://{some(low, 7)}.example.com:{r.randint(1000, 9999)}/{word()} {prose()}",
+        lambda: f"{prose()} {some(low, r.randint(3, 8))}.{some(digits, 2)}@{some(low, 5)}{r.randint(1, 9)}.example.{r.choice(['com', 'org', 'net'])}{shout()} {prose()}",
+        lambda: f"{prose()} {'.'.join(str(r.randint(1, 255)) for _ in range(4))}{shout()} {prose()}",
+        lambda: f"{prose()} {r.choice(['', '+1-'])}{some(digits, 3)}-{some(digits, 4)}{shout()} {some(digits, 16)}{shout()} {prose()}",
+        lambda: f"{prose()} {word()}{shout()} {some(up, r.randint(6, 12))}{shout()} {r.choice('#*$%&|') * r.randint(8, 20)} {prose()}",
+        lambda: f"{prose()} {some(low, 6)}{some(up, 1)}{some(low, 6)}({name('_')},{word()}.{word()}) {prose()}",
+        lambda: f"{prose()} {some(up, r.randint(2, 9))}!! {some(up, r.randint(8, 14))}!! {some(up, r.randint(4, 9))}.!! {prose()}",
     ]
     out = []
     for i in range(n):
         secret = i % 2
-        out.append({"text": r.choice(true if secret else false)(), "secret": secret})
+        text = r.choice(true if secret else false)()
+        out.append({"text": text.replace("|", ""), "secret": secret, "value": text.split("|")[1] if secret else ""})
     return out
 
 
@@ -148,10 +200,10 @@ def train(spark: SparkSession, cfg: Forest) -> str:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = F.explode(F.from_json(F.lit(json.dumps(labelled_findings(cfg.findings, cfg.seed))), "array<struct<text:string,secret:int>>"))
-    found = spark.range(1, numPartitions=1).select(rows.alias("r")).select(
-        F.col("r.secret").cast("double").alias("label"), F.explode(candidates(F.col("r.text"))).alias("f")
-    )
+    rows = F.explode(F.from_json(F.lit(json.dumps(labelled_findings(cfg.findings, cfg.seed))), "array<struct<text:string,value:string>>"))
+    found = spark.range(1, numPartitions=1).select(rows.alias("r")).select("r.value", F.explode(candidates(F.col("r.text"))).alias("f"))
+    inside = F.col("value").contains(F.col("f.value")) | F.col("f.value").contains(F.col("value"))
+    found = found.select(((F.length("value") > 0) & inside).cast("double").alias("label"), "f")
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found.select("label", "f.*"))
     model = RandomForestClassifier(
         numTrees=cfg.trees, maxDepth=cfg.depth, seed=cfg.seed, featureSubsetStrategy="onethird", maxBins=64
