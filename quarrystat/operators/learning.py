@@ -54,8 +54,8 @@ def _itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sequential_patterns_prefixspan_v1")
 def _prefixspan(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
-    rows = log.select(F.transform(F.slice("s", 1, 12), lambda x: F.array(x["event_type"])).alias("sequence"))
-    found = PrefixSpan(minSupport=0.3, maxPatternLength=3).findFrequentSequentialPatterns(rows)
+    rows = log.select(F.transform("s", lambda x: F.array(x["event_type"])).alias("sequence"))
+    found = PrefixSpan(minSupport=0.3, maxPatternLength=6).findFrequentSequentialPatterns(rows)
     return found.select(F.array_join(F.transform("sequence", lambda x: x[0]), ">").alias("pattern"), "freq")
 
 
