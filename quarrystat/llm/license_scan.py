@@ -45,6 +45,7 @@ FAMILIES = {
     "cc-by-nc": (["creative commons attribution-noncommercial"], ["cc-by-nc-2.0", "cc-by-nc-3.0", "cc-by-nc-4.0"], ["creativecommons.org/licenses/by-nc/"]),
     "cc-by-nd": (["creative commons attribution-noderivatives"], ["cc-by-nd-3.0", "cc-by-nd-4.0"], ["creativecommons.org/licenses/by-nd/"]),
     "cc-by-nc-sa": (["creative commons attribution-noncommercial-sharealike"], ["cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"], ["creativecommons.org/licenses/by-nc-sa/"]),
+    "cc-by-nc-nd": (["creative commons attribution-noncommercial-noderivatives"], ["cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"], ["creativecommons.org/licenses/by-nc-nd/"]),
     "cc0": (["cc0 public domain dedication", "creative commons zero"], ["cc0-1.0"], ["creativecommons.org/publicdomain/zero"]),
     "public-domain": (["released into the public domain", "dedicated to the public domain", "public domain mark"], ["pddl-1.0"], ["creativecommons.org/publicdomain/mark"]),
     "unlicense": (["the unlicense"], ["unlicense"], ["unlicense.org"]),
@@ -78,6 +79,42 @@ FAMILIES = {
 #: Sentences that grant, put before a name.
 GRANTS = ["licensed under", "released under", "distributed under", "available under", "provided under", "published under", "subject to", "under the terms of"]
 
+#: Short names of Creative Commons licences by their terms, and of GNU licences.
+CC_TERMS = {"cc-by": "by", "cc-by-sa": "by sa", "cc-by-nc": "by nc", "cc-by-nd": "by nd", "cc-by-nc-sa": "by nc sa", "cc-by-nc-nd": "by nc nd"}
+GNU = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl"}
+
+#: Sentences of licence texts and file headers that stand without a name, with their labels and keywords.
+BODIES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software", ("hereby", "person", "deal")),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software", ("hereby", "person", "deal")),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission", "substantial")),
+    ("ofl", "permission is hereby granted free of charge to any person obtaining a copy of the font software", ("hereby", "font")),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", ("hereby", "organization")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("purpose", "distribute")),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", ("purpose", "distribute")),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ("purpose", "agreement")),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution", "binary")),
+    ("bsd", "redistributions of source code must retain the above copyright notice", ("redistributions", "retain")),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", ("redistributions", "reproduce")),
+    ("apache", "you may not use this file except in compliance with the license", ("compliance", "except")),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", ("contributor", "irrevocable")),
+    ("mpl", "this source code form is subject to the terms of the mozilla public", ("source", "mozilla")),
+    ("mpl", "covered software is provided under this license on an as is basis", ("covered", "basis")),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("redistribute", "gnu")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu", ("redistribute", "library")),
+    ("agpl", "you must prominently offer all users interacting with it remotely through a computer network", ("prominently", "remotely")),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse", ("accompanying", "eclipse")),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ("warranty", "liable")),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ("altered", "misrepresented")),
+    ("wtfpl", "you just do what the fuck you want to", ("fuck",)),
+    ("python", "psf hereby grants licensee a nonexclusive", ("psf", "licensee")),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", ("intent", "package")),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", ("deed", "dedicated")),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service", ("hosted", "managed")),
+    ("busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", ("licensor", "derivative")),
+]
+
 SEP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 NOT_BEFORE, NOT_AFTER = r"(?<![0-9a-z\x80-\xff])", r"(?![0-9a-z\x80-\xff])"
 
@@ -92,6 +129,12 @@ def signatures() -> list[tuple[int, str, float, tuple[str, ...], str]]:
     for label, (names, spdx, addresses) in FAMILIES.items():
         for s in spdx:
             out.append((100, label, 1.0, ("spdx",), rf"spdx{SEP}+license{SEP}+identifier{SEP}+{_words(s)}(?:{SEP}(?:only|or{SEP}later))?"))
+            word, ending = max(re.findall(r"[0-9a-z]+", s), key=len), rf"(?:\+|{SEP}+(?:only|or{SEP}later))?"
+            bare = _words(s) + ending
+            out.append((75, label, 0.85, ("licen", word), rf"licen[sc]es?{SEP}{{0,3}}[:=]{SEP}{{0,3}}{bare}"))
+            out.append((75, label, 0.85, ("licen", word), rf"{bare}{SEP}+licen[sc]ed?"))
+            for g in GRANTS:
+                out.append((75, label, 0.85, (g.split()[0], word), rf"{_words(g)}{SEP}+(?:the{SEP}+|an?{SEP}+)?{bare}"))
         for a in addresses:
             out.append((90, label, 0.95, (a,), re.escape(a) + r"[0-9a-z./_-]*"))
         for n in names:
@@ -100,6 +143,15 @@ def signatures() -> list[tuple[int, str, float, tuple[str, ...], str]]:
             for g in GRANTS:
                 out.append((80, label, 0.9, (g.split()[0], word), rf"{_words(g)}{SEP}+(?:the{SEP}+|an?{SEP}+)?{_words(n)}{version}"))
             out.append((60, label, 0.7, (word,), rf"{_words(n)}{version}"))
+    for label, terms in CC_TERMS.items():
+        version = rf"(?:{SEP}+(?:version{SEP}*|v)?[1-4]\.[0-9])?"
+        long = _words(terms).replace("sa", f"(?:sa|share{SEP}?alike)").replace("nc", f"(?:nc|non{SEP}?commercial)").replace("nd", f"(?:nd|no{SEP}?deriv(?:ative)?s?)")
+        out.append((70, label, 0.8, ("cc",), rf"cc{SEP}+{long}{version}"))
+        out.append((70, label, 0.8, ("commons",), rf"creative{SEP}+commons{SEP}+(?:by|attribution){long[2:]}{version}"))
+    for label, name in GNU.items():
+        out.append((70, label, 0.8, (name,), rf"(?:gnu{SEP}+)?{name}{SEP}*v[1-3](?:\.[0-9])?\+?"))
+    for label, sentence, keys in BODIES:
+        out.append((85, label, 0.9, keys, _words(sentence)))
     out.append((50, "copyright", 0.5, ("copyright",), rf"copyright{SEP}*(?:\(c\)|\xc2\xa9)?{SEP}*(?:19|20)[0-9][0-9]"))
     out.append((50, "copyright", 0.5, ("rights reserved",), rf"some{SEP}+rights{SEP}+reserved"))
     return out

@@ -130,6 +130,36 @@ def test_license_rules():
     assert len(inner) == 1 and inner[0]["start"] == 0  # the bare name lies inside the grant
 
 
+def test_license_short_names_and_bodies():
+    found = lambda t: license_scan.scan_text(t)["labels"]
+    planted = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",  # the base phrase stays
+        "Licensed under the Apache License, Version 2.0.": "apache",
+        "under the MIT License.": "mit",
+        "the General Public License, version 3.": "gpl",
+        "All rights reserved.": "reserved",
+    }
+    more = {
+        "CC BY-SA 3.0": "cc-by,cc-by-sa",
+        "CC-BY-ND": "cc-by,cc-by-nd",
+        "cc by-nc-sa 4.0": "cc-by,cc-by-nc-sa",
+        "CC BY-NC-ND": "cc-by,cc-by-nc-nd",
+        '"license": "Apache-2.0",': "apache",
+        "License: MIT": "mit",
+        "released under GPL-3.0-or-later": "gpl",
+        "BSD-3-Clause licensed": "bsd",
+        "it is GPLv3": "gpl",
+        "mit, isc und ruby": "",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the "Software"), to deal\n# in the Software': "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Redistribution and use in source and binary forms, with or without\n * modification, are permitted": "bsd",
+        "you may not use this file except in compliance with the License": "apache",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    for t, want in {**planted, **more}.items():
+        assert found(t) == want, t
+
+
 def test_language(docs, rows):
     got = {r["doc_id"]: r for r in language_id.digest(docs).collect()}
     langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
