@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystat.plans.registry import register
@@ -52,6 +52,26 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         now = after
 
 
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """Rows (node, core) of an undirected graph given as distinct (src, dst).
+
+    A node's bound starts at its degree and becomes the greatest h such that h neighbours have a bound of h or more, until no
+    bound falls; the bounds are the core numbers then.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    both = materialize(both, "both")
+    now = materialize(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("core")), "bounds")
+    total = now.agg(F.sum("core")).first()[0]
+    above = Window.partitionBy("node").orderBy(F.col("core").desc())
+    while True:
+        told = both.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "core").agg(F.count("*").alias("n"))
+        told = told.withColumn("n", F.sum("n").over(above))
+        now = materialize(told.groupBy("node").agg(F.max(F.least("core", "n")).alias("core")), "bounds")
+        last, total = total, now.agg(F.sum("core")).first()[0]
+        if total == last:
+            return now
+
+
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer to supplier edges; suppliers are negative numbers."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("src"))

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystat.operators.graph import _supply, k_core, pagerank
+from quarrystat.operators.graph import _supply, core_numbers, pagerank
 from quarrystat.plans.registry import register
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -146,9 +146,7 @@ def _hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("kshell_decomposition_v1")
 def _shells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the first three cores."""
-    edges, out = _supply(spark, sf_dir), None
-    for k in (1, 2, 3):
-        one = k_core(edges, k).agg(F.lit(k).cast("long").alias("k"), F.count("*").alias("nodes"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every shell k with its size, the nodes of the k-core and the highest core number."""
+    shells = core_numbers(_supply(spark, sf_dir)).groupBy(F.col("core").alias("k")).agg(F.count("*").alias("shell"))
+    down = Window.orderBy(F.col("k").desc())
+    return shells.select("k", "shell", F.sum("shell").over(down).alias("nodes"), F.max("k").over(Window.partitionBy()).alias("max_core"))
