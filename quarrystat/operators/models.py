@@ -14,6 +14,8 @@ from quarrystat.operators.graph import _supply, core_numbers, pagerank
 from quarrystat.plans.registry import register
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
+#: Words of a topic model at most; the driver holds them.
+VOCABULARY = 1 << 18
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +121,13 @@ def _loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("topic_model_lda")
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leading terms of five topics over whole texts."""
+    """Leading terms of five topics over whole texts: each iteration reads every document, with its 262,144 commonest words at most."""
     words = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.split(F.lower("text"), r"\W+").alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000).fit(words)
-    model = LDA(k=5, maxIter=5, seed=1, optimizer="online").fit(counts.transform(words).select("features"))
-    terms = F.array(*[F.lit(t) for t in counts.vocabulary])
-    return model.describeTopics(6).select("topic", F.array_join(F.transform("termIndices", lambda i: F.element_at(terms, i + 1)), " ").alias("terms"))
+    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY).fit(words)
+    model = LDA(k=5, maxIter=5, seed=1, optimizer="online", subsamplingRate=1.0).fit(counts.transform(words).select("features"))
+    terms = counts.vocabulary
+    found = [(r.topic, " ".join(terms[i] for i in r.termIndices)) for r in model.describeTopics(6).collect()]
+    return spark.createDataFrame(found, "topic int, terms string")
 
 
 @register("param_near_duplicate_minhash_v1")
