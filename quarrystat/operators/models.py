@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, LDA
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, MinHashLSH, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.operators.graph import _supply, core_numbers, pagerank
 from quarrystat.plans.registry import register
+from quarrystat.plans.scratch import materialize
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 #: Words of a topic model at most; the driver holds them.
@@ -130,14 +131,34 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "topic int, terms string")
 
 
+def near_sets(sets: DataFrame) -> DataFrame:
+    """All pairs of ``sets`` (key, items, id, copies; distinct keys) at Jaccard distance of at most 0.3, and each set with copies with itself.
+
+    Two such sets share an item among the rarest 3/10 n + 1 (rounded down) of each, n being its size.
+    """
+    items = sets.select("key", "items", F.size("items").alias("n"), F.explode("items").alias("item"))
+    rare = items.groupBy("item").agg(F.count("*").alias("f"))
+    ranked = items.join(rare, "item").groupBy("key").agg(F.first("items").alias("items"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "item"))).alias("order"))
+    prefix = materialize(ranked.select("key", "items", "n", F.explode(F.slice("order", F.lit(1), F.expr("CAST(3 * n DIV 10 + 1 AS INT)"))).alias("o")).select("key", "items", "n", "o.item"), "prefix")
+    left, right = prefix.alias("x"), prefix.alias("y")
+    pairs = left.join(right, (F.col("x.item") == F.col("y.item")) & (F.col("x.key") < F.col("y.key")) & (10 * F.least("x.n", "y.n") >= 7 * F.greatest("x.n", "y.n")))
+    both = F.size(F.array_intersect("x.items", "y.items"))
+    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), both.alias("both"), (F.col("x.n") + F.col("y.n") - both).alias("either")).where("10 * both >= 7 * either").distinct()
+    named = lambda c: sets.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id"), F.col("copies").alias(f"{c}_copies"))
+    pairs = pairs.select("a", "b", F.round(1 - F.col("both") / F.col("either"), 6).alias("distance"))
+    same = sets.where("copies > 1").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("distance"))
+    return pairs.unionByName(same).join(named("a"), "a").join(named("b"), "b")
+
+
 @register("param_near_duplicate_minhash_v1")
 def _minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct parameter sets at Jaccard distance of at most 0.3; equal sets are one row first."""
+    """Pairs of distinct parameter sets at Jaccard distance of at most 0.3, all of them; equal sets are one class first.
+
+    A class has the number of its copies and the id (user and day) of its first; one of several copies is paired with itself.
+    """
     log = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set(F.concat_ws("=", "event_type", F.floor(F.col("value") / 50)))).alias("items"))
-    sets = log.groupBy("items").agg(F.min("user_id").alias("id"), F.count("*").alias("copies")).where(F.size("items") >= 3)
-    sets = CountVectorizer(inputCol="items", outputCol="features", binary=True).fit(sets).transform(sets).withColumn("key", F.array_join("items", ","))
-    found = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=4, seed=1).fit(sets).approxSimilarityJoin(sets, sets, 0.3, "distance")
-    return found.where("datasetA.key < datasetB.key").select(F.col("datasetA.key").alias("a"), F.col("datasetB.key").alias("b"), F.round("distance", 6).alias("distance"))
+    sets = log.groupBy("items").agg(F.min(F.struct("user_id", "day")).alias("id"), F.count("*").alias("copies"))
+    return near_sets(materialize(sets.select("items", F.array_join("items", ",").alias("key"), F.concat_ws("/", "id.user_id", "id.day").alias("id"), "copies"), "sets"))
 
 
 @register("graph_pagerank_hotspots_v1")
