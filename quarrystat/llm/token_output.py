@@ -2,14 +2,11 @@
 
 Texts are dealt out by ranges of (doc_id, text hash) and sorted within a partition, so shards follow each other in
 ascending doc_id order. A task closes a shard at ``shard_tokens``; one document is never split. Each shard is one byte
-string (see ``wavelet``), one row of a Parquet table in the shared folder, the only store that executors share.
+string (see ``wavelet``), one row of a Parquet table in the shared folder, the only store that executors share. A shard knows
+the ids before it in its partition; the ids before a partition come from totals by partition, as many rows as partitions.
 
-Global offsets come from token totals by partition, as many rows as partitions.
-
-Encoding equals the tokenizer's on the whole text. Between a space and the character before it, and around a newline,
-the tokenizer's pattern always splits unless other white space touches; so such texts are cut there and known pieces come
-from a cache that two generations bound; a text with touching or other white space is encoded whole. Strings of special
-tokens in a text are ordinary text.
+Ids are those of the tokenizers library on the whole text with add_special_tokens=False (see ``byte_bpe``): the string of a
+special token in a text becomes that token's id. With ``special_as_text`` it is ordinary text.
 
 Defined results: null text is empty and has the end id only; rows of equal doc_id follow each other by text hash and text;
 a null doc_id comes first; an empty table gives an empty result.
@@ -17,18 +14,18 @@ a null doc_id comes first; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrystat.llm.byte_bpe import ByteBpe
 from quarrystat.llm.common import materialize
 from quarrystat.llm.texthash import trim, worker_cache
 from quarrystat.llm.wavelet import WaveletMatrix, encode
@@ -41,153 +38,67 @@ class Output:
     shard_tokens: int = 1_000_000
     #: Pieces in each of the two generations of the cache.
     cached: int = 500_000
-    batch_chars: int = 2_000_000
-
-
-#: White space that the tokenizer's pattern or Python knows, other than space and newline.
-OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
-CUT = "\x01"
-MARKED = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)")
-
-
-class Encoder:
-    """A tokenizer with a bounded cache of pieces; ids as little-endian bytes."""
-
-    def __init__(self, cfg: Output):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(cfg.tokenizer)
-        self.tokenizer.encode_special_tokens = True
-        self.cfg = cfg
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        # byte-level letters: printable bytes stand for themselves, the others for code points from 256 on
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
-        self.space = chr(self.letters[0x20])
-        if {chr(self.letters.get(b, b)) for b in range(256)} != set(ByteLevel.alphabet()):
-            raise ValueError("the tokenizer's byte alphabet is not the known one")
-        self.fixed = {"": b"", " ": self._ids([" "])[0], "\n": self._ids(["\n"])[0]}
-        (self.newline,) = np.frombuffer(self.fixed["\n"], dtype=self.kind).tolist()
-        self.new: dict[str, bytes] = dict(self.fixed)
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """Pieces that can be encoded apart, or None."""
-        if CUT in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return None
-        if any(c in text for c in (OTHER_SPACE[:4] if text.isascii() else OTHER_SPACE)):
-            return None
-        return text.replace("\n", f"{CUT}\n{CUT}").replace(" ", f"{CUT} ").split(CUT)
-
-    def _learn(self, missing: list[str]) -> None:
-        """Add pieces to the cache. Letters with or without one space before them are one pre-token, which goes to the
-        model at once in byte-level form, and marks after them are another; other pieces are encoded as the lines of one
-        text, a newline being a token of its own."""
-        new, tokenize, kind = self.new, self.tokenizer.model.tokenize, self.kind
-        ended = [w for w in missing if not w[-1].isalpha()]
-        split = [(w, m[1], m[2]) for w in ended if (m := MARKED.fullmatch(w)) and m[1].removeprefix(" ").isalpha()]
-        todo = set(missing).difference([w for w, *_ in split])
-        todo.update(p for _, a, b in split for p in (a, b) if p not in new)
-        words = [w for w in todo if w.removeprefix(" ").isalpha()]
-        shown = lambda w: (
-            w.replace(" ", self.space) if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-        )
-        ids = [[t.id for t in tokenize(shown(w))] for w in words]
-        raw = np.array(list(chain.from_iterable(ids)), dtype=kind).tobytes()
-        width = np.dtype(kind).itemsize
-        ends = (np.cumsum(list(map(len, ids)), dtype=np.int64) * width).tolist()
-        new.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
-        if len(words) < len(todo):
-            lines = list(todo.difference(words))
-            found = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids
-            found = np.array(found, dtype=kind)
-            cut = np.flatnonzero(found == self.newline)
-            if len(cut) + 1 != len(lines):
-                raise ValueError("pieces and encoded lines differ in number")
-            starts, ends, raw = [0, *(cut + 1).tolist()], [*cut.tolist(), len(found)], found.tobytes()
-            new.update((t, raw[a * width : b * width]) for t, a, b in zip(lines, starts, ends))
-        new.update((w, new[a] + new[b]) for w, a, b in split)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        whole = [i for i, c in enumerate(cut) if c is None]
-        ends = np.cumsum([0 if c is None else len(c) for c in cut]).tolist()
-        flat = list(chain.from_iterable(c for c in cut if c is not None))
-        found = list(map(self.new.get, flat))
-        gaps = [i for i, b in enumerate(found) if b is None]
-        unknown = {flat[i] for i in gaps}
-        if len(self.new) + len(unknown) > self.cfg.cached:
-            self.old, self.new = self.new, dict(self.fixed)
-        known = unknown & self.old.keys()
-        self.new.update(zip(known, map(self.old.__getitem__, known)))
-        self._learn(list(unknown - known))
-        for i in gaps:
-            found[i] = self.new[flat[i]]
-        out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
-        for i, b in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = b
-        return out
-
-
-def encoder(cfg: Output) -> Encoder:
+    batch_bytes: int = 4_000_000
+    special_as_text: bool = False
+
+
+def encoder(cfg: Output) -> ByteBpe:
     cache = worker_cache()
     if cache.get("encoder", (None,))[0] != cfg:
-        cache["encoder"] = (cfg, Encoder(cfg))
+        cache["encoder"] = (cfg, ByteBpe(cfg.tokenizer, cfg.cached, cfg.special_as_text))
     return cache["encoder"][1]
 
 
-SHARD = "part int, shard int, n_tokens long, blob binary"
+#: ``before``: ids of the partition's shards before this one.
+SHARD = "part int, shard int, before long, n_tokens long, blob binary"
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Rows of a batch in slices of about ``most`` bytes of text; a longer text stands alone."""
+    texts = batch.column(1)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield batch.column(0).slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def _write(cfg: Output):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         enc = encoder(cfg)
-        end = np.array([cfg.end_id], dtype=enc.kind).tobytes()
-        width = len(end)
         ids: list[int | None] = []
-        parts: list[bytes] = []
-        size = 0
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, parts, size, shard
-            tokens = np.frombuffer(b"".join(parts), dtype=enc.kind)
-            blob = encode(tokens, ids, [len(p) // width for p in parts])
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([blob], pa.binary())],
-                ["part", "shard", "n_tokens", "blob"],
-            )
-            ids, parts, size, shard = [], [], 0, shard + 1
+            nonlocal ids, held, counts, shard, before
+            tokens = np.concatenate(held)
+            blob = encode(tokens, ids, np.concatenate(counts))
+            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(tokens)], pa.int64())]
+            out = pa.RecordBatch.from_arrays([*row, pa.array([blob], pa.binary())], ["part", "shard", "before", "n_tokens", "blob"])
+            ids, held, counts, shard, before = [], [], [], shard + 1, before + len(tokens)
             return out
 
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= cfg.batch_chars):
-                    held += len(texts[hi])
-                    hi += 1
-                for d, b in zip(docs[lo:hi], enc.encode(texts[lo:hi])):
-                    ids.append(d)
-                    parts.append(b + end)
-                    size += len(b) // width + 1
+            for docs, texts in _slices(batch, cfg.batch_bytes):
+                tokens, n = enc.encode(texts, cfg.end_id)
+                ends = np.cumsum(n)
+                lo, at, size = 0, 0, sum(map(len, held))
+                while lo < len(docs):
+                    # up to the document that fills the shard
+                    hi = min(len(docs), int(np.searchsorted(ends, at + cfg.shard_tokens - size, "left")) + 1)
+                    ids += docs[lo:hi]
+                    held.append(tokens[at : ends[hi - 1]])
+                    counts.append(n[lo:hi])
+                    size += int(ends[hi - 1]) - at
+                    lo, at = hi, int(ends[hi - 1])
                     if size >= cfg.shard_tokens:
                         yield close()
-                lo = hi
+                        size = 0
         if ids:
             yield close()
         trim()
@@ -226,12 +137,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(shards: DataFrame) -> DataFrame:
     """The operator's contract, from the shards alone."""
     by_part = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    base = by_part.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("at"))
-    places = starts.join(F.broadcast(base), "part").select("part", "shard", (F.col("at") + F.col("base")).alias("start"))
-    rows = shards.join(F.broadcast(places), ["part", "shard"]).select("start", "blob")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as partitions, a number that the session sets
+    base = by_part.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("start"), "blob")
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -240,11 +149,17 @@ def digest(docs: DataFrame, cfg: Output) -> DataFrame:
 
 
 def find_token(shards: DataFrame, token: int) -> DataFrame:
-    """Occurrences of one token: rows (part, shard, n), counted on the bit-planes without decoding."""
+    """Where a token occurs: rows (part, shard, n, first), its count and its first position in each shard that holds it,
+    both from the bit-planes without decoding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [(w := WaveletMatrix(b.as_py())).rank(token, w.n) for b in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["part", "shard", "n"])
-
-    return shards.select("part", "shard", "blob").mapInArrow(run, "part int, shard int, n long")
+            for part, shard, blob in zip(*(batch.column(i) for i in range(3))):
+                wm = WaveletMatrix(blob.as_py())
+                if n := wm.rank(token, wm.n):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.as_py()], pa.int32()), pa.array([shard.as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([wm.select(token, 0)], pa.int64())],
+                        ["part", "shard", "n", "first"],
+                    )
+
+    return shards.select("part", "shard", "blob").mapInArrow(run, "part int, shard int, n long, first long")

@@ -16,7 +16,7 @@ import numpy as np
 MAGIC, BLOCK = b"QWM1", 512
 
 
-def encode(tokens: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> bytes:
+def encode(tokens: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) -> bytes:
     """The file of one shard; ``tokens`` (ids below 2^20) are those of all its documents, one after another."""
     seen = np.bincount(tokens, minlength=1) > 0
     ids = np.flatnonzero(seen)
@@ -108,12 +108,17 @@ class WaveletMatrix:
 
     def _select_bit(self, p: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) ``bit`` of plane p."""
-        before = self.before[p].astype(np.int64)
-        if not bit:
-            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
-        b = int(np.searchsorted(before, k, "right")) - 1
+        before, lo, hi = self.before[p], 0, len(self.before[p]) - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            ones = int(before[mid])
+            if (ones if bit else min(mid * BLOCK, self.n) - ones) <= k:
+                lo = mid
+            else:
+                hi = mid - 1
+        b, ones = lo, int(before[lo])
         part = np.unpackbits(self.planes[p][b * (BLOCK // 8) : (b + 1) * (BLOCK // 8)], bitorder="little")
-        return b * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[b])])
+        return b * BLOCK + int(np.flatnonzero(part == bit)[k - (ones if bit else b * BLOCK - ones)])
 
     def select(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of token; ValueError if there are fewer."""

@@ -65,7 +65,6 @@ def tokens(docs, path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out, at = {}, 0
     for i, text in sorted(docs):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]

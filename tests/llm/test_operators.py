@@ -110,7 +110,7 @@ def test_lm_score_order_three(spark, rows):
 def test_tokens(table):
     df, rows = table
     cfg = token_config()
-    cfg = token_output.Output(cfg.tokenizer, shard_tokens=3000, cached=500, batch_chars=4000)
+    cfg = token_output.Output(cfg.tokenizer, shard_tokens=3000, cached=500, batch_bytes=4000)
     assert by_id(token_output.digest(df, cfg), "start", "n_tokens", "ids_crc32") == brute.tokens(rows, cfg.tokenizer)
 
 
