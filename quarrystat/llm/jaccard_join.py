@@ -21,7 +21,8 @@ star edges and counts leave a task.
 
 Defined results: null text, or text without words, has an empty set, links with nothing and is its own component; repeated
 rows are exact copies; rows that share a doc_id with different texts keep their own sets, and their component is the
-smallest doc_id of what either reaches; an empty table gives an empty result.
+smallest doc_id of what either reaches; rows without doc_id link like others, and component_id is null only where no row
+reached has a doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,6 +93,18 @@ def _signatures(cfg: Join):
     return run
 
 
+def _marked(cfg: Join):
+    """Texts with the fingerprint of their set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [_fingerprint(s) for s in shingles(batch.column(1).to_pylist(), cfg.k)]
+            f1, f2 = zip(*marks) if marks else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), batch.column(1)], ["f1", "f2", "text"])
+
+    return run
+
+
 def _entries(cfg: Join):
     """Shingles that may stand in a set's prefix; a set seen before in this task adds none."""
     shares = _scheme_shares(cfg)
@@ -181,6 +194,34 @@ def _shared(cfg: Join):
     return run
 
 
+def _salts(cfg: Join) -> F.Column:
+    """Sublists of a shingle's list; 'very high' frequencies have no known number."""
+    return F.when(F.col("df") >= cfg.saturated, F.lit(4096)).otherwise(F.lit(1) + F.floor(F.col("df") / 500)).cast("long")
+
+
+def run_heads(lists: DataFrame, cfg: Join) -> DataFrame:
+    """Edges (u, v) from every set of a shingle's list (tok, salt, f1, n) to the smallest set of its run, a run being sets
+    without a size gap that no link can span.
+
+    Sublists find their own runs first. A run covers a range of sizes, and at most one run begins per size gap, so what is
+    left of a list is a few rows for each salt, and overlapping ranges of one list meet in a second window.
+    """
+    sub = Window.partitionBy("tok", "salt").orderBy("n", "f1")
+    gap = F.lag("n").over(sub) * cfg.den < F.col("n") * cfg.num
+    runs = lists.withColumn("run", F.sum(F.when(gap, 1).otherwise(0)).over(sub))
+    own = Window.partitionBy("tok", "salt", "run").orderBy("n", "f1")
+    headed = runs.select("tok", "n", "f1", F.first("f1").over(own).alias("head"), F.first("n").over(own).alias("low"))
+    inner = headed.select(F.col("f1").alias("u"), F.col("head").alias("v"))
+    ranges = headed.groupBy("tok", "head").agg(F.min("low").alias("low"), F.max("n").alias("high"))
+    whole = Window.partitionBy("tok").orderBy("low", "high", "head")
+    reach = F.max("high").over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reach * cfg.den < F.col("low") * cfg.num, 1).otherwise(0)
+    joined = ranges.withColumn("apart", apart).withColumn("run", F.sum("apart").over(whole))
+    top = Window.partitionBy("tok", "run").orderBy("low", "high", "head")
+    outer = joined.select(F.col("head").alias("u"), F.first("head").over(top).alias("v"))
+    return inner.unionByName(outer).where("u <> v")
+
+
 def candidate_groups(docs: DataFrame, cfg: Join) -> DataFrame:
     """Rows (f1, comp): sets, by the first half of their fingerprint, that may link with another set."""
     entries = docs.select("doc_id", "text").mapInArrow(_entries(cfg), ENTRY)
@@ -194,19 +235,15 @@ def candidate_groups(docs: DataFrame, cfg: Join) -> DataFrame:
     # Shingles in no other set come first in the order; what is left of the prefix falls on shared ones.
     prefix = F.expr(f"n - (({cfg.num} * n + {cfg.den - 1}) DIV {cfg.den}) + 1")
     ranked = met.withColumn("k", F.count("*").over(own)).withColumn("rn", F.row_number().over(order))
-    lists = ranked.where(F.col("rn") <= prefix - (F.col("held") - F.col("k"))).select("tok", "f1", "n")
-    by_size = Window.partitionBy("tok").orderBy("n", "f1")
-    gap = F.lag("n").over(by_size) * cfg.den < F.col("n") * cfg.num
-    runs = lists.withColumn("run", F.sum(F.when(gap, 1).otherwise(0)).over(by_size))
-    heads = Window.partitionBy("tok", "run").orderBy("n", "f1").rowsBetween(Window.unboundedPreceding, 0)
-    edges = runs.select(F.col("f1").alias("u"), F.first("f1").over(heads).alias("v")).where("u <> v")
+    lists = ranked.where(F.col("rn") <= prefix - (F.col("held") - F.col("k"))).select("tok", "f1", "n", "df")
+    edges = run_heads(lists.withColumn("salt", F.pmod(F.xxhash64("f1"), _salts(cfg)).cast("int")), cfg)
     return components(edges).select(F.col("node").alias("f1"), F.col("component").alias("comp"))
 
 
-def link_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, cfg: Join):
+def link_sets(sets: list[np.ndarray], side: np.ndarray | None, cfg: Join):
     """All links among the sets of a task: arrays (i, j) with i < j.
 
-    side: piece of each set; if two pieces meet, only pairs across them count.
+    side: piece of each set where two pieces meet: only pairs across them count, also if one of them is empty.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -279,7 +316,7 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, weight:
     i, j = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     pair = np.unique(i * np.int64(m) + j)
     i, j = pair // m, pair % m
-    if side.max() > side.min():
+    if side is not None:
         across = side[i] != side[j]
         i, j = i[across], j[across]
     return i, j
@@ -291,19 +328,19 @@ LINK = "u long, v long, links long"
 def _verify(cfg: Join):
     """One task (comp, a, b): star edges of its links, and rows (u, u, links) that count partners, copies included."""
 
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_numpy()
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        ids = group.column("node").to_numpy()
         sets = list(shingles(group.column("text").to_pylist(), cfg.k))
         want = group.column("f1").to_pylist(), group.column("f2").to_pylist()
         good = [x for x in range(len(sets)) if len(sets[x]) and _fingerprint(sets[x]) == (want[0][x], want[1][x])]
-        _, once = np.unique(ids[good], return_index=True)  # repeated rows of one document
+        _, once = np.unique(ids[good], return_index=True)  # repeated rows of one class
         good = [good[x] for x in once]
         empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         if len(good) < 2:
             return empty
         ids, sets = ids[good], [sets[x] for x in good]
         side, weight = group.column("piece").to_numpy()[good], group.column("copies").to_numpy()[good]
-        i, j = link_sets(ids, sets, side, weight, cfg)
+        i, j = link_sets(sets, side if key[1].as_py() != key[2].as_py() else None, cfg)
         if not len(i):
             return empty
         root = np.arange(len(ids))
@@ -340,8 +377,11 @@ def join_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialize(plain.mapInArrow(_signatures(cfg), SIG), "signatures")
     full = sig.where("n > 0")
+    # a class is a node by its place in the written table, whether any of its rows has a doc_id or not
     classes = materialize(
-        full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")),
+        full.groupBy("f1", "f2")
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     groups = candidate_groups(plain, cfg)
@@ -350,28 +390,35 @@ def join_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     pieces = sums.select(
         "comp", F.greatest(F.ceil(F.col("m") / cfg.piece_docs), F.ceil(F.col("total") / cfg.piece_shingles)).cast("int").alias("pieces")
     )
-    placed = found.join(pieces, "comp").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    placed = found.join(pieces, "comp").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     # Piece x meets every piece: once as the first of the pair, once as the second.
     meets = F.transform(
         F.sequence(F.lit(0), F.col("pieces") - 1),
         lambda y: F.struct(F.least(y, F.col("piece")).alias("a"), F.greatest(y, F.col("piece")).alias("b")),
     )
-    tasks = placed.select("comp", "rep", "f1", "f2", "copies", "piece", meets.alias("at"))
+    tasks = placed.select("comp", "rep", "node", "f1", "f2", "copies", "piece", meets.alias("at"))
     small = found.count() <= cfg.broadcast_rows
-    texts = plain.join(F.broadcast(tasks) if small else tasks, plain["doc_id"] == tasks["rep"])
-    rows = texts.select("comp", F.explode("at").alias("at"), "doc_id", "text", "f1", "f2", "copies", "piece")
+    near = F.broadcast(tasks) if small else tasks
+    named_rows = plain.join(near, plain["doc_id"] == near["rep"]).select("text", *tasks.columns)
+    # classes without any doc_id find one of their texts by the set itself
+    lost = tasks.where("rep IS NULL")
+    marked = plain.where("doc_id IS NULL").mapInArrow(_marked(cfg), "f1 long, f2 long, text string")
+    lost_rows = marked.join(F.broadcast(lost) if small else lost, ["f1", "f2"]).groupBy(*lost.columns).agg(F.first("text").alias("text"))
+    rows = named_rows.unionByName(lost_rows).withColumn("at", F.explode("at"))
     links = materialize(
-        rows.select("comp", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "doc_id", "text", "f1", "f2", "copies", "piece")
+        rows.select("comp", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "node", "text", "f1", "f2", "copies", "piece")
         .groupBy("comp", "a", "b")
         .applyInArrow(_verify(cfg), LINK),
         "links",
     )
     tops = components(links.where("u <> v").select("u", "v"))
+    # only classes with links are members
+    members = classes.join(tops, "node").select("node", "rep", "component")
+    least = members.groupBy("component").agg(F.min("rep").alias("least"))
     counts = links.groupBy("u").agg(F.sum("links").alias("links"))
-    named = (
-        classes.join(tops, classes["rep"] == tops["node"], "left")
-        .join(counts, classes["rep"] == counts["u"], "left")
-        .select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = members.join(least, "component").select("node", "least").join(counts, F.col("node") == F.col("u"), "left")
+    named = classes.join(linked, "node", "left").select(
+        "f1", "f2", F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return sig.join(named, ["f1", "f2"], "left").select(
         "doc_id",

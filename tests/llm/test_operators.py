@@ -330,3 +330,49 @@ def test_nulls_and_repeats(spark, sf, nulls):
 def test_empty_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.digest(docs, none).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("template", [chat.CHATML, chat.Template(open_before="[", open_after="]: ", close="[/END]"), chat.Template(open_before="(", open_after=" ", close=".*")])
+def test_chat_templates(spark, template):
+    texts = [template.close, template.open_before + "user" + template.open_after, "a & b &lt; &amp;#42; <|im_end|>", "x\n" + template.close + "\ny", "", "[/END] .* ]: \\E"]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)] + [(2, 0, template.open_after + "odd" + template.close, "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df, template)
+    got = {r["conv_id"]: r for r in out.select("*", chat.parse_chats(out["formatted"], template).alias("turns")).collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [r[2:] for r in rows[:-1]] and got[1]["valid"]
+    assert [tuple(t) for t in got[2]["turns"]] == [rows[-1][2:]] and not got[2]["valid"]
+
+
+def test_chat_machine(spark):
+    rows = [(1, ["user", "assistant"]), (2, ["assistant", "user", "assistant"]), (3, ["user"]), (4, ["system", "user", "assistant", "assistant"]), (5, ["user", "start", "user", "assistant"])]
+    df = spark.createDataFrame([(c, i, r, "t") for c, rs in rows for i, r in enumerate(rs)], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: r["valid"] for r in chat.format_chats(df).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_jaccard_rows_without_id(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = lambda i: " ".join(base[:i] + ["z"] + base[i + 1 :])
+    alone = " ".join(f"v{i}" for i in range(40))
+    rows = [(7, near(3)), (None, near(60)), (None, near(90)), (None, near(90)), (None, alone), (None, alone), (9, "other words entirely"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cfg in (jaccard_join.Join(), jaccard_join.Join(broadcast_rows=0)):
+        got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["n_links"]) for r in jaccard_join.digest(df, cfg).collect())
+        assert got == sorted([(7, 117, 7, 3), *[(0, 117, 7, 3)] * 3, (0, 37, 0, 1), (0, 37, 0, 1), (9, 1, 9, 0), (0, 0, 0, 0)])
+
+
+def test_jaccard_long_lists(spark):
+    import itertools
+    import random
+
+    r = random.Random(8)
+    rows = [(r.randint(0, 3), r.randint(0, 5), f, r.choice([10, 11, 12, 20, 23, 40, 200, 210])) for f in range(300)]
+    df = spark.createDataFrame(rows, "tok long, salt int, f1 long, n int")
+    edges = {(e["u"], e["v"]) for e in jaccard_join.run_heads(df, jaccard_join.Join()).collect()}
+    top = {f: f for _, _, f, _ in rows}
+    find = lambda x: x if top[x] == x else find(top[x])
+    for u, v in edges:
+        top[find(u)] = find(v)
+    for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0] and min(a[3], b[3]) * 100 >= max(a[3], b[3]) * 85:
+            assert find(a[2]) == find(b[2])
+    assert find(next(x for x in rows if x[3] == 10)[2]) != find(next(x for x in rows if x[3] == 200)[2])
