@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # fewer cached pieces than alone: workers that served earlier stages hold memory too
-    return token_output.digest(docs, token_config(cached=120_000))
+    return token_output.digest(docs, token_config(cached=120_000, batch_bytes=2_000_000))
 
 
 STAGES = [
