@@ -69,7 +69,6 @@ PLANS = {
     "control_chart_cusum": cusum.agg("event_type", alarms="CAST(sum(CASE WHEN greatest(up, down) > 5.0 THEN 1 ELSE 0 END) AS BIGINT)", worst="round(max(greatest(up, down)), 5)"),
     "control_chart_suite": cusum.agg("event_type", individuals="CAST(sum(CASE WHEN abs(z) > 4.0 THEN 1 ELSE 0 END) AS BIGINT)", cusum="CAST(sum(CASE WHEN greatest(up, down) > 5.0 THEN 1 ELSE 0 END) AS BIGINT)", buckets="count(*)"),
     "periodicity_spectral_scan": peak(wave(hours.add(x="n - mn"), "x")).select("event_type", "k", ratio="round(top / nullif(mid, 0.0), 5)", period="round(size / CAST(k AS DOUBLE), 6)"),
-    "lomb_scargle_periodogram_v1": peak(wave(hours.add(x="v - mv"), "x")).select("event_type", "k", ratio="round(top / nullif(mid, 0.0), 5)"),
     "wave_directional_spectra_v1": wave(hours.add(x="n - mn"), "x").add(p=f"power / nullif(sum(power) {ALL}, 0.0)").where("p > 0.05").select("event_type", "k", p="round(p, 6)"),
     "tidal_harmonic_cycles_v1": wave(hours.add(x="v - mv"), "x").add(r="row_number() OVER (PARTITION BY event_type ORDER BY power DESC, k)").agg("event_type", fraction="round(sum(CASE WHEN r <= 5 THEN power ELSE 0.0 END) / sum(power), 6)"),
     "periodic_schedule_fft_v1": peak(wave(gap_hours.add(x="v - mv"), "x")).select("event_type", "k", share="round(top / every, 6)"),
@@ -83,7 +82,6 @@ PLANS = {
     "mann_kendall_trend_test_v1": days.select("event_type", "v", a="i").join(days.select("event_type", w="v", b="i"), "event_type").where("a < b").agg(
         "event_type", s="CAST(sum(CASE WHEN w > v THEN 1 WHEN w < v THEN -1 ELSE 0 END) AS BIGINT)", slope="PCT((w - v) / (b - a), 0.5)").select("event_type", "s", sen_slope="round(slope, 6)"),
     "scan_statistics": hours.add(m="avg(n) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)").where("i >= 6").agg("event_type", z="round(max((m - mn) / nullif(sn, 0.0)), 6)"),
-    "term_burst_kleinberg": days.agg("event_type", z="round(max((n - mn) / nullif(sn, 0.0)), 6)", days="count(*)"),
     "burst_modeling_hawkes_v1": acf.where("k = 1").select("event_type", branching="round(greatest(0.0, r), 6)"),
     "fused_lasso_trend_filtering_v1": days.add(d=f"v - lag(v) {BY}").join(days.add(d=f"v - lag(v) {BY}").agg("event_type", cut="PCT(abs(d), 0.9)"), "event_type").where("d IS NOT NULL").add(
         step="CASE WHEN d > cut THEN d - cut WHEN d < -cut THEN d + cut ELSE 0.0 END").agg("event_type", breaks="CAST(sum(CASE WHEN abs(step) > 0.000001 THEN 1 ELSE 0 END) AS BIGINT)", moved="round(sum(abs(step)), 5)"),
@@ -102,8 +100,6 @@ PLANS = {
     "carnot_efficiency_bound_v1": events.join(events.agg("event_type", lo="PCT(value, 0.05)", hi="PCT(value, 0.95)", every="sum(value)"), "event_type").where("value BETWEEN lo AND hi").agg("event_type", useful="round(sum(value) / max(every), 6)"),
     "evt_peaks_over_threshold": events.join(events.agg("event_type", u="PCT(value, 0.95)"), "event_type").where("value > u").agg("event_type", m="avg(value - u)", s="var_samp(value - u)", n="count(*)").select("event_type", "n", shape="round(0.5 * (1.0 - m * m / s), 5)", scale="round(0.5 * m * (m * m / s + 1.0), 5)"),
     "diffusion_approx_heavy_traffic_v1": days.agg("event_type", drift="avg(n)", diffusion="var_pop(n)").select("event_type", drift="round(drift, 6)", dispersion="round(diffusion / drift, 6)"),
-    "erlang_bc_blocking_v1": days.agg("event_type", a="avg(n) / 24.0").each("k", 1, 40).add(t="k * ln(a) - sum(ln(k)) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)").add(
-        b="exp(t) / (1.0 + sum(exp(t)) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))").where("a < k").select("event_type", "k", blocking="round(b, 9)", waiting="round(b / (1.0 - a / k * (1.0 - b)), 9)"),
     "bathtub_curve_lifecycle_v1": events.join(events.agg("event_type", p90="PCT(value, 0.9)", t0="min(US(ts))", t1="max(US(ts))"), "event_type").add(third="least(2, CAST(floor(3.0 * (US(ts) - t0) / nullif(t1 - t0, 0)) AS BIGINT))").agg("event_type", "third", hazard="round(avg(CASE WHEN value > p90 THEN 1.0 ELSE 0.0 END), 9)"),
     "weber_fechner_threshold_v1": hours.add(p=f"lag(v) {BY}").where("p > 0").agg("event_type", jnd="round(PCT(abs(v - p) / p, 0.5), 6)"),
     "red_queen_arms_race_v1": hours.add(dn=f"n - lag(n) {BY}", dv=f"v - lag(v) {BY}").agg("event_type", r="round(corr(dn, dv), 6)"),

@@ -26,7 +26,7 @@ def strongest(source: Plan, *keys: str, share: float = 0.75) -> Plan:
 
 
 trade = strongest(sold)
-halved = strongest(sold.cross(table("orders").agg(mid="PCT(US(o_orderdate), 0.5)")).add(early="CASE WHEN t < mid THEN 1 ELSE 0 END"), "early")
+halved = strongest(sold.halve("t", "o_orderkey", "s_suppkey", "price"), "early")
 few = strongest(sold, share=0.95)
 back = trade.select(src="dst", dst="src", m="n")
 both = trade.select("src", "dst", "n", "w").union(trade.select("n", "w", src="dst", dst="src")).agg("src", "dst", n="CAST(sum(n) AS BIGINT)", w="avg(w)")

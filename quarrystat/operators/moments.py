@@ -30,7 +30,7 @@ def three(*keys: str, source: Plan = num) -> Plan:
 
 
 cut = num.agg(cut="PCT(t, 0.5)")
-halves = num.cross(cut).add(early="CASE WHEN t < cut THEN 1 ELSE 0 END")
+halves = num.halve("t", "x", "y", "z")
 moved = three("early", source=halves)
 shift = moved.where("early = 1").cross(moved.where("early = 0").select(qxy="pxy", qxz="pxz", qyz="pyz", f1="e1"))
 distance = num.cross(three()).add(zx="(x - mx) / sx", zy="(y - my) / sy", zz="(z - mz) / sz").add(t2=T2)
@@ -62,7 +62,6 @@ PLANS = {
     "multivariate_t2_control": distance.agg(limit_="round(PCT(t2, 0.995), 5)", worst="round(max(t2), 5)", n="count(*)"),
     "robust_covariance_outliers": distance.cross(distance.agg(lim="PCT(t2, 0.99)")).where("t2 > lim + 0.000001").agg("l_returnflag", n="count(*)"),
     "multicollinearity_vif_screen_v1": three("l_returnflag").select("l_returnflag", x="round((1 - c * c) / det, 6)", y="round((1 - b * b) / det, 6)", z="round((1 - a * a) / det, 6)"),
-    "graphical_lasso_dependency_network": three("l_returnflag").select("l_returnflag", xy="round(pxy, 6)", xz="round(pxz, 6)", yz="round(pyz, 6)"),
     "pc_algorithm_causal_graph_v1": three("l_returnflag").select("l_returnflag", xy=KEEP.format("a", "pxy"), xz=KEEP.format("b", "pxz"), yz=KEEP.format("c", "pyz")).select("l_returnflag", xy="CAST(xy AS BIGINT)", xz="CAST(xz AS BIGINT)", yz="CAST(yz AS BIGINT)"),
     "partial_correlation_network_shift_v1": shift.select(shift="round(greatest(abs(pxy - qxy), abs(pxz - qxz), abs(pyz - qyz)), 6)"),
     "spectral_radius_stability_v1": shift.select(delta="round(abs(e1 - f1), 6)"),
@@ -83,13 +82,11 @@ PLANS = {
     "bayesian_ab_test_v1": trial.agg("treat", n="count(*)", s="CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT)").select(treat="CAST(treat AS BIGINT)", mean="round((s + 1.0) / (n + 2.0), 9)", sd="round(sqrt((s + 1.0) * (n - s + 1.0) / (power(n + 2.0, 2) * (n + 3.0))), 9)"),
     "anova_auto": groups.add(total="sum(n) OVER (PARTITION BY l_linestatus)", gm="sum(n * m) OVER (PARTITION BY l_linestatus) / sum(n) OVER (PARTITION BY l_linestatus)").agg("l_linestatus", k="count(*)", total="max(total)", ssb="sum(n * power(m - gm, 2))", ssw="sum((n - 1) * v)").where("k >= 2").select("l_linestatus", f="round((ssb / (k - 1)) / (ssw / (total - k)), 5)"),
     "ttests_auto": two.select(delta="round(mO - mF, 6)", t="round((mO - mF) / sqrt(vO / nO + vF / nF), 5)", df="round(power(vO / nO + vF / nF, 2) / (power(vO / nO, 2) / (nO - 1) + power(vF / nF, 2) / (nF - 1)), 2)"),
-    "mixed_effects_hierarchical_v1": items.agg("l_suppkey", m="avg(l_quantity)").agg(between="var_pop(m)").cross(items.agg(every="var_pop(l_quantity)")).select(share="round(between / every, 6)"),
     "neutral_drift_noise_v1": kinds.agg("event_type", m="avg(n)", v="var_pop(n)").select("event_type", ratio="round(v / m, 6)"),
     "quantile_regression_duration": items.agg("l_returnflag", p90="PCT(l_extendedprice, 0.9)").agg(top="max(p90)").cross(items.agg(rest="PCT(l_extendedprice, 0.9)")).select(gap="round(top - rest, 4)"),
     "aft_survival_lognormal_v1": items.agg("l_returnflag", slope="round(regr_slope(ln(1 + l_extendedprice), l_quantity), 9)", intercept="round(regr_intercept(ln(1 + l_extendedprice), l_quantity), 6)"),
     "symbolic_regression_gp_v1": items.where("l_quantity > 0").agg(**{k: f"round(regr_r2(l_extendedprice, {e}), 6)" for k, e in {"line": "l_quantity", "logarithm": "ln(l_quantity)", "root": "sqrt(l_quantity)", "square": "l_quantity * l_quantity", "inverse": "1.0 / l_quantity"}.items()}),
     "amdahl_law_serial_fraction_v1": order_size.where("days > 0").agg("lines", d="avg(days)").agg(s="regr_intercept(d, 1.0 / lines)", p="regr_slope(d, 1.0 / lines)").select(serial="round(s, 6)", parallel="round(p, 6)"),
-    "hick_law_pool_sizing_v1": order_size.agg(slope="round(regr_slope(pay, log2(lines + 1)), 3)", r2="round(regr_r2(pay, log2(lines + 1)), 6)"),
     "fitts_law_precision_v1": order_size.where("days > 0").agg(r2="round(power(corr(pay, log2(2 * days / q)), 2), 6)"),
     "job_shop_scheduling_bound_v1": order_size.agg(job="max(q)").cross(items.agg("l_suppkey", q="sum(l_quantity)").agg(machine="max(q)")).select(bound="greatest(job, machine)"),
     "war_value_above_replacement_v1": kpi.cross(events.agg(mid="PCT(value, 0.5)")).select("user_id", war="round(m - mid, 9)"),
@@ -107,7 +104,6 @@ PLANS = {
     "fragility_perturbation_v1": gap.each("pct", -1, 1).add(moved="power(greatest(0.0, (1.0 + pct / 10.0) * m - lm) / sm, 2) + gw * gw + gn * gn").agg("pct", change="round(avg(moved - energy), 6)"),
     "frequent_itemsets_fpgrowth_v1": rules.where("a < b").select("a", "b", "n", support="round(n / CAST(users AS DOUBLE), 9)"),
     "association_rules_apriori_v1": rules.select("a", "b", confidence="round(n / CAST(na AS DOUBLE), 9)", lift="round(n * users / (CAST(na AS DOUBLE) * nb), 6)"),
-    "report_payout_report_v1": orders.agg("o_orderstatus", runs="count(*)", total="round(sum(o_totalprice), 2)", first="min(US(o_orderdate))", last="max(US(o_orderdate))", med="round(PCT(o_totalprice, 0.5), 3)"),
     "log_template_mining_drain": events.add(template="RSUB(RSUB(props, '[0-9a-f]{8}-[0-9a-f-]{27}', '<uuid>'), '[0-9]+', '<num>')").agg("event_type", "template", n="count(*)", example="min(props)"),
     "job_sequence_cache_rotation_v1": events.add(q="ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id)").agg("event_type", cold="PCT(CASE WHEN q = 1 THEN value END, 0.5)", warm="PCT(CASE WHEN q > 1 THEN value END, 0.5)").select("event_type", ratio="round(cold / warm, 6)"),
 }

@@ -18,7 +18,7 @@ log = (
     .add(wait="CASE WHEN prev_t IS NOT NULL THEN greatest(0.0, (t - prev_t) / 1000000.0) END")
     .add(day="date_trunc('day', ts)", hour="CAST(hour(ts) AS BIGINT)", dom="CAST(day(ts) AS BIGINT)")
 )
-halved = log.cross(events.agg(cut="PCT(t, 0.5)")).add(early="CASE WHEN t < cut THEN 1 ELSE 0 END")
+halved = log.halve("t", "event_id")
 THRESHOLD = 21600  # seconds of wait that count as long
 long_wait = log.add(over=f"CASE WHEN wait > {THRESHOLD} THEN wait ELSE 0.0 END").where("wait IS NOT NULL")
 bigrams = log.where("nxt IS NOT NULL").agg("event_type", "nxt", n="count(*)")
@@ -77,16 +77,12 @@ PLANS = {
     "chain_makespan": chain.select("user_id", "n", span="round(span, 6)", idle="round(greatest(span - run, 0.0), 4)"),
     "concurrency_reconstruction": sweep.agg("user_id", peak="max(c)", mean="round(sum(c * w) / nullif(CAST(sum(w) AS DOUBLE), 0.0), 6)"),
     "dependency_resolution_join": events.select("event_id", "t", dep="event_id - 1").join(events.select(dep="event_id", dep_t="t"), "dep", how="left").agg(n="count(*)", found="count(dep_t)", p50="round(PCT((t - dep_t) / 1000000.0, 0.5), 6)"),
-    "process_sequence": variants.cross(variants.agg(every="CAST(sum(n) AS BIGINT)")).select("event_type", "nxt", "nxt2", "n", share="round(n / CAST(every AS DOUBLE), 9)", rare="n = 1"),
     "process_sequence_bottlenecks": log.where("wait IS NOT NULL").agg("prev_type", "event_type", n="count(*)", total_h="round(sum(wait) / 3600.0, 6)", p95="round(PCT(wait, 0.95), 6)"),
     "sequence_classification": events.select("event_type", dep="event_id * 2").join(events.select(dep="event_id"), "dep", how="semi").agg("event_type", sequence_runs="count(*)").join(events.agg("event_type", runs="count(*)"), "event_type"),
     "process_counterfactuals": savings("event_type"),
     "user_host_savings": savings("user_id"),
     "upload_linkage": log.add(up=f"max(CASE WHEN event_type = 'signup' THEN t END) OVER (PARTITION BY user_id ORDER BY ts, event_id {UPTO} 1 PRECEDING)").agg("event_type", n="count(*)", linked="CAST(sum(CASE WHEN t - up <= 172800000000 THEN 1 ELSE 0 END) AS BIGINT)"),
-    "process_drift_conformance_over_time": halves(("event_type", "nxt", "nxt2")).agg(l1="CAST(sum(abs(a - b)) AS BIGINT)"),
-    "variant_differential": halves(("event_type", "nxt", "nxt2")).select("event_type", "nxt", "nxt2", delta="b - a").where("nxt2 IS NOT NULL"),
     "conformance_checking": bigrams.add(before="coalesce(sum(n) OVER (ORDER BY n DESC, event_type, nxt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").cross(bigrams.agg(every="CAST(sum(n) AS BIGINT)")).select("event_type", "nxt", "n", baseline="before < 0.9 * every"),
-    "process_mining_conformance_v1": variants.agg(top="max(n)", every="CAST(sum(n) AS BIGINT)").select("top", "every", share="round(top / CAST(every AS DOUBLE), 9)"),
     "process_mining_discovery_v1": bigrams.top("n DESC, event_type, nxt", 10),
     "markov_transition_shift": halves(("event_type", "nxt")).where("nxt IS NOT NULL").select("event_type", "nxt", delta="abs(a - b)").top("delta DESC, event_type, nxt", 10),
     "sequential_patterns_prefixspan": bigrams.select("event_type", "nxt", support="n").top("support DESC, event_type, nxt", 10),
@@ -98,7 +94,6 @@ PLANS = {
     "param_variant_explosion_v1": events.agg("event_type", runs="count(*)", variants="count(DISTINCT props)").select("event_type", "runs", "variants", ratio="round(variants / CAST(runs AS DOUBLE), 9)"),
     "waterfall_summary_v2": long_wait.agg(total_h="round(sum(over) / 3600.0, 6)", driver_h="round(sum(CASE WHEN event_type = 'purchase' THEN over ELSE 0.0 END) / 3600.0, 6)"),
     "close_cycle_uplift": close.where("wait IS NOT NULL").agg("event_type", closed="avg(CASE WHEN is_close = 1 THEN wait END)", opened="avg(CASE WHEN is_close = 0 THEN wait END)").select("event_type", closed="round(closed, 6)", opened="round(opened, 6)", uplift="round(closed / opened, 6)"),
-    "close_cycle_window_resolver": log.agg("dom", n="count(*)").cross(log.agg(every="count(*)")).select("dom", "n", share="round(n / CAST(every AS DOUBLE), 9)"),
     "close_cycle_change_point_v1": daily.add(k="ntile(10) OVER (ORDER BY day)").agg(ratio="round(avg(CASE WHEN k > 7 THEN p95 END) / avg(CASE WHEN k <= 3 THEN p95 END), 6)"),
     "close_cycle_capacity_model": daily.cross(daily.agg(mn="avg(n)", sn="stddev_pop(n)", mm="avg(med)", sm="stddev_pop(med)")).select("day", "n", pressure="round((n - mn) / nullif(sn, 0.0) + (med - mm) / nullif(sm, 0.0), 6)"),
     "close_cycle_revenue_compression": table("orders").add(m="date_trunc('month', o_orderdate)").agg("m", n="count(*)", span_d="(US(max(o_orderdate)) - US(min(o_orderdate))) / 86400000000.0").select("m", "n", scale="round(span_d / 7.0, 6)"),
@@ -108,10 +103,8 @@ PLANS = {
     "hawkes_self_exciting": log.agg("event_type", cv="round(stddev_pop(wait) / avg(wait), 6)"),
     "etas_self_exciting_cascade_v1": log.join(log.agg("event_type", m="avg(wait)"), "event_type").agg("event_type", share="round(avg(CASE WHEN wait < 0.3 * m THEN 1.0 ELSE 0.0 END), 6)"),
     "hrv_intercompletion_v1": log.add(prev_wait=f"lag(wait) {CASE}").agg("user_id", sdnn="round(stddev_pop(wait), 6)", rmssd="round(sqrt(avg((wait - prev_wait) * (wait - prev_wait))), 6)").where("rmssd IS NOT NULL"),
-    "burst_detection_kleinberg": daily.cross(daily.agg(m="avg(n)", s="stddev_samp(n)")).where("n > m + s").select("day", "n"),
     "marked_point_process_intensity_v1": log.add(h="date_trunc('hour', ts)").agg("event_type", "h", n="count(*)").agg("event_type", p95="round(PCT(n, 0.95), 6)", hours="count(*)"),
     "circular_time_of_day_drift_v1": halved.add(a="hour * 2.0 * pi() / 24.0").agg("early", n="count(*)", c="avg(cos(a))", s="avg(sin(a))").select("n", early="CAST(early AS BIGINT)", mean="round(atan2(s, c), 6)", r="round(sqrt(c * c + s * s), 6)"),
-    "beta_binomial_overdispersion_v1": rates.select("event_type", "n", rate="round(bad / n, 9)"),
     "empirical_bayes_shrinkage_v1": rates.where("n >= 50").cross(rates.agg(tau2="var_samp(m)", grand="avg(m)")).select("event_type", "n", shrunk="round(n / (n + v / tau2) * m + (1.0 - n / (n + v / tau2)) * grand, 4)"),
     "buhlmann_credibility_v1": rates.cross(rates.agg(within="avg(v)", between="var_samp(m)")).select("event_type", z="round(n / (n + within / between), 6)"),
     "experience_rating_score_v1": rates.cross(long_wait.agg(grand="avg(wait)")).select("event_type", score="round(m / grand, 9)"),

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystat.plans.halves import early_half
+
 _SPARK = {"PCT": "percentile", "US": "unix_micros", "JGET": "get_json_object", "RSUB": "regexp_replace"}
 _DUCK = {"PCT": "quantile_cont", "US": "epoch_us", "JGET": "json_extract_string", "RSUB": "regexp_replace_all"}
 
@@ -83,6 +85,10 @@ class Plan:
         """One row for each whole number of a constant range."""
         return self._with("each", name, low, high)
 
+    def halve(self, t: str, *ties: str) -> Plan:
+        """Column early: 1 for the first int(n / 2) rows by t and ties, else 0."""
+        return self._with("halve", t, ties)
+
     def top(self, order: str, n: int) -> Plan:
         return self._with("top", order, n)
 
@@ -106,6 +112,8 @@ class Plan:
                 out = out.join(x[0].df(spark, sf_dir), F.expr(_spark(x[1])), x[2])
             elif kind == "union":
                 out = out.unionByName(x[0].df(spark, sf_dir))
+            elif kind == "halve":
+                out = early_half(out, [x[0], *x[1]])
             elif kind == "each":
                 out = out.selectExpr("*", f"explode(sequence({x[1]}L, {x[2]}L)) AS {x[0]}")
             else:
@@ -134,6 +142,8 @@ class Plan:
                 out = f"SELECT * FROM ({out}) {x[2].upper()} JOIN ({x[0].sql()}) ON {_duck(x[1])}"
             elif kind == "union":
                 out = f"({out}) UNION ALL BY NAME ({x[0].sql()})"
+            elif kind == "halve":
+                out = f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {', '.join((x[0], *x[1]))}) <= count(*) OVER () // 2 THEN 1 ELSE 0 END AS early FROM ({out})"
             elif kind == "each":
                 out = f"SELECT *, unnest(generate_series({x[1]}, {x[2]})) AS {x[0]} FROM ({out})"
             else:
