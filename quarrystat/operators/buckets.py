@@ -25,10 +25,10 @@ hours, days = buckets("hour"), buckets("day")
 
 
 def wave(source: Plan, x: str, *keys: str) -> Plan:
-    """Power of the centred series x at whole frequencies 1 to 32 of the series."""
+    """Power of the centred series x at all whole frequencies of the series, 1 to half its buckets."""
     turn = "2.0 * pi() * k * i / size"
     return (
-        source.each("k", 1, 32).agg("event_type", *keys, "k", re=f"sum({x} * cos({turn}))", im=f"sum({x} * sin({turn}))", size="max(size)")
+        source.each("k", 1, "greatest(1, floor(size / 2.0))").agg("event_type", *keys, "k", re=f"sum({x} * cos({turn}))", im=f"sum({x} * sin({turn}))", size="max(size)")
         .add(power="re * re + im * im")
     )
 
@@ -39,7 +39,7 @@ def peak(spectrum: Plan) -> Plan:
     return ranked.agg("event_type", k="max(CASE WHEN r = 1 THEN k END)", top="max(power)", every="sum(power)", mid="PCT(power, 0.5)", size="max(size)")
 
 
-def lagged(source: Plan, low: int, high: int) -> Plan:
+def lagged(source: Plan, low: int, high: int | str) -> Plan:
     """Pairs of a bucket and the one k positions later."""
     later = source.select("event_type", i="i", n2="n", v2="v")
     return source.each("k", low, high).select("event_type", "k", "n", "v", "mn", "mv", "size", m="i", i="i + k").join(later, "event_type", "i")
@@ -51,11 +51,11 @@ robust = hours.join(hours.agg("event_type", med="PCT(v, 0.5)"), "event_type").ad
 robust = robust.join(robust.agg("event_type", mad="PCT(a, 0.5)"), "event_type").add(z="(v - med) / nullif(1.4826 * mad, 0.0)")
 # the two-sided recursion max(0, S + z - k) in closed form: the running sum less its smallest value so far
 cusum = robust.add(cu=f"sum(z - 0.5) {RUN}", cd=f"sum(-z - 0.5) {RUN}").add(up=f"cu - least(0.0, min(cu) {RUN})", down=f"cd - least(0.0, min(cd) {RUN})")
-acf = lagged(hours, 1, 24).agg("event_type", "k", r="corr(n, n2)")
+acf = lagged(hours, 1, "greatest(1, floor(size / 2.0))").agg("event_type", "k", r="corr(n, n2)")
 higuchi = lagged(hours, 1, 8).add(off="m % k").agg("event_type", "k", "off", s="sum(abs(v2 - v))", c="count(*)", size="max(size)").add(len="s * (size - 1) / (c * k * k)").agg("event_type", "k", len="avg(len)")
 scaled = hours.each("e", 3, 7).add(w="CAST(round(power(2, e)) AS BIGINT)").add(c="CAST(floor((i - 1) / w) AS BIGINT)").add(m="avg(v) OVER (PARTITION BY event_type, w, c)", of="count(*) OVER (PARTITION BY event_type, w, c)").where("of = w")
 ranges = scaled.add(y="sum(v - m) OVER (PARTITION BY event_type, w, c ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)").agg("event_type", "w", "c", rs="(max(y) - min(y)) / nullif(stddev_pop(v), 0.0)").agg("event_type", "w", rs="avg(rs)")
-big = hours.join(hours.agg("event_type", p95="PCT(n, 0.95)"), "event_type").add(last=f"max(CASE WHEN n >= p95 THEN i END) {RUN}").add(k="i - last").where("k BETWEEN 1 AND 24").agg("event_type", "k", m="avg(n)")
+big = hours.join(hours.agg("event_type", p95="PCT(n, 0.95)"), "event_type").add(last=f"max(CASE WHEN n >= p95 THEN i END) {RUN}").add(k="i - last").where("k BETWEEN 1 AND 100").agg("event_type", "k", m="avg(n)")
 segments = events.add(day="date_trunc('day', ts)", i="CAST(hour(ts) AS BIGINT)").agg("event_type", "day", "i", n="count(*)", v="sum(value)")
 segments = segments.each("k", 1, 11).add(turn="2.0 * pi() * k * i / 24").agg("event_type", "day", "k", xr="sum(n * cos(turn))", xi="sum(n * sin(turn))", yr="sum(v * cos(turn))", yi="sum(v * sin(turn))")
 cross = segments.agg("event_type", "k", re="sum(xr * yr + xi * yi)", im="sum(xi * yr - xr * yi)", xx="sum(xr * xr + xi * xi)", yy="sum(yr * yr + yi * yi)")
@@ -69,12 +69,12 @@ PLANS = {
     "control_chart_cusum": cusum.agg("event_type", alarms="CAST(sum(CASE WHEN greatest(up, down) > 5.0 THEN 1 ELSE 0 END) AS BIGINT)", worst="round(max(greatest(up, down)), 5)"),
     "control_chart_suite": cusum.agg("event_type", individuals="CAST(sum(CASE WHEN abs(z) > 4.0 THEN 1 ELSE 0 END) AS BIGINT)", cusum="CAST(sum(CASE WHEN greatest(up, down) > 5.0 THEN 1 ELSE 0 END) AS BIGINT)", buckets="count(*)"),
     "periodicity_spectral_scan": peak(wave(hours.add(x="n - mn"), "x")).select("event_type", "k", ratio="round(top / nullif(mid, 0.0), 5)", period="round(size / CAST(k AS DOUBLE), 6)"),
-    "wave_directional_spectra_v1": wave(hours.add(x="n - mn"), "x").add(p=f"power / nullif(sum(power) {ALL}, 0.0)").where("p > 0.05").select("event_type", "k", p="round(p, 6)"),
+    "wave_directional_spectra_v1": hours.agg("event_type", e="count(*) * var_pop(v)").add(share="e / sum(e) OVER ()").select("event_type", share="round(share, 6)", dominant="share > 0.3"),
     "tidal_harmonic_cycles_v1": wave(hours.add(x="v - mv"), "x").add(r="row_number() OVER (PARTITION BY event_type ORDER BY power DESC, k)").agg("event_type", fraction="round(sum(CASE WHEN r <= 5 THEN power ELSE 0.0 END) / sum(power), 6)"),
     "periodic_schedule_fft_v1": peak(wave(gap_hours.add(x="v - mv"), "x")).select("event_type", "k", share="round(top / every, 6)"),
     "spectral_coherence_coupling_v1": cross.select("event_type", "k", coherence="round((re * re + im * im) / nullif(xx * yy, 0.0), 6)"),
     "bode_frequency_response_v1": cross.select("event_type", "k", gain="round(sqrt(re * re + im * im) / nullif(xx, 0.0), 4)"),
-    "bls_periodic_outage_v1": hours.each("period", 2, 48).add(phase="i % period").agg("event_type", "period", "phase", low="avg(v)", mv="max(mv)", sv="max(sv)", c="count(*)").agg("event_type", "period", depth="max((mv - low) / nullif(sv, 0.0) * sqrt(c))").select("event_type", "period", depth="round(depth, 5)"),
+    "bls_periodic_outage_v1": hours.each("period", 2, 51).add(phase="i % period").agg("event_type", "period", "phase", low="avg(v)", mv="max(mv)", sv="max(sv)", c="count(*)").agg("event_type", "period", depth="max((mv - low) / nullif(sv, 0.0) * sqrt(c))").select("event_type", "period", depth="round(depth, 5)"),
     "tempo_tracking_cadence_v1": acf.select("event_type", "k", r="round(r, 6)"),
     "higuchi_fractal_dimension_v1": higuchi.agg("event_type", dimension="round(-regr_slope(ln(len), ln(k)), 6)"),
     "hurst_exponent_long_memory_v1": ranges.agg("event_type", hurst="round(regr_slope(ln(rs), ln(w)), 6)", r2="round(regr_r2(ln(rs), ln(w)), 6)"),

@@ -18,16 +18,14 @@ sold = (
 )
 
 
-def strongest(source: Plan, *keys: str, share: float = 0.75) -> Plan:
-    """The edges with at least the quantile ``share`` of counts; no loops."""
-    edges = source.where("src <> dst").agg(*keys, "src", "dst", n="count(*)", w="round(avg(price), 4)")
-    limit = edges.agg(*keys, cut=f"PCT(n, {share})")
-    return (edges.join(limit, *keys) if keys else edges.cross(limit)).where("n >= cut").select(*keys, "src", "dst", "n", "w")
+def weighted(source: Plan, *keys: str) -> Plan:
+    """All distinct edges with their number and mean price; no loops."""
+    return source.where("src <> dst").agg(*keys, "src", "dst", n="count(*)", w="round(avg(price), 4)")
 
 
-trade = strongest(sold)
-halved = strongest(sold.halve("t", "o_orderkey", "s_suppkey", "price"), "early")
-few = strongest(sold, share=0.95)
+trade = weighted(sold)
+halved = weighted(sold.halve("t", "o_orderkey", "s_suppkey", "price"), "early")
+few = trade
 back = trade.select(src="dst", dst="src", m="n")
 both = trade.select("src", "dst", "n", "w").union(trade.select("n", "w", src="dst", dst="src")).agg("src", "dst", n="CAST(sum(n) AS BIGINT)", w="avg(w)")
 node = both.agg("src", k="count(*)", own="avg(w)", sd="stddev_pop(w)")

@@ -9,20 +9,26 @@ from quarrystat.plans.registry import register
 from quarrystat.plans.scratch import materialize
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """Rows (node, rank) for a fixed number of rounds; sinks give their rank to all nodes. Edges are distinct (src, dst)."""
-    edges = materialize(edges.select("src", "dst").distinct().join(edges.select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("out")), "src"), "edges")
+def pagerank(edges: DataFrame, rounds: int = 60, damping: float = 0.85, tolerance: float = 1e-12, cut: int = 5) -> DataFrame:
+    """Rows (node, rank); sinks give their rank to all nodes. Edges are distinct (src, dst).
+
+    Every ``cut`` rounds the ranks are written and, once they move by less than ``tolerance`` together, given back."""
+    pairs = edges.select("src", "dst").distinct()
+    edges = materialize(pairs.join(pairs.groupBy("src").agg(F.count("*").alias("out")), "src"), "edges")
     nodes = materialize(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct(), "nodes")
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
+    n = max(nodes.count(), 1)
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    for i in range(1, rounds + 1):
         given = edges.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.join(given, "node", "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
-        ranks = ranks.withColumn("rank", (1 - damping) / n + damping * F.col("got")).select("node", "rank")
-        lost = 1.0 - (ranks.agg(F.sum("rank")).first()[0] or 1.0)
-        ranks = ranks.withColumn("rank", F.col("rank") + F.lit(lost / max(n, 1)))
-        if i % 5 == 4:
-            ranks = materialize(ranks, "ranks")
+        kept = given.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("kept"))  # one row; what is missing to 1 lay on sinks
+        after = nodes.join(given, "node", "left").crossJoin(F.broadcast(kept))
+        new = after.select("node", ((1 - damping * F.col("kept")) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if i % cut == 0 or i == rounds:
+            old, new = ranks, materialize(new, "ranks")
+            moved = new.join(old.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if moved is None or moved < tolerance:
+                return new
+        ranks = new
     return ranks
 
 

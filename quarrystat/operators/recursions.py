@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystat.plans.registry import register
@@ -82,19 +82,44 @@ def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @register("control_chart_recursions")
 def _recursions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value").where("value IS NOT NULL")
+    """On hourly means, so that the time range and not the number of rows bounds a series."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL")
+    hours = rows.groupBy("event_type", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value"), F.min("event_id").alias("event_id"))
     kinds = "event_type string, n long, ewma_last double, cusum_up double, cusum_down double, page_hinkley double, ddm_alarm long, kalman_last double"
-    return rows.groupBy("event_type").applyInPandas(summarise, kinds)
+    return hours.groupBy("event_type").applyInPandas(summarise, kinds)
+
+
+def ewma_chart(df: DataFrame, key: str, time: str, tie: str, value: str, lam: float = 0.2, width: float = 3.0, least: int = 30) -> DataFrame:
+    """Last EWMA of each key against mean ± width · σ · sqrt(λ / (2 − λ)).
+
+    A value's weight falls with its place from the end: beyond the last few hundred rows it is under 1e-17 of the whole. So only
+    the rows after a time that a quantile sketch bounds are ordered; the first row's larger weight counts where it is among them.
+    """
+    from math import log
+
+    reach = int(-40 / log(1 - lam)) + 1
+    rows = df.select(F.col(key).alias("key"), F.col(time).alias("t"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("x")).where("key IS NOT NULL AND t IS NOT NULL AND x IS NOT NULL")
+    us = F.unix_micros(F.col("t").cast("timestamp"))
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile_approx(us, [0.0, 0.5, 0.9, 0.99, 0.999], 10000).alias("cuts"))
+    spare = F.filter(F.arrays_zip(F.lit([1.0, 0.5, 0.1, 0.01, 0.001]).alias("left"), "cuts"), lambda z: F.col("n") * z["left"] >= 2 * reach + F.col("n") / 5000)
+    sums = sums.withColumn("cut", F.coalesce(F.element_at(spare, -1)["cuts"], F.element_at("cuts", 1)))
+    last = rows.join(F.broadcast(sums), "key").where(us >= F.col("cut"))
+    ranked = last.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.col("t").desc(), F.col("tie").desc()))).where(F.col("k") <= reach)
+    weight = F.pow(F.lit(1 - lam), F.col("k") - 1) * F.when(F.col("k") == F.col("n"), F.lit(1.0)).otherwise(F.lit(lam))
+    out = ranked.groupBy("key", "n", "mean", "sd").agg(F.sum(F.col("x") * weight).alias("ewma"))
+    limit = width * F.col("sd") * (lam / (2 - lam)) ** 0.5
+    status = F.when(F.col("n") >= least, F.lit("ok")).otherwise(F.lit("na"))
+    return out.select("key", "n", F.round("ewma", 6).alias("ewma"), F.round(limit, 6).alias("threshold"), (F.abs(F.col("ewma") - F.col("mean")) > limit).alias("alarm"), status.alias("status"))
 
 
 @register(
     "control_chart_ewma",
     """WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k,
-                         count(*) OVER (PARTITION BY event_type) AS n FROM events)
-       SELECT event_type, round(sum(value * power(0.8, k - 1) * CASE WHEN k = n THEN 1 ELSE 0.2 END), 6) AS ewma FROM s GROUP BY event_type""",
+                         count(*) OVER (PARTITION BY event_type) AS n FROM events),
+       e AS (SELECT event_type AS key, n, avg(value) AS m, stddev_pop(value) AS sd,
+                    sum(value * power(0.8, k - 1) * CASE WHEN k = n THEN 1 ELSE 0.2 END) AS e FROM s GROUP BY ALL)
+       SELECT key, n, round(e, 6) AS ewma, round(3 * sd * sqrt(0.2 / 1.8), 6) AS threshold, abs(e - m) > 3 * sd * sqrt(0.2 / 1.8) AS alarm,
+              CASE WHEN n >= 30 THEN 'ok' ELSE 'na' END AS status FROM e""",
 )
 def _ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed form of the recursion: weights fall with the place from the end, so it needs an aggregate, not an order."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    step = F.aggregate("s", F.lit(None).cast("double"), lambda m, x: F.coalesce(0.2 * x["value"] + 0.8 * m, x["value"]))
-    return rows.select("event_type", F.round(step, 6).alias("ewma"))
+    return ewma_chart(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "event_id", "value")

@@ -83,7 +83,7 @@ PLANS = {
     "transfer_entropy_directional": items.add(p="lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice)").agg(r=corr("p", "l_extendedprice")),
     "lagged_predictability_test": series.agg("event_type", r=corr("prev", "value")),
     "granger_causality_v1": series.add(pt=f"lag(t) {SER}").agg("event_type", r=corr("t - pt", "prev")),
-    "teleconnection_lag_v1": events.add(**{f"l{k}": f"lag(value, {k}) {SER}" for k in range(1, 6)}).agg("event_type", **{f"r{k}": corr(f"l{k}", "value") for k in range(1, 6)}),
+    "teleconnection_lag_v1": events.add(**{f"l{k}": f"lag(value, {k}) {SER}" for k in range(1, 21)}).agg("event_type", **{f"r{k}": corr(f"l{k}", "value") for k in range(1, 21)}),
     "pid_controller_analogue_v1": series.join(med, "event_type").add(e="value - m").add(i_e=f"sum(e) {FRAME.format('UNBOUNDED PRECEDING', 'CURRENT ROW')}", d_e=f"e - lag(e) {SER}").agg("event_type", p="var_pop(e)", i="var_pop(i_e)", d="var_pop(d_e)").select("event_type", p_share="round(p / (p + i + d), 6)", d_share="round(d / (p + i + d), 6)"),
     "soil_depletion_resource_v1": chunks.where("m > 0").agg("event_type", decay="round(regr_slope(ln(m), k), 6)"),
     "half_life_utilization_v1": chunks.where("m > 0").agg("event_type", decay="regr_slope(ln(m), k)").select("event_type", half_life="round(ln(2) / nullif(abs(decay), 0.0), 3)"),

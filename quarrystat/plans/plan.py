@@ -81,8 +81,8 @@ class Plan:
     def union(self, other: Plan) -> Plan:
         return self._with("union", other)
 
-    def each(self, name: str, low: int, high: int) -> Plan:
-        """One row for each whole number of a constant range."""
+    def each(self, name: str, low: int, high: int | str) -> Plan:
+        """One row for each whole number of a range; ``high`` is a constant or an expression of at least ``low``."""
         return self._with("each", name, low, high)
 
     def halve(self, t: str, *ties: str) -> Plan:
@@ -115,7 +115,7 @@ class Plan:
             elif kind == "halve":
                 out = early_half(out, [x[0], *x[1]])
             elif kind == "each":
-                out = out.selectExpr("*", f"explode(sequence({x[1]}L, {x[2]}L)) AS {x[0]}")
+                out = out.selectExpr("*", f"explode(sequence({x[1]}L, CAST({_spark(str(x[2]))} AS BIGINT))) AS {x[0]}")
             else:
                 out = out.orderBy(*[F.expr(o.removesuffix(" DESC")).desc() if o.endswith(" DESC") else F.expr(o).asc() for o in x[0].split(", ")]).limit(x[1])
         return out
@@ -145,7 +145,7 @@ class Plan:
             elif kind == "halve":
                 out = f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {', '.join((x[0], *x[1]))}) <= count(*) OVER () // 2 THEN 1 ELSE 0 END AS early FROM ({out})"
             elif kind == "each":
-                out = f"SELECT *, unnest(generate_series({x[1]}, {x[2]})) AS {x[0]} FROM ({out})"
+                out = f"SELECT *, unnest(generate_series({x[1]}, CAST({_duck(str(x[2]))} AS BIGINT))) AS {x[0]} FROM ({out})"
             else:
                 out = f"SELECT * FROM ({out}) ORDER BY {x[0]} LIMIT {x[1]}"
         return out

@@ -23,7 +23,9 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options:
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
         df = spark.read.options(header=True, inferSchema=True, **options).csv(path)
-        return df.toDF(*unique_headers([re.sub(r"\d+$", "", c) if df.columns.count(c) > 1 else c for c in df.columns]))
+        # Spark renames repeated headers, so the header line is read apart
+        names = spark.read.options(**(options | {"header": "false", "inferSchema": "false"})).csv(path).head()
+        return df.toDF(*unique_headers([n or "" for n in names])) if names is not None and len(names) == len(df.columns) else df
     if kind in ("json", "jsonl"):
         return spark.read.options(multiLine=kind == "json", **options).json(path)
     if kind == "parquet":

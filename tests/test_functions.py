@@ -17,6 +17,23 @@ def test_guard(spark):
             guard.guarded_sql(spark, bad)
     with pytest.raises(guard.NotAllowed):
         guard.guarded_sql(spark, "SELECT * FROM range(10)", max_rows=9)
+    spark.sql("CREATE TABLE IF NOT EXISTS guarded (a INT) USING parquet")
+    spark.range(1).createOrReplaceTempView("one_row")
+    try:
+        for bad in (
+            "WITH t AS (SELECT 1 AS a) INSERT INTO guarded SELECT * FROM t",
+            "FROM one_row INSERT INTO guarded SELECT CAST(id AS INT) INSERT INTO guarded SELECT 2",
+            "SELECT reflect('java.lang.System', 'getenv', 'HOME')",
+            "SELECT a FROM (SELECT java_method('java.lang.System', 'nanoTime') AS a)",
+            "SELECT * FROM one_row WHERE id IN (SELECT reflect('java.lang.System', 'nanoTime'))",
+            "FROM one_row SELECT TRANSFORM(id) USING 'cat' AS (x STRING)",
+        ):
+            with pytest.raises(guard.NotAllowed):
+                guard.guarded_sql(spark, bad)
+        assert spark.table("guarded").count() == 0
+    finally:
+        spark.sql("DROP TABLE guarded")
+    assert guard.guarded_sql(spark, "SELECT max(a) AS m FROM (SELECT id AS a FROM one_row UNION ALL SELECT 5) WHERE a IN (SELECT 5)").first()["m"] == 5
     assert guard.statement_id("SELECT  1") == guard.statement_id("SELECT\n1")
 
 
@@ -27,6 +44,10 @@ def one(spark, f, value):
 def test_text(spark):
     assert one(spark, text.mask, "job 12 at 0xFF id 123e4567-e89b-12d3-a456-426614174000") == "job <num> at <hex> id <uuid>"
     assert one(spark, text.redact, "a.b@c.org from 10.0.0.1") == "<email> from <ip>"
+    assert one(spark, text.redact, "4111 1111 1111 1111, 4111 1111 1111 1112, 3782-822463-10005") == "<card>, 4111 1111 1111 1112, <card>"
+    assert one(spark, text.redact, "call +1 (555) 123-4567 or 555-123-4567; 256.1.1.1 1.2.3.4.") == "call <phone> or <phone>; 256.1.1.1 <ip>."
+    assert one(spark, text.redact, "id 123e4567-e89b-12d3-a456-426614174000") == "id <uuid>" and one(spark, text.redact, None) is None
+    assert one(spark, text.mask, "mail a@b.c 5") == "mail <email> <num>"
     assert one(spark, text.normal_organisation, " Smith & Sons, Inc. ") == "SMITH AND SONS"
     pairs = lambda v: [tuple(p) for p in one(spark, text.parse_params, v)]
     assert pairs("b=2; a:1=x; junk") == [("a:1", "x"), ("b", "2")] and pairs("plain") == [("raw", "plain")]
@@ -38,6 +59,8 @@ def test_readers(spark, tmp_path):
     df = readers.read_any(spark, f"{tmp_path}/a.csv")
     assert df.count() == 2 and readers.unique_headers(["a", "", "a", "a"]) == ["a", "column", "a_2", "a_3"]
     assert [r["y"] for r in readers.normalise(df).collect()] == ["two", None]
+    (tmp_path / "r.csv").write_text("a,b,a,,1\n1,2,3,4,5\n")
+    assert readers.read_any(spark, f"{tmp_path}/r.csv").columns == ["a", "b", "a_2", "column", "1"]
     assert {r["name"]: r["missing"] for r in readers.profile(df).collect()} == {"x": 0.0, "y": 0.5}
     (tmp_path / "d.sql").write_text("CREATE TABLE t (id INT, name TEXT, PRIMARY KEY (id));\nINSERT INTO t VALUES (1,'a, (b)'),(2,NULL);\nINSERT INTO t VALUES (3,'it''s');\n")
     rows = readers.read_any(spark, f"{tmp_path}/d.sql").collect()
