@@ -37,6 +37,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """As ``materialize``, in as many buckets of ``key`` as shuffles have partitions: joins and groups by the key don't move
+    the rows again. The table's name leaves the catalog at once; its files stay in the shared folder."""
+    spark = df.sparkSession
+    name = f"quarrystat_{tag}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", f"{scratch_dir(spark)}/quarrystat/{name}").saveAsTable(name)
+    out = spark.table(name)  # resolved to its files here
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a lambda variable, so that it is evaluated once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -117,23 +117,29 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id) LEFT JOIN
 
 LM = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-u AS (SELECT doc_id, i, w[i] AS x, w[i - 1] AS h FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+u AS (SELECT doc_id, i, w[i] AS x, w[i - 1] AS h, w[i - 2] AS g FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
 total AS (SELECT count(*) AS n FROM u),
 c1 AS (SELECT doc_id, x, count(*) AS own FROM u GROUP BY ALL),
 t1 AS (SELECT x, sum(own) AS c FROM c1 GROUP BY x),
 c2 AS (SELECT doc_id, h, x, count(*) AS own FROM u WHERE i > 1 GROUP BY ALL),
 t2 AS (SELECT h, x, sum(own) AS c FROM c2 GROUP BY ALL),
+c3 AS (SELECT doc_id, g, h, x, count(*) AS own FROM u WHERE i > 2 GROUP BY ALL),
+t3 AS (SELECT g, h, x, sum(own) AS c FROM c3 GROUP BY ALL),
 one AS (SELECT doc_id, c1.x, t1.c - own AS c FROM c1 JOIN t1 USING (x)),
 two AS (SELECT doc_id, c2.h, c2.x, t2.c - own AS c FROM c2 JOIN t2 ON c2.h = t2.h AND c2.x = t2.x),
+three AS (SELECT doc_id, c3.g, c3.h, c3.x, t3.c - own AS c FROM c3 JOIN t3 ON c3.g = t3.g AND c3.h = t3.h AND c3.x = t3.x),
 s AS (
-  SELECT u.doc_id, ln(greatest(a.c, 1)) - ln(greatest(total.n - len(w.w), 1)) AS single, two.c AS both_c, b.c AS context, u.i
+  SELECT u.doc_id, ln(greatest(a.c, 1)) - ln(greatest(total.n - len(w.w), 1)) AS single, two.c AS both_c, b.c AS context,
+         three.c AS three_c, before.c AS context2, u.i
   FROM u JOIN w USING (doc_id) CROSS JOIN total JOIN one a ON a.doc_id = u.doc_id AND a.x = u.x
   LEFT JOIN two ON two.doc_id = u.doc_id AND two.h = u.h AND two.x = u.x
-  LEFT JOIN one b ON b.doc_id = u.doc_id AND b.x = u.h),
+  LEFT JOIN one b ON b.doc_id = u.doc_id AND b.x = u.h
+  LEFT JOIN three ON three.doc_id = u.doc_id AND three.g = u.g AND three.h = u.h AND three.x = u.x
+  LEFT JOIN two before ON before.doc_id = u.doc_id AND before.h = u.g AND before.x = u.h),
+p AS (SELECT *, CASE WHEN i = 1 THEN single WHEN both_c > 0 THEN ln(both_c) - ln(greatest(context, 1)) ELSE ln(0.4) + single END AS pair FROM s),
 d AS (
-  SELECT doc_id, count(*) AS n,
-         sum(CASE WHEN i = 1 THEN single WHEN both_c > 0 THEN ln(both_c) - ln(greatest(context, 1)) ELSE ln(0.4) + single END) AS v
-  FROM s GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n, sum(CASE WHEN i <= 2 THEN pair WHEN three_c > 0 THEN ln(three_c) - ln(greatest(context2, 1)) ELSE ln(0.4) + pair END) AS v
+  FROM p GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(v / n, 6) AS lm_score FROM documents LEFT JOIN d USING (doc_id)
 """
 

@@ -40,7 +40,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda s, d: language_id.digest(docs(s, d)),
         "op2_lm_score": lambda s, d: lm_score.digest(docs(s, d)),
-        "op2_lm_score_order3": lambda s, d: lm_score.digest(docs(s, d), lm_score.Model(order=3)),
         "op3_mixing": lambda s, d: mixing.digest(docs(s, d)),
         "op4_quality_rules": lambda s, d: quality_rules.digest(docs(s, d)),
         "op5_token_output": lambda s, d: token_output.digest(docs(s, d), token_config()),

@@ -43,21 +43,22 @@ def components(docs, k, num, den):
     return out
 
 
-def lm(docs, backoff=0.4):
+def lm(docs, order=3, backoff=0.4):
     words = {i: SPACE.findall(lower(t)) for i, t in docs}
-    one = Counter(w for ws in words.values() for w in ws)
-    two = Counter(p for ws in words.values() for p in zip(ws, ws[1:]))
-    total, out = sum(one.values()), {}
-    for i, ws in words.items():
-        own1, own2, s = Counter(ws), Counter(zip(ws, ws[1:])), 0.0
-        for j, w in enumerate(ws):
-            low = math.log(max(one[w] - own1[w], 1)) - math.log(max(total - len(ws), 1))
-            p = (ws[j - 1], w) if j else None
-            if p and two[p] - own2[p] > 0:
-                s += math.log(two[p] - own2[p]) - math.log(max(one[p[0]] - own1[p[0]], 1))
-            else:
-                s += low + (math.log(backoff) if p else 0)
-        out[i] = (len(ws), s / len(ws) if ws else None)
+    grams = {i: [Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) for n in range(1, order + 1)] for i, w in words.items()}
+    every = [sum((g[n] for g in grams.values()), Counter()) for n in range(order)]
+    total, out = sum(every[0].values()), {}
+    for i, w in words.items():
+
+        def count(g):
+            return every[len(g) - 1][g] - grams[i][len(g) - 1][g]
+
+        def one(g):
+            if len(g) == 1:
+                return math.log(max(count(g), 1)) - math.log(max(total - len(w), 1))
+            return math.log(count(g)) - math.log(max(count(g[:-1]), 1)) if count(g) > 0 else math.log(backoff) + one(g[1:])
+
+        out[i] = (len(w), sum(one(tuple(w[max(0, j - order + 1) : j + 1])) for j in range(len(w))) / len(w) if w else None)
     return out
 
 

@@ -75,36 +75,34 @@ def test_jaccard_keep_one(odd, odd_rows):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c, _ in brute.components(odd_rows, 4, 85, 100).values()}
 
 
-def test_lm_score(table):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_score(table, order):
     df, rows = table
-    got, want = by_id(lm_score.score(df, lm_score.Model(unit_chars=5000, bucket_chars=3000)), "n_words", "lm_score"), brute.lm(rows)
+    got = by_id(lm_score.score(df, lm_score.Model(order=order, unit_chars=5000, bucket_chars=3000)), "n_words", "lm_score")
+    want = brute.lm(rows, order)
     assert got.keys() == want.keys()
     for i, (n, s) in want.items():
         assert got[i][0] == n and (got[i][1] is None) == (s is None) and (s is None or abs(got[i][1] - s) < 1e-9)
 
 
-def test_lm_score_order_three(spark, rows):
-    """The registered query of order 3 looks at two words before; scores equal the plain recursion."""
-    import math
+def test_lm_counts(odd, odd_rows):
     from collections import Counter
 
-    from quarrystat.llm import queries
-
-    assert "op2_lm_score_order3" in queries.queries()
-    some = rows[:60]
-    words = {i: brute.SPACE.findall(brute.lower(t)) for i, t in some}
-    grams = {i: [Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) for n in (1, 2, 3)] for i, w in words.items()}
-    every = [sum((g[n] for g in grams.values()), Counter()) for n in range(3)]
-    total = sum(every[0].values())
-    got = by_id(lm_score.score(spark.createDataFrame(some, "doc_id long, text string"), lm_score.Model(order=3)), "lm_score")
-    for i, w in words.items():
-        c = lambda g: every[len(g) - 1][g] - grams[i][len(g) - 1][g]
-        def one(g):
-            if len(g) == 1:
-                return math.log(max(c(g), 1)) - math.log(max(total - len(w), 1))
-            return math.log(c(g)) - math.log(max(c(g[:-1]), 1)) if c(g) > 0 else math.log(0.4) + one(g[1:])
-        want = sum(one(tuple(w[max(0, j - 2) : j + 1])) for j in range(len(w))) / len(w) if w else None
-        assert (got[i][0] is None) == (want is None) and (want is None or abs(got[i][0] - want) < 1e-9)
+    for order in (1, 3):
+        want = Counter(tuple(w[j : j + order]) for _, t in odd_rows for w in [brute.SPACE.findall(brute.lower(t))] for j in range(len(w) - order + 1))
+        got = lm_score.count_table(odd, order, lm_score.Model(unit_chars=5000, bucket_chars=3000)).collect()
+        assert sorted(r["n"] for r in got) == sorted(want.values()) and len({r["hash"] for r in got}) == len(got)
+
+
+def test_lm_packing():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for n in (1, 5, 3000):
+        keys = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        assert (lm_score.unpack(lm_score.pack(keys)) == keys).all()
+    counts = r.integers(1, 2**40, 50)
+    assert (lm_score.unpack_counts(lm_score.pack_counts(counts)) == counts).all()
 
 
 def test_tokens(table):
