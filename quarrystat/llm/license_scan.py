@@ -1,7 +1,7 @@
 """License scans with ordered signature rules.
 
-Signatures are regular expressions built by rule from hand-written families: a family's names, SPDX forms, addresses and
-grant sentences. Each signature has keywords; an automaton over all keywords reads a text once, and only signatures whose
+Signatures are regular expressions: hand-written sentences of licence texts, file headers and warranties, and forms built by
+rule from families: their names, SPDX ids, addresses and grants. Each signature has keywords; an automaton over all keywords reads a text once, and only signatures whose
 keywords all occur are run. Detections are taken by priority, then by length and place; one that lies inside the interval
 of a detection already taken is suppressed. Base phrases (runs of words) are counted apart and their labels always stay.
 
@@ -12,6 +12,7 @@ a very long text is read whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from quarrystat.llm.texthash import LOWER, worker_cache
 
+SEP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
+
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -76,8 +79,12 @@ FAMILIES = {
     "proprietary": (["proprietary and confidential", "unauthorized copying of this file"], ["licenseref-proprietary"], []),
 }
 
-#: Sentences that grant, put before a name.
-GRANTS = ["licensed under", "released under", "distributed under", "available under", "provided under", "published under", "subject to", "under the terms of"]
+#: What stands before a name that is granted, with a word that tells of it.
+GRANTS = {
+    "under": rf"(?:licensed|released|distributed|available|provided|published|redistributed|offered|covered){SEP}+under(?:{SEP}+the{SEP}+terms{SEP}+(?:and{SEP}+conditions{SEP}+)?of)?",
+    "terms": rf"(?:under|by|to){SEP}+the{SEP}+(?:terms|provisions){SEP}+(?:and{SEP}+conditions{SEP}+)?of",
+    "subject": rf"subject{SEP}+to",
+}
 
 #: Short names of Creative Commons licences by their terms, and of GNU licences.
 CC_TERMS = {"cc-by": "by", "cc-by-sa": "by sa", "cc-by-nc": "by nc", "cc-by-nd": "by nd", "cc-by-nc-sa": "by nc sa", "cc-by-nc-nd": "by nc nd"}
@@ -113,9 +120,80 @@ BODIES = [
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", ("deed", "dedicated")),
     ("elastic", "you may not provide the software to third parties as a hosted or managed service", ("hosted", "managed")),
     ("busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", ("licensor", "derivative")),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("merchantability", "noninfringement")),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", ("holders", "liable")),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties", ("contributors", "implied")),
+    ("bsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages", ("exemplary", "contributors")),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", ("endorse", "promote")),
+    ("bsd", "all advertising materials mentioning features or use of this software must display the following acknowledgement", ("advertising", "acknowledgement")),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", ("disclaims", "warranties")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that", ("purpose", "provided")),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements", ("apache", "agreements")),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ("applicable", "basis")),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license", ("governing", "limitations")),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license", ("contributor", "patent")),
+    ("apache", "you must cause any modified files to carry prominent notices stating that you changed the files", ("prominent", "notices")),
+    ("apache", "this product includes software developed by the apache software foundation", ("developed", "foundation")),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability", ("hope", "merchantability")),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ("received", "gnu")),
+    ("gpl", "you may convey verbatim copies of the program s source code as you receive it", ("convey", "verbatim")),
+    ("gpl", "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program", ("publish", "derived")),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("verbatim", "everyone")),
+    ("gpl", "a work that contains portions of the program and is a derivative is licensed as a whole at no charge to all third parties", ("portions", "parties")),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty", ("hope", "library")),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it", ("derivative", "linked")),
+    ("lgpl", "you may convey a combined work under terms of your choice", ("convey", "combined")),
+    ("agpl", "notwithstanding any other provision of this license if you modify the program your modified version must prominently offer all users", ("notwithstanding", "prominently")),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", ("mpl", "obtain")),
+    ("mpl", "the contents of this file are subject to the mozilla public license", ("contents", "mozilla")),
+    ("mpl", "software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language", ("kind", "language")),
+    ("epl", "each contributor hereby grants recipient a non exclusive worldwide royalty free copyright license", ("contributor", "recipient")),
+    ("epl", "a contributor may choose to distribute the program in object code form under its own license agreement", ("contributor", "object")),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ("contents", "development")),
+    ("cddl", "when distributing covered code include this cddl header notice in each file", ("cddl", "header")),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("anyone", "freely")),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("origin", "misrepresented")),
+    ("boost", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies", ("entire", "disclaimer")),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ("compile", "anyone")),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", ("jurisdictions", "dedicate")),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ("extent", "neighboring")),
+    ("cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives", ("affirmer", "waives")),
+    ("cc-by", "you are free to share copy and redistribute the material in any medium or format", ("redistribute", "medium")),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", ("appropriate", "indicate")),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", ("remix", "contributions")),
+    ("cc-by-nc", "you may not use the material for commercial purposes", ("material", "commercial")),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", ("remix", "modified")),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ("document", "gnu")),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts", ("invariant", "cover")),
+    ("ofl", "the fonts including any derivative works can be bundled embedded redistributed and or sold with any software provided that any reserved names are not used", ("fonts", "reserved")),
+    ("ofl", "no modified version of the font software may use the reserved font name", ("font", "reserved")),
+    ("python", "subject to the terms and conditions of this license agreement psf hereby grants", ("psf", "conditions")),
+    ("artistic", "you may make and give away verbatim copies of the source form of the standard version of this package", ("verbatim", "package")),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", ("openssl", "toolkit")),
+    ("php", "this product includes php software freely available from", ("php", "freely")),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices", ("verbatim", "duplicate")),
+    ("ms-pl", "each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution prepare derivative works of its contribution", ("contributor", "prepare")),
+    ("ms-rl", "for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code to that file", ("recipients", "binary")),
+    ("odbl", "you are free to share to copy distribute and use the database", ("share", "database")),
+    ("odbl", "you must attribute any public use of the database or works produced from the database", ("attribute", "database")),
+    ("ogl", "you must acknowledge the source of the information in your product or application by including or linking to any attribution statement", ("acknowledge", "attribution")),
+    ("eupl", "the licensor grants you a worldwide royalty free non exclusive sublicensable licence", ("licensor", "sublicensable")),
+    ("cecill", "the purpose of this free software license agreement is to grant users the right to modify and redistribute the software governed by this license", ("governed", "grant")),
+    ("sspl", "if you make the functionality of the program or a modified version available to third parties as a service", ("functionality", "service")),
+    ("busl", "the additional use grant and the change date", ("additional", "change")),
+    ("elastic", "you may not move change disable or circumvent the license key functionality in the software", ("circumvent", "functionality")),
+    ("openrail", "you agree not to use the model or derivatives of the model for the specified restricted uses", ("derivatives", "restricted")),
+    ("osl", "licensor hereby grants you a worldwide royalty free non exclusive sublicensable license for the duration of the copyright", ("licensor", "duration")),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", ("verbatim", "everyone")),
+    ("proprietary", "this software is the confidential and proprietary information of", ("confidential", "proprietary")),
+    ("proprietary", "no part of this publication may be reproduced stored in a retrieval system or transmitted in any form or by any means", ("retrieval", "reproduced")),
+    ("proprietary", "any unauthorized copying distribution or use of this material is strictly prohibited", ("unauthorized", "prohibited")),
+    ("proprietary", "reproduction in whole or in part without written permission is prohibited", ("reproduction", "prohibited")),
+    ("public-domain", "this file is in the public domain and comes with no warranty", ("domain", "warranty")),
+    ("public-domain", "the author hereby disclaims copyright to this source code", ("disclaims", "author")),
+    ("public-domain", "this work is a work of the united states government and is not subject to copyright protection", ("states", "protection")),
 ]
 
-SEP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 NOT_BEFORE, NOT_AFTER = r"(?<![0-9a-z\x80-\xff])", r"(?![0-9a-z\x80-\xff])"
 
 
@@ -133,15 +211,15 @@ def signatures() -> list[tuple[int, str, float, tuple[str, ...], str]]:
             bare = _words(s) + ending
             out.append((75, label, 0.85, ("licen", word), rf"licen[sc]es?{SEP}{{0,3}}[:=]{SEP}{{0,3}}{bare}"))
             out.append((75, label, 0.85, ("licen", word), rf"{bare}{SEP}+licen[sc]ed?"))
-            for g in GRANTS:
-                out.append((75, label, 0.85, (g.split()[0], word), rf"{_words(g)}{SEP}+(?:the{SEP}+|an?{SEP}+)?{bare}"))
+            for key, g in GRANTS.items():
+                out.append((75, label, 0.85, (key, word), rf"{g}{SEP}+(?:the{SEP}+|an?{SEP}+)?{bare}"))
         for a in addresses:
             out.append((90, label, 0.95, (a,), re.escape(a) + r"[0-9a-z./_-]*"))
         for n in names:
             word = max(re.findall(r"[0-9a-z]+", n), key=len)
             version = rf"(?:{SEP}+(?:version|v){SEP}*[0-9]+(?:\.[0-9]+)*)?"
-            for g in GRANTS:
-                out.append((80, label, 0.9, (g.split()[0], word), rf"{_words(g)}{SEP}+(?:the{SEP}+|an?{SEP}+)?{_words(n)}{version}"))
+            for key, g in GRANTS.items():
+                out.append((80, label, 0.9, (key, word), rf"{g}{SEP}+(?:the{SEP}+|an?{SEP}+)?{_words(n)}{version}"))
             out.append((60, label, 0.7, (word,), rf"{_words(n)}{version}"))
     for label, terms in CC_TERMS.items():
         version = rf"(?:{SEP}+(?:version{SEP}*|v)?[1-4]\.[0-9])?"
@@ -197,10 +275,17 @@ class Scanner:
             priority, label, sure, keys, _ = self.rules[i]
             if n == keys:
                 hits += [(-priority, m.start() - m.end(), m.start(), m.end(), label, sure) for m in self._pattern(i).finditer(low)]
+        # the widest intervals taken so far, by start and so by end as well: one look tells whether another holds a hit
         kept: list[tuple[int, int, str, float]] = []
+        starts: list[int] = []
+        ends: list[int] = []
         for _, _, a, b, label, sure in sorted(hits):
-            if not any(x <= a and b <= y for x, y, *_ in kept):
-                kept.append((a, b, label, sure))
+            i = bisect_right(starts, a)
+            if i and ends[i - 1] >= b:
+                continue
+            kept.append((a, b, label, sure))
+            lo, hi = bisect_left(starts, a), bisect_right(ends, b)
+            starts[lo : max(lo, hi)], ends[lo : max(lo, hi)] = [a], [b]
         return sorted(kept)
 
     def base_places(self, low: bytes) -> list[tuple[int, str]]:
