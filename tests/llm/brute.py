@@ -113,3 +113,53 @@ def quality(text):
     c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     rep = {i + j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(5)}
     return len(w), sum(map(len, w)), sum(text.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep)
+
+
+def license_labels(text):
+    """Labels and score: every signature run on the text, detections by priority, length and place, none inside one taken."""
+    import re
+
+    from quarrystat.llm import license_scan as L
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode("utf-8", "surrogatepass").decode("latin-1")
+    hits = []
+    for priority, label, sure, keys, pattern in L.signatures():
+        if all(k in low for k in keys):
+            hits += [(-priority, m.start() - m.end(), m.start(), m.end(), label, sure) for m in re.finditer(f"{L.NOT_BEFORE}(?:{pattern}){L.NOT_AFTER}", low)]
+    kept = []
+    for h in sorted(hits):
+        if not any(k[2] <= h[2] and h[3] <= k[3] for k in kept):
+            kept.append(h)
+    base = set(filter(None, licenses(text)[4].split(",")))
+    return ",".join(sorted(base | {k[4] for k in kept})), max([0.8 if base else 0.0, *(k[5] for k in kept)])
+
+
+def language(train, texts, dimensions, seed):
+    """Predictions by plain trigram vectors: bound from shifted letter vectors, summed by language, compared by cosine."""
+    import numpy as np
+
+    def vector(c):
+        return np.random.default_rng([seed, c]).integers(0, 2, dimensions) * 2 - 1
+
+    def profile(text):
+        out, last, letters = np.zeros(dimensions), " ", []
+        for c in " " + (text or "").lower() + " ":
+            c = c if c.isalpha() else " "
+            if c != " " or last != " " or not letters:
+                letters.append(ord(c))
+            last = c
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        return out
+
+    sums = {}
+    for text, lang in train:
+        sums[lang] = sums.get(lang, 0) + profile(text)
+    out = []
+    for t in texts:
+        v = profile(t)
+        n = np.sqrt(v @ v)
+        cos = {k: float(s @ v / (np.sqrt(s @ s) * n)) if n and s.any() else 0.0 for k, s in sorted(sums.items())}
+        best = max(sorted(cos), key=lambda k: cos[k]) if n and cos else "und"
+        out.append((best, min(1.0, max(0.0, cos[best])) if n and cos else 0.0))
+    return out
