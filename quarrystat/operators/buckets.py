@@ -79,8 +79,6 @@ PLANS = {
     "higuchi_fractal_dimension_v1": higuchi.agg("event_type", dimension="round(-regr_slope(ln(len), ln(k)), 6)"),
     "hurst_exponent_long_memory_v1": ranges.agg("event_type", hurst="round(regr_slope(ln(rs), ln(w)), 6)", r2="round(regr_r2(ln(rs), ln(w)), 6)"),
     "omori_aftershock_decay_v1": big.agg("event_type", decay="round(-regr_slope(ln(m), ln(k)), 6)"),
-    "mann_kendall_trend_test_v1": days.select("event_type", "v", a="i").join(days.select("event_type", w="v", b="i"), "event_type").where("a < b").agg(
-        "event_type", s="CAST(sum(CASE WHEN w > v THEN 1 WHEN w < v THEN -1 ELSE 0 END) AS BIGINT)", slope="PCT((w - v) / (b - a), 0.5)").select("event_type", "s", sen_slope="round(slope, 6)"),
     "scan_statistics": hours.add(m="avg(n) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)").where("i >= 6").agg("event_type", z="round(max((m - mn) / nullif(sn, 0.0)), 6)"),
     "burst_modeling_hawkes_v1": acf.where("k = 1").select("event_type", branching="round(greatest(0.0, r), 6)"),
     "fused_lasso_trend_filtering_v1": days.add(d=f"v - lag(v) {BY}").join(days.add(d=f"v - lag(v) {BY}").agg("event_type", cut="PCT(abs(d), 0.9)"), "event_type").where("d IS NOT NULL").add(

@@ -81,7 +81,6 @@ PLANS = {
     "inverse_propensity_weighting_v1": strata.agg(n="sum(n)", a="sum(y1 / e)", b="sum(y0 / (1 - e))").select(ate="round((a - b) / n, 4)"),
     "bayesian_ab_test_v1": trial.agg("treat", n="count(*)", s="CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT)").select(treat="CAST(treat AS BIGINT)", mean="round((s + 1.0) / (n + 2.0), 9)", sd="round(sqrt((s + 1.0) * (n - s + 1.0) / (power(n + 2.0, 2) * (n + 3.0))), 9)"),
     "anova_auto": groups.add(total="sum(n) OVER (PARTITION BY l_linestatus)", gm="sum(n * m) OVER (PARTITION BY l_linestatus) / sum(n) OVER (PARTITION BY l_linestatus)").agg("l_linestatus", k="count(*)", total="max(total)", ssb="sum(n * power(m - gm, 2))", ssw="sum((n - 1) * v)").where("k >= 2").select("l_linestatus", f="round((ssb / (k - 1)) / (ssw / (total - k)), 5)"),
-    "ttests_auto": two.select(delta="round(mO - mF, 6)", t="round((mO - mF) / sqrt(vO / nO + vF / nF), 5)", df="round(power(vO / nO + vF / nF, 2) / (power(vO / nO, 2) / (nO - 1) + power(vF / nF, 2) / (nF - 1)), 2)"),
     "neutral_drift_noise_v1": kinds.agg("event_type", m="avg(n)", v="var_pop(n)").select("event_type", ratio="round(v / m, 6)"),
     "quantile_regression_duration": items.agg("l_returnflag", p90="PCT(l_extendedprice, 0.9)").agg(top="max(p90)").cross(items.agg(rest="PCT(l_extendedprice, 0.9)")).select(gap="round(top - rest, 4)"),
     "aft_survival_lognormal_v1": items.agg("l_returnflag", slope="round(regr_slope(ln(1 + l_extendedprice), l_quantity), 9)", intercept="round(regr_intercept(ln(1 + l_extendedprice), l_quantity), 6)"),

@@ -63,11 +63,6 @@ PLANS = {
     "control_chart_individuals": robust.where("abs(z) > 4").agg("event_type", n="count(*)", latest="max(event_id)", worst="round(max(abs(z)), 6)"),
     "spc_cpk_capability_v1": moments.select("event_type", cp="round((mu + 3 * sd - (mu - 3 * sd)) / (6 * sd), 6)", usl="round(mu + 3 * sd, 6)", lsl="round(mu - 3 * sd, 6)"),
     "change_impact_pre_post": halved.agg("event_type", a="PCT(CASE WHEN early = 1 THEN value END, 0.5)", b="PCT(CASE WHEN early = 0 THEN value END, 0.5)").select("event_type", delta="round(b - a, 6)"),
-    "two_sample_numeric_mann_whitney": ranked.agg("event_type", na="CAST(sum(early) AS BIGINT)", n="count(*)", ra="sum(CASE WHEN early = 1 THEN r ELSE 0.0 END)").select("event_type", "n", u="round(ra - na * (na + 1) / 2.0, 1)"),
-    "two_sample_numeric_ks": ks.agg("event_type", ks="round(max(abs(fa - fb)), 9)"),
-    "two_sample_categorical_chi2": chi2("event_type", "early", halved),
-    "chi_square_association": chi2("l_returnflag", "l_linestatus", items),
-    "hardy_weinberg_param_coupling_v1": chi2("o_orderstatus", "o_orderpriority", table("orders")),
     "effect_size_report": items.agg(a="PCT(CASE WHEN l_returnflag = 'A' THEN l_quantity END, 0.5)", b="PCT(CASE WHEN l_returnflag <> 'A' THEN l_quantity END, 0.5)", s="stddev_pop(l_quantity)").select(effect="round((a - b) / s, 9)"),
     "changepoint_detection_v1": around.where("i > 10").agg("event_type", z="round(max(abs(delta)) / stddev_pop(delta), 6)"),
     "quantile_mapping_drift_qq_v1": halved.agg("event_type", **{f"{h}{q}": f"PCT(CASE WHEN early = {e} THEN value END, {q / 100})" for h, e in (("a", 1), ("b", 0)) for q in (10, 25, 50, 75, 90)}).select("event_type", d="round((" + " + ".join(f"abs(a{q} - b{q})" for q in (10, 25, 50, 75, 90)) + ") / 5.0, 6)"),

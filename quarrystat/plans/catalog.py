@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quarrystat.operators import bound, buckets, corrected, edges, graph, learning, models, moments, primitives, process, queueing, recursions, relational, statistics  # noqa: F401
+from quarrystat.operators import bound, buckets, corrected, edges, graph, learning, models, moments, primitives, process, queueing, recursions, relational, statistics, tested  # noqa: F401
