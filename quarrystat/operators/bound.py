@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.operators import covariance, network, panel, series  # noqa: F401
+from quarrystat.operators import covariance, network, panel, panel_models, series  # noqa: F401
 from quarrystat.plans.bounded import OPERATORS, apply
 from quarrystat.plans.registry import register
 
