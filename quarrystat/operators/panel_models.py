@@ -412,24 +412,23 @@ def hierarchy(x, c, keys, least):
         frm = np.where(left & (d[i] < near), i, frm)
         near = np.minimum(near, d[i])
     group, member = np.arange(n), {i: [i] for i in range(n)}
-    born: dict[int, float] = {}
-    kept: dict[int, tuple[float, list[frozenset]]] = {}  # stability, chosen clusters
+    joined: dict[int, float] = {}  # of a cluster: the sum of 1 / distance at which its rows came in
+    kept: dict[int, tuple[float, list[frozenset]]] = {}  # of a group: stability of the clusters chosen in it, and these
     for w, a, b in sorted(edges):
-        ga, gb = int(group[a]), int(group[b])
-        lam = 1 / max(w, 1e-12)
-        sa, sb = len(member[ga]) >= least, len(member[gb]) >= least
-        rows = member[ga] + member[gb]
-        for g, s in ((ga, sa), (gb, sb)):
-            if s and sa and sb:  # both live until here
-                own = sum(max(born.get(g, lam), lam) - lam for _ in member[g])
-                if own >= kept.get(g, (0.0, []))[0] or not kept.get(g, (0.0, []))[1]:
-                    kept[g] = own, [frozenset(member[g])]
-        both = [kept.get(g, (0.0, [])) for g in (ga, gb)]
+        ga, gb, lam = int(group[a]), int(group[b]), 1 / max(w, 1e-12)
+        both = [kept.pop(g, (0.0, [])) for g in (ga, gb)]
+        alive = [g in joined for g in (ga, gb)]
+        if all(alive):  # two clusters end here, each itself or what was chosen inside it
+            for i, g in enumerate((ga, gb)):
+                own = joined.pop(g) - lam * len(member[g])
+                if own >= both[i][0] or not both[i][1]:
+                    both[i] = own, [frozenset(member[g])]
+        rows = member[ga] + member.pop(gb)
+        start = lam * len(rows) if all(alive) or not any(alive) else (joined.pop(ga) + lam * (len(rows) - len(member[ga])) if alive[0] else joined.pop(gb) + lam * len(member[ga]))
+        if any(alive) or len(rows) >= least:
+            joined[ga] = start
         member[ga], kept[ga] = rows, (both[0][0] + both[1][0], both[0][1] + both[1][1])
-        if len(rows) >= least and not (sa or sb) or sa and sb:
-            born[ga] = lam
         group[rows] = ga
-        member.pop(gb)
     chosen = kept[int(group[0])][1] or [frozenset(range(n))]
     sizes = [len(s) for s in chosen]
     return {"clusters": len(sizes), "noise": n - sum(sizes), "largest": max(sizes)}

@@ -10,10 +10,12 @@ from quarrystat.operators import panel_models as M
 
 R = np.random.default_rng(2)
 F = R.normal(0, 1, (300, 3))
+WIDE = R.normal(0, 1, (3000, 2))
 CURVED = np.column_stack([np.sin(2 * F[:, 0]) + F[:, 1] ** 2 + R.normal(0, 0.1, 300), F])
 
 
 def test_regressions():
+    R = np.random.default_rng(5)
     assert on("gaussian_process_regression_v1", CURVED)["mae_ratio"] < 0.6
     assert on("bart_uplift_surrogate_v1", CURVED)["r2"] > 0.6
     nam = {r["key"]: r for r in on("neural_additive_model_nam_v1", CURVED)}
@@ -27,12 +29,13 @@ def test_regressions():
     assert moved > 0.15 > abs(on("quantile_loss_boosting_v1", np.vstack([CURVED, CURVED]))["q90_drift_scaled"])
     sharp = np.column_stack([F[:, 0] * 3 + R.normal(0, 0.3, 300), F])
     assert on("tabpfn_foundation_tabular_v1", sharp)["accuracy"] > 0.9
-    assert all(abs(r["coverage"] - 0.9) < 0.12 for r in on("conformal_feature_prediction", np.column_stack([F, F[:, 0] + R.normal(0, 1, 300)])))
+    assert all(abs(r["coverage"] - 0.9) < 0.06 for r in on("conformal_feature_prediction", np.column_stack([WIDE, WIDE[:, 0] + R.normal(0, 1, 3000)])))
     wins = {r["key"] for r in on("knockoff_wrapper_rf", CURVED, q=0.6) if r["selected"]}
     assert wins <= {"k1", "k2", "k3"} and on("knockoff_wrapper_rf", CURVED)[0]["w"] > on("knockoff_wrapper_rf", CURVED)[2]["w"]
 
 
 def test_causal():
+    R = np.random.default_rng(5)
     f = R.normal(0, 1, (600, 2))
     drive = f[:, 0] + R.normal(0, 1, 600)
     x = np.column_stack([2.0 * (drive > np.median(drive)) + 3 * f[:, 0] + R.normal(0, 0.1, 600), drive, f])
@@ -50,6 +53,7 @@ def test_causal():
 
 
 def test_geometry():
+    R = np.random.default_rng(5)
     p = R.random((40, 2))
     t = M.delaunay(p)
     for a, b, c in t:  # no point inside a circumcircle
@@ -66,6 +70,7 @@ def test_geometry():
 
 
 def test_clusters():
+    R = np.random.default_rng(5)
     z = np.vstack([R.normal(0, 0.1, (40, 2)), R.normal(5, 0.1, (40, 2)), R.normal([0, 9], 0.1, (40, 2))])
     h = on("density_clustering_hdbscan_v1", z)
     assert h["clusters"] == 3 and h["largest"] <= 40
@@ -79,6 +84,7 @@ def test_clusters():
 
 
 def test_actions():
+    R = np.random.default_rng(5)
     x = np.abs(R.normal(1, 1, (50, 6)))
     gain, cost = M.actions(x, np.ones(x.shape))
     for budget in (0.2, 0.5, 0.7):
@@ -90,6 +96,7 @@ def test_actions():
 
 
 def test_counts_and_queues():
+    R = np.random.default_rng(5)
     c = R.poisson(3, 4000) * (R.random(4000) > 0.3)
     z = one("zero_inflated_count_model_v1", c, c)
     assert abs(z["pi"] - 0.3) < 0.05 and abs(z["lambda"] - 3) < 0.2
