@@ -202,8 +202,8 @@ def test_networks():
     assert net("min_cost_flow_throughput_v1", PATH)["flow"] == 3
     assert net("fault_tree_minimal_cuts_v1", PATH) == {"min_cut_size": 1, "n_cut_sets": 2}
     assert net("graph_coloring_resources_v1", BARBELL)["n_colors"] == net("graph_coloring_resources_v1", BARBELL)["clique"] == 3
-    assert [r["node"] for r in net("dependency_critical_path_v1", PATH)] == ["n0", "n1", "n2", "n3"]
-    assert net("dependency_critical_path_v1", PATH)[0]["length"] == 12
+    assert [r["node"] for r in net("heaviest_path", PATH)] == ["n0", "n1", "n2", "n3"]
+    assert net("heaviest_path", PATH)[0]["length"] == 12
     assert net("harris_matrix_ordering_v1", PATH)["n_layers"] == 4 and net("network_controllability_v1", PATH)["n_drivers"] == 1
     assert net("vorticity_thrashing_v1", [[0, 1, 0], [0, 0, 1], [1, 0, 0]])["recirculation_rate"] == 1 and net("vorticity_thrashing_v1", PATH)["cycle_edges"] == 0
     assert net("contact_tracing_superspreader_v1", PATH)["max_reach"] == 3
