@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,3 +33,42 @@ def knn(items: DataFrame, queries: DataFrame, k: int, item_id: str, query_id: st
         near = near.where(F.col("rank") <= k)
         out = near if out is None else out.unionByName(near)
     return out
+
+
+class VectorStore:
+    """Collections of vectors as append-only Parquet tables: a row adds or deletes an item, the latest row of an item counts.
+
+    Nothing is rewritten, so readers see whole appends and a state ``as_of`` any earlier time; ``compact`` folds the rows."""
+
+    SCHEMA = "collection string, item_id string, embedding array<float>, created_at timestamp, deleted boolean"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.select("collection", "item_id", "embedding", "created_at", "deleted").write.mode("append").partitionBy("collection").parquet(self.path)
+
+    def add(self, collection: str, items: DataFrame) -> None:
+        """``items``: item_id, embedding, created_at."""
+        self._append(items.select(F.lit(collection).alias("collection"), F.col("item_id").cast("string").alias("item_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("created_at").cast("timestamp").alias("created_at"), F.lit(False).alias("deleted")))
+
+    def delete(self, collection: str, ids: DataFrame) -> None:
+        """``ids``: item_id, created_at (the time of the deletion)."""
+        self._append(ids.select(F.lit(collection).alias("collection"), F.col("item_id").cast("string").alias("item_id"), F.lit(None).cast("array<float>").alias("embedding"), F.col("created_at").cast("timestamp").alias("created_at"), F.lit(True).alias("deleted")))
+
+    def items(self, collection: str, as_of: str | None = None) -> DataFrame:
+        """Living items (item_id, embedding, created_at), at ``as_of`` if given; the collection prunes the files read."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("collection") == collection)
+        if as_of is not None:
+            rows = rows.where(F.col("created_at") <= F.lit(as_of).cast("timestamp"))
+        last = rows.groupBy("item_id").agg(F.max_by(F.struct("embedding", "created_at", "deleted"), F.struct("created_at", "deleted")).alias("r"))
+        return last.where("NOT r.deleted").select("item_id", "r.embedding", "r.created_at")
+
+    def collections(self) -> DataFrame:
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        last = rows.groupBy("collection", "item_id").agg(F.max_by("deleted", F.struct("created_at", "deleted")).alias("gone"))
+        return last.groupBy("collection").agg(F.sum((~F.col("gone")).cast("long")).alias("items"))
+
+    def search(self, collection: str, queries: DataFrame, k: int, as_of: str | None = None) -> DataFrame:
+        """``queries``: query_id, embedding."""
+        return knn(self.items(collection, as_of), queries, k, "item_id", "query_id", "embedding")

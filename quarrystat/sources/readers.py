@@ -19,7 +19,7 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
-    """Read a tabular file; ``kind`` is csv, json, jsonl, parquet or sql, by default the path's extension."""
+    """Read a tabular file; ``kind`` is csv, json, jsonl, parquet, xlsx or sql, by default the path's extension."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
         df = spark.read.options(header=True, inferSchema=True, **options).csv(path)
@@ -30,6 +30,10 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options:
         return spark.read.options(multiLine=kind == "json", **options).json(path)
     if kind == "parquet":
         return spark.read.parquet(path)
+    if kind == "xlsx":
+        from quarrystat.sources.sinks import read_xlsx
+
+        return read_xlsx(spark, path)
     if kind == "sql":
         return read_sql_dump(spark, path)
     raise ValueError(f"unknown kind {kind}")
