@@ -249,7 +249,7 @@ def hill(df: DataFrame, key: str, value: str, tie: str, least: int = 50) -> Data
     # the values above the highest of a few quantiles that surely leaves three times k, by the sketch's error of n / 10,000
     left = [1.0, 0.5, 0.1, 0.01, 0.001]
     spare = F.filter(F.arrays_zip(F.lit(left).alias("left"), "cuts"), lambda z: F.col("n") * z["left"] >= 3 * F.col("k") + F.col("n") / 5000)
-    sizes = sizes.withColumn("cut", F.coalesce(F.element_at(spare, -1)["cuts"], F.element_at("cuts", 1)))
+    sizes = sizes.withColumn("cut", F.coalesce(F.try_element_at(spare, F.lit(-1))["cuts"], F.element_at("cuts", 1)))
     upper = rows.join(F.broadcast(sizes), "key").where(F.col("x") >= F.col("cut"))
     top = upper.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("x").desc(), "tie"))).where("r <= k + 1")
     out = top.groupBy("key", "n", "k").agg(F.sum(F.when(F.col("r") <= F.col("k"), F.log("x"))).alias("s"), F.min("x").alias("low"), F.count("*").alias("c"))

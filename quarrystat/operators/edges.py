@@ -72,7 +72,7 @@ PLANS = {
     "operad_composition_v1": trade.select("src", mid="dst", w1="w").join(trade.select("dst", mid="src", w2="w"), "mid").agg("src", "dst", composed="PCT(w1 + w2, 0.5)").join(trade, "src", "dst").where("abs(composed - w) > 0.3 * w").agg(n="count(*)", ratio="round(avg(composed / w), 6)"),
     "dataflow_dead_output_v1": few.agg("dst", preds="count(*)", src="min(src)").join(few.select(dst="src", any_="n"), "dst", how="anti").where("preds = 1").join(few.agg("src", outs="count(*)").where("outs > 1"), "src").select("dst", "src"),
     "sir_failure_cascade_v1": node.agg(k="avg(k)").add(r0="0.3 * k / 0.1").select(r0="round(r0, 6)", peak="round(CASE WHEN r0 > 1 THEN 1.0 - (1.0 + ln(r0)) / r0 ELSE 0.0 END, 6)"),
-    "graph_assortativity_shift_v1": halved.join(halved.agg("early", "src", od="count(*)"), "early", "src").join(halved.agg("early", "dst", id_="count(*)"), "early", "dst").agg("early", r="round(corr(od, id_), 6)", edges="count(*)").select("r", "edges", early="CAST(early AS BIGINT)"),
+    "graph_assortativity_shift_v1": halved.join(halved.agg("early", "src", od="count(*)"), "early", "src").join(halved.agg("early", "dst", id_="count(*)"), "early", "dst").agg("early", r="round(covar_pop(od, id_) / nullif(stddev_pop(od) * stddev_pop(id_), 0.0), 6)", edges="count(*)").select("r", "edges", early="CAST(early AS BIGINT)"),
     "graph_motif_triads_shift_v1": halved.select("early", a="src", b="dst").join(halved.select("early", b="src", c="dst"), "early", "b").where("a <> c").join(halved.select("early", a="src", c="dst", closed="1"), "early", "a", "c", how="left").agg("early", triads="count(*)", closed="count(closed)").select("triads", "closed", early="CAST(early AS BIGINT)"),
     "energy_distance_two_sample_v1": pooled.where("nxt IS NOT NULL").agg("event_type", energy="round(2.0 * sum((fa - fb) * (fa - fb) * (nxt - value)), 6)"),
     "two_sample_numeric_ad": pooled.where("hn < big - 0.5").agg("event_type", a2="round(sum((a + b) * power(fa * n1 * big - n1 * hn, 2) / (hn * (big - hn))) / max(n1 * n2), 5)"),

@@ -102,7 +102,7 @@ def ewma_chart(df: DataFrame, key: str, time: str, tie: str, value: str, lam: fl
     us = F.unix_micros(F.col("t").cast("timestamp"))
     sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile_approx(us, [0.0, 0.5, 0.9, 0.99, 0.999], 10000).alias("cuts"))
     spare = F.filter(F.arrays_zip(F.lit([1.0, 0.5, 0.1, 0.01, 0.001]).alias("left"), "cuts"), lambda z: F.col("n") * z["left"] >= 2 * reach + F.col("n") / 5000)
-    sums = sums.withColumn("cut", F.coalesce(F.element_at(spare, -1)["cuts"], F.element_at("cuts", 1)))
+    sums = sums.withColumn("cut", F.coalesce(F.try_element_at(spare, F.lit(-1))["cuts"], F.element_at("cuts", 1)))
     last = rows.join(F.broadcast(sums), "key").where(us >= F.col("cut"))
     ranked = last.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.col("t").desc(), F.col("tie").desc()))).where(F.col("k") <= reach)
     weight = F.pow(F.lit(1 - lam), F.col("k") - 1) * F.when(F.col("k") == F.col("n"), F.lit(1.0)).otherwise(F.lit(lam))

@@ -124,11 +124,14 @@ def _depth(spark, sf_dir):
 
 @register("param_near_duplicate_simhash_v1")
 def _simhash(spark, sf_dir):
-    """Pairs of distinct parameter sets (a user's days) whose 64-bit sign hashes differ in at most three bits: such pairs agree in
-    one of four 16-bit bands, so bands find all of them. A set has the number of its copies."""
+    """Distinct parameter sets (a user's days) with their copies and how many other sets have a 64-bit sign hash of at most three
+    other bits: such pairs agree in one of four 16-bit bands, so bands find all of them."""
     rows = _read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set(F.concat_ws("=", "event_type", F.floor(F.col("value") / 50)))).alias("items"))
     sets = rows.groupBy("items").agg(F.count("*").alias("copies")).select(F.array_join("items", ",").alias("key"), "copies", simhash(F.col("items")).alias("h"))
-    return near_hashes(materialize(sets, "hashes"), 3)
+    sets = materialize(sets, "hashes")
+    pairs = near_hashes(sets, 3)
+    ends = pairs.select(F.col("a").alias("key"), "bits").unionByName(pairs.select(F.col("b").alias("key"), "bits")).groupBy("key").agg(F.count("*").alias("links"), F.min("bits").alias("nearest_bits"))
+    return sets.select("key", "copies").join(ends, "key", "left").select("key", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "nearest_bits")
 
 
 def near_hashes(sets: DataFrame, most: int) -> DataFrame:
@@ -153,7 +156,7 @@ def contention(df: DataFrame, time: str, process: str, duration: str, close: Col
     daily = cells.groupBy("process", "d").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(F.broadcast(days), "d").where("dn > n")
     daily = daily.select("process", "n", F.round((F.col("ds") - F.col("s")) / (F.col("dn") - F.col("n")), 9).alias("m"))
     rank = lambda c: F.rank().over(Window.partitionBy("process").orderBy(c)) + (F.count("*").over(Window.partitionBy("process", c)) - 1) / 2
-    corr = daily.select("process", rank("n").alias("x"), rank("m").alias("y")).groupBy("process").agg(F.corr("x", "y").alias("rho"))
+    corr = daily.select("process", rank("n").alias("x"), rank("m").alias("y")).groupBy("process").agg((F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))).alias("rho"))
     part = lambda c, w: F.sum(F.when(F.col("closed") == w, F.col(c)).otherwise(0))
     every = cells.agg(part("n", True).alias("cn"), part("s", True).alias("cs"), part("n", False).alias("on"), part("s", False).alias("os"))
     own = cells.groupBy("process").agg(part("n", True).alias("a"), part("s", True).alias("b"), part("n", False).alias("c"), part("s", False).alias("e"))

@@ -286,7 +286,7 @@ def competition(df: DataFrame, time: str, kind: str, chunks: int = 20) -> DataFr
     top = hours.groupBy("k").agg(F.sum("n").alias("s")).orderBy(F.col("s").desc(), "k").limit(2).agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "k"))).alias("t"))
     both = hours.crossJoin(F.broadcast(top)).groupBy("h", "t").agg(F.sum(F.when(F.col("k") == F.col("t")[0]["k"], F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("k") == F.col("t")[1]["k"], F.col("n")).otherwise(0)).alias("b"))
     cut = both.withColumn("c", F.ntile(chunks).over(Window.orderBy("h"))).groupBy("c", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    told = cut.groupBy("t").agg(F.corr("a", "b").alias("r"))
+    told = cut.groupBy("t").agg((F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))).alias("r"))
     return told.select(F.col("t")[0]["k"].alias("type_a"), F.col("t")[1]["k"].alias("type_b"), F.round("r", 6).alias("correlation"), F.round(F.greatest(F.lit(0.0), -F.col("r")), 6).alias("competition_index"))
 
 
