@@ -76,7 +76,6 @@ PLANS = {
     "graph_motif_triads_shift_v1": halved.select("early", a="src", b="dst").join(halved.select("early", b="src", c="dst"), "early", "b").where("a <> c").join(halved.select("early", a="src", c="dst", closed="1"), "early", "a", "c", how="left").agg("early", triads="count(*)", closed="count(closed)").select("triads", "closed", early="CAST(early AS BIGINT)"),
     "energy_distance_two_sample_v1": pooled.where("nxt IS NOT NULL").agg("event_type", energy="round(2.0 * sum((fa - fb) * (fa - fb) * (nxt - value)), 6)"),
     "two_sample_numeric_ad": pooled.where("hn < big - 0.5").agg("event_type", a2="round(sum((a + b) * power(fa * n1 * big - n1 * hn, 2) / (hn * (big - hn))) / max(n1 * n2), 5)"),
-    "distribution_drift_suite": pval.select("event_type", ks="round(d, 9)", p="round(p, 6)"),
     "online_conformal_changepoint": calibrated.agg("event_type", alarms="CAST(sum(CASE WHEN d > lim THEN 1 ELSE 0 END) AS BIGINT)", n="count(*)"),
     "bayesian_online_changepoint_studentt_v1": medians.join(robust.agg("event_type", mad="max(mad)"), "event_type").agg("event_type", score="round(max(abs(a - b)) / nullif(max(mad), 0.0), 5)"),
     "cusum_on_model_residuals_v1": residual.agg("event_type", worst="round(max(up), 5)", alarms="CAST(sum(CASE WHEN up > 5.0 THEN 1 ELSE 0 END) AS BIGINT)"),

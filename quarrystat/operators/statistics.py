@@ -61,7 +61,7 @@ km = log.where("wait IS NOT NULL").add(h="floor(wait / 3600.0)").agg("event_type
 
 PLANS = {
     "control_chart_individuals": robust.where("abs(z) > 4").agg("event_type", n="count(*)", latest="max(event_id)", worst="round(max(abs(z)), 6)"),
-    "spc_cpk_capability_v1": moments.select("event_type", cp="round((mu + 3 * sd - (mu - 3 * sd)) / (6 * sd), 6)", usl="round(mu + 3 * sd, 6)", lsl="round(mu - 3 * sd, 6)"),
+    "spc_cpk_capability_v1": moments.where("sd > 0").select("event_type", cp="round((mu + 3 * sd - (mu - 3 * sd)) / (6 * sd), 6)", cpk="round(least(mu + 3 * sd - mu, mu - (mu - 3 * sd)) / (3 * sd), 6)", mu="round(mu, 6)", sigma="round(sd, 6)", usl="round(mu + 3 * sd, 6)", lsl="round(mu - 3 * sd, 6)"),
     "change_impact_pre_post": halved.agg("event_type", a="PCT(CASE WHEN early = 1 THEN value END, 0.5)", b="PCT(CASE WHEN early = 0 THEN value END, 0.5)").select("event_type", delta="round(b - a, 6)"),
     "effect_size_report": items.agg(a="PCT(CASE WHEN l_returnflag = 'A' THEN l_quantity END, 0.5)", b="PCT(CASE WHEN l_returnflag <> 'A' THEN l_quantity END, 0.5)", s="stddev_pop(l_quantity)").select(effect="round((a - b) / s, 9)"),
     "changepoint_detection_v1": around.where("i > 10").agg("event_type", z="round(max(abs(delta)) / stddev_pop(delta), 6)"),
@@ -88,16 +88,16 @@ PLANS = {
     "fluid_model_backlog_v1": chunks.select("event_type", k="CAST(k AS BIGINT)", net="round(n / nullif(span, 0.0) - 1.0 / m, 9)"),
     "vo2max_capacity_ceiling_v1": chunks.add(rate="n / nullif(span, 0.0)").agg("event_type", top="round(max(rate), 9)", p75="round(PCT(rate, 0.75), 9)"),
     "chain_ladder_ibnr_v1": chunks.add(c="sum(n) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)").add(f="c / CAST(lag(c) OVER (PARTITION BY event_type ORDER BY k) AS DOUBLE)").select("event_type", k="CAST(k AS BIGINT)", factor="round(f, 9)"),
-    "benfords_law_anomaly_v1": digits.agg("f", n="count(*)").add(p="n / CAST(sum(n) OVER () AS DOUBLE)").where("f > 0").select("f", "n", gap="round(p - log10(1.0 + 1.0 / f), 9)"),
+    "benfords_law_anomaly_v1": digits.where("f > 0").agg("f", n="count(*)").add(every="CAST(sum(n) OVER () AS DOUBLE)", e="log10(1.0 + 1.0 / f)").add(gap="n / every - e").add(chi2="sum(every * gap * gap / e) OVER ()").select("f", "n", gap="round(gap, 9)", chi2="round(chi2, 5)"),
     "outlier_iqr": events.join(events.agg("event_type", q1="PCT(value, 0.25)", q3="PCT(value, 0.75)"), "event_type").where("value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)").agg("event_type", n="count(*)"),
     "mutual_information_screen": items.add(a="ntile(5) OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_extendedprice, l_partkey)", b="ntile(5) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_quantity, l_partkey)").agg("l_returnflag", "a", "b", n="count(*)").add(p="n / CAST(sum(n) OVER (PARTITION BY l_returnflag) AS DOUBLE)").add(pa="sum(p) OVER (PARTITION BY l_returnflag, a)", pb="sum(p) OVER (PARTITION BY l_returnflag, b)").agg("l_returnflag", mi="round(sum(p * ln(p / (pa * pb))), 6)"),
     "copula_dependence": avg_rank(avg_rank(table("orders").select("o_orderpriority", "o_totalprice", k="o_custkey"), "o_totalprice", "o_orderpriority").select("o_orderpriority", "k", rx="r"), "k", "o_orderpriority").agg("o_orderpriority", rho=corr("rx", "r")),
-    "notears_linear": num.agg("l_returnflag", xy=corr("x", "y"), xz=corr("x", "z"), yw=corr("y", "w")),
-    "icp_invariant_causal_prediction_v1": items.add(env="l_suppkey % 5").agg("env", r=corr("l_quantity", "l_extendedprice")),
+    "notears_linear": num.agg(xy="corr(x, y)", xz="corr(x, z)", xw="corr(x, w)", yz="corr(y, z)", yw="corr(y, w)", zw="corr(z, w)").select(**{p: f"CASE WHEN abs({p}) >= 0.2 THEN round({p}, 6) ELSE 0.0 END" for p in ("xy", "xz", "xw", "yz", "yw", "zw")}, edges="CAST(2 * (" + " + ".join(f"CASE WHEN abs({p}) >= 0.2 THEN 1 ELSE 0 END" for p in ("xy", "xz", "xw", "yz", "yw", "zw")) + ") AS BIGINT)"),
+    "icp_invariant_causal_prediction_v1": items.add(env="l_suppkey % 5").agg("env", r="corr(l_quantity, l_extendedprice)", n="count(*)").agg(envs="count(*)", mean="avg(r)", spread="stddev_pop(r)", low="min(r)", high="max(r)").select("envs", mean="round(mean, 6)", spread="round(spread, 6)", invariant="spread < 0.1 AND low * high > 0"),
     "cronbach_alpha_consistency_v1": num.agg("l_returnflag", vs="var_samp(z + w)", vz="var_samp(z)", vw="var_samp(w)").select("l_returnflag", alpha="round(2.0 * (1.0 - (vz + vw) / vs), 6)"),
     "bullwhip_effect_detection_v1": num.agg("l_returnflag", ratio="round(var_pop(y) / var_pop(x), 2)"),
     "cuped_variance_reduction_v1": num.agg("l_returnflag", theta="covar_samp(x, y) / var_samp(x)", r="corr(x, y)").select("l_returnflag", theta="round(theta, 3)", reduction="round(r * r, 6)"),
-    "dependency_graph_change_detection": items.add(t="US(l_shipdate)").halve("t", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").agg("early", r=corr("l_quantity", "l_extendedprice")).select("r", early="CAST(early AS BIGINT)"),
+    "dependency_graph_change_detection": items.add(t="US(l_shipdate)").halve("t", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").agg(**{f"{p}{e}": f"corr(CASE WHEN early = {e} THEN {x} END, CASE WHEN early = {e} THEN {y} END)" for p, x, y in (("qp", "l_quantity", "l_extendedprice"), ("qd", "l_quantity", "l_discount"), ("pd", "l_extendedprice", "l_discount"), ("pt", "l_extendedprice", "l_tax"), ("qt", "l_quantity", "l_tax"), ("dt", "l_discount", "l_tax")) for e in (0, 1)}).select(**{p: f"round({p}0 - {p}1, 6)" for p in ("qp", "qd", "pd", "pt", "qt", "dt")}, largest="round(greatest(" + ", ".join(f"abs({p}0 - {p}1)" for p in ("qp", "qd", "pd", "pt", "qt", "dt")) + "), 6)"),
     "zipf_law_frequency_v1": ranks.agg(slope="round(regr_slope(ln(n), ln(r)), 6)", r2="round(regr_r2(ln(n), ln(r)), 6)"),
     "lotka_law_concentration_v1": events.agg("user_id", n="count(*)").agg("n", f="count(*)").agg(slope="round(regr_slope(ln(f), ln(n)), 6)", r2="round(regr_r2(ln(f), ln(n)), 6)"),
     "bradford_law_core_hosts_v1": ranks.add(c="sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", every="sum(n) OVER ()").agg(core="CAST(sum(CASE WHEN c * 3 <= every THEN 1 ELSE 0 END) AS BIGINT)", users="count(*)"),
@@ -107,11 +107,11 @@ PLANS = {
     "population_pyramid_shape_v1": moments.join(events, "event_type").agg("event_type", skew="round(avg(power((value - mu) / sd, 3)), 5)", kurt="round(avg(power((value - mu) / sd, 4)) - 3.0, 4)"),
     "negative_binomial_overdispersion_v1": events.agg("event_type", "user_id", n="count(*)").agg("event_type", m="avg(n)", v="var_pop(n)").select("event_type", ratio="round(v / m, 6)", r="round(m * m / nullif(v - m, 0.0), 4)"),
     "dirichlet_multinomial_categorical_overdispersion_v1": halved.agg("early", "event_type", n="count(*)").add(p="n / CAST(sum(n) OVER (PARTITION BY early) AS DOUBLE)").agg("event_type", spread="round(max(p) - min(p), 9)"),
-    "fairness_bias_detection_v1": items.agg("l_linestatus", rate="round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 9)", n="count(*)"),
+    "fairness_bias_detection_v1": items.agg("l_linestatus", rate="avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)", n="count(*)").add(gap="max(rate) OVER () - min(rate) OVER ()", ratio="min(rate) OVER () / nullif(max(rate) OVER (), 0.0)").select("l_linestatus", "n", rate="round(rate, 9)", gap="round(gap, 9)", disparate="round(ratio, 9)"),
     "renyi_entropy_spectrum_v1": events.add(k="floor(value / 10.0)").agg("event_type", "k", n="count(*)").add(p="n / CAST(sum(n) OVER (PARTITION BY event_type) AS DOUBLE)").agg("event_type", h0="round(ln(count(*)), 6)", h1="round(-sum(p * ln(p)), 6)", h2="round(-ln(sum(p * p)), 6)"),
     "surface_rugosity_index": series.agg("event_type", n="count(*)", s="sum(abs(d))", lo="PCT(value, 0.05)", hi="PCT(value, 0.95)").select("event_type", rugosity="round(s / ((hi - lo) * (n - 1)), 6)"),
     "surface_terrain_position_index": events.add(m=f"avg(value) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}").agg("event_type", q90="round(PCT(abs(value - m), 0.9), 6)"),
-    "surface_fractal_dimension_variogram": events.add(**{f"l{k}": f"lag(value, {k}) {SER}" for k in (1, 2, 4)}).agg("event_type", **{f"g{k}": f"round(avg((value - l{k}) * (value - l{k})) / 2.0, 4)" for k in (1, 2, 4)}),
+    "surface_fractal_dimension_variogram": events.add(**{f"l{k}": f"lag(value, {k}) {SER}" for k in (1, 2, 4)}).agg("event_type", **{f"g{k}": f"avg((value - l{k}) * (value - l{k})) / 2.0" for k in (1, 2, 4)}).where("g1 > 0 AND g4 > 0").add(slope="(ln(g4) - ln(g1)) / (2.0 * ln(2.0))").select("event_type", g1="round(g1, 4)", g2="round(g2, 4)", g4="round(g4, 4)", hurst="round(slope / 2.0, 6)", dimension="round(2.0 - slope / 2.0, 6)"),
     "moran_i_autocorrelation_v1": series.join(moments, "event_type").add(z="value - mu", zn=f"lead(value) {SER} - mu").agg("event_type", n="count(*)", c="sum(z * zn)", v="sum(z * z)").select("event_type", i="round(n / (2.0 * (n - 1)) * 2.0 * c / v, 6)"),
     "getis_ord_hotspot_v1": events.add(s=f"sum(value) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}", k=f"count(*) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}").join(moments, "event_type").add(g="(s - k * mu) / nullif(sd * sqrt((n * k - k * k) / CAST(n - 1 AS DOUBLE)), 0.0)").agg("event_type", hot="CAST(sum(CASE WHEN g > 1.96 THEN 1 ELSE 0 END) AS BIGINT)", cold="CAST(sum(CASE WHEN g < -1.96 THEN 1 ELSE 0 END) AS BIGINT)"),
     "evt_gumbel_tail": series.add(b="floor((i - 1) / 20.0)").agg("event_type", "b", m="max(value)").agg("event_type", mean="avg(m)", sd="stddev_pop(m)").select("event_type", beta="round(sd * sqrt(6.0) / pi(), 6)", mu="round(mean - 0.5772156649 * sd * sqrt(6.0) / pi(), 6)"),

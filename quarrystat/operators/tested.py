@@ -332,3 +332,24 @@ q AS (SELECT key, hr, fr, (SELECT z + (hr - c.p) / (exp(-z * z / 2) / sqrt(2 * p
 SELECT key, round(hr, 9) AS hit_rate, round(fr, 9) AS false_alarm_rate, round(zh - zf, 4) AS dprime, round(-(zh + zf) / 2, 4) AS criterion FROM q""")
 def _dprime(spark, sf_dir):
     return dprime(_events(spark, sf_dir), F.col("event_id") % 2 == 0, F.col("value") > 40, "event_type")
+
+
+def drift_suite(df: DataFrame, time: str, tie: str, key: str, value: str, categories: list[str], alpha: float = 0.05) -> DataFrame:
+    """Early against late half: Kolmogorov-Smirnov of the value within each key and χ² of each category, with q-values over all
+    tests of the suite."""
+    numeric = ks_test(half_counts(df, time, tie, key, value)).select(F.concat(F.lit(f"{value}|"), "key").alias("test"), F.lit("ks").alias("kind"), "statistic", "p_value")
+    halves = early_half(df, [time, tie])
+    for c in categories:
+        found = chi2_test(halves.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("a"), F.col("early").alias("b")).agg(F.count("*").alias("n")))
+        numeric = numeric.unionByName(found.select(F.lit(c).alias("test"), F.lit("chi2").alias("kind"), F.col("chi2").alias("statistic"), "p_value"))
+    out = benjamini_hochberg(numeric, "p_value")
+    return out.select("test", "kind", "statistic", "p_value", F.round("q_value", 6).alias("q_value"), (F.col("q_value") <= alpha).alias("drifts"))
+
+
+@register("distribution_drift_suite", KS + ", t AS (SELECT event_type AS a, early AS b, count(*) AS n FROM e GROUP BY ALL)" + CHI2.split("SELECT n, round(s, 6) AS chi2")[0] + """,
+u AS (SELECT 'value|' || key AS test, 'ks' AS kind, round(d, 9) AS statistic, round(least(1, greatest(0, p)), 6) AS pv FROM p
+      UNION ALL SELECT 'event_type', 'chi2', round(s, 6), round(1 - exp(-s / 2 + df / 2.0 * ln(s / 2)) * (SELECT sum(exp(j * ln(s / 2) - lgamma(df / 2.0 + j + 1))) FROM range(0, 400) r(j)), 6) FROM k),
+r AS (SELECT *, pv * count(*) OVER () / rank() OVER (ORDER BY pv) AS raw FROM u), q AS (SELECT *, least(1, min(raw) OVER (ORDER BY pv DESC)) AS q FROM r)
+SELECT test, kind, statistic, pv AS p_value, round(q, 6) AS q_value, q <= 0.05 AS drifts FROM q""")
+def _suite(spark, sf_dir):
+    return drift_suite(_events(spark, sf_dir), "ts", "event_id", "event_type", "value", ["event_type"])
