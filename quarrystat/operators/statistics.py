@@ -1,6 +1,7 @@
 """Drift, control charts, series, dependence, distribution and graph operators over grouped numeric data.
 
-Series are the values of one event type in time order, so windows are bounded by a group, never the whole table.
+Series are the values of one event type in time order. Windows along them reach a few rows, so hours with borrowed neighbours
+hold them (``plans.chunked``), and places come from counts of hours: no task holds an event type.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ SER = "OVER (PARTITION BY event_type ORDER BY ts, event_id)"
 FRAME = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {} AND {})"
 items, docs = table("lineitem"), table("documents")
 events = table("events").add(t="US(ts)")
-series = events.add(prev=f"lag(value) {SER}", i=f"row_number() {SER}").add(d="value - prev")
+ALONG = ("event_type", "ts, event_id")
+series = events.place(*ALONG, "i").near(*ALONG, 1, prev=f"lag(value) {SER}").add(d="value - prev")
 halved = events.halve("t", "event_id")
 med = events.agg("event_type", m="PCT(value, 0.5)")
 dev = events.join(med, "event_type").add(a="abs(value - m)")
@@ -21,7 +23,9 @@ robust = dev.join(dev.agg("event_type", mad="PCT(a, 0.5)"), "event_type").add(z=
 moments = events.agg("event_type", mu="avg(value)", sd="stddev_pop(value)", n="count(*)")
 num = items.select("l_returnflag", x="l_quantity", y="l_extendedprice", z="l_discount", w="l_tax")
 five = events.add(q="ntile(5) OVER (PARTITION BY event_type ORDER BY value, event_id)")
-chunks = events.add(k=f"ntile(8) {SER}").agg("event_type", "k", m="avg(value)", s="stddev_pop(value)", n="count(*)", span="(max(t) - min(t)) / 1000000.0")
+sized = events.place(*ALONG, "i").join(events.agg("event_type", every="count(*)"), "event_type").add(size="floor(every / 8.0)", more="every % 8")
+eighths = sized.add(k="CASE WHEN i <= more * (size + 1) THEN ceil(i / (size + 1)) ELSE more + ceil((i - more * (size + 1)) / greatest(size, 1.0)) END")
+chunks = eighths.agg("event_type", "k", m="avg(value)", s="stddev_pop(value)", n="count(*)", span="(max(t) - min(t)) / 1000000.0")
 tokens = docs.select("doc_id", "lang", "source", "n_chars")
 deg = table("orders").select(src="o_custkey", o_orderkey="o_orderkey").join(items.select(o_orderkey="l_orderkey", dst="l_suppkey"), "o_orderkey").agg("src", "dst", n="count(*)")
 out_deg, in_deg = deg.agg("src", od="count(*)"), deg.agg("dst", id="count(*)")
@@ -50,11 +54,13 @@ ks = halved.agg("event_type", "value", a="CAST(sum(early) AS BIGINT)", b="CAST(s
     fa="sum(a) OVER (PARTITION BY event_type ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(sum(a) OVER (PARTITION BY event_type) AS DOUBLE)",
     fb="sum(b) OVER (PARTITION BY event_type ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(sum(b) OVER (PARTITION BY event_type) AS DOUBLE)",
 )
-rolling = series.add(m=f"avg(value) {FRAME.format('9 PRECEDING', 'CURRENT ROW')}", s=f"stddev_pop(value) {FRAME.format('9 PRECEDING', 'CURRENT ROW')}")
-around = series.add(b=f"avg(value) {FRAME.format('10 PRECEDING', '1 PRECEDING')}", a=f"avg(value) {FRAME.format('CURRENT ROW', '9 FOLLOWING')}").add(delta="a - b")
+rolling = series.near(*ALONG, 9, m=f"avg(value) {FRAME.format('9 PRECEDING', 'CURRENT ROW')}", s=f"stddev_pop(value) {FRAME.format('9 PRECEDING', 'CURRENT ROW')}")
+around = series.near(*ALONG, 10, b=f"avg(value) {FRAME.format('10 PRECEDING', '1 PRECEDING')}", a=f"avg(value) {FRAME.format('CURRENT ROW', '9 FOLLOWING')}").add(delta="a - b")
 digits = items.add(f="CAST(substr(CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20)), 1, 1) AS BIGINT)")
 second = items.where("l_extendedprice >= 10").add(f="CAST(substr(CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20)), 2, 1) AS BIGINT)")
-ranks = events.agg("user_id", n="count(*)").add(r="row_number() OVER (ORDER BY n DESC, user_id)")
+# users of equal counts share a stretch of ranks, so the window orders distinct counts only
+ABOVE = "OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+ranks = events.agg("user_id", n="count(*)").agg("n", f="count(*)").add(base=f"coalesce(sum(f) {ABOVE}, 0)", rows_above=f"coalesce(sum(f * n) {ABOVE}, 0)", every="sum(f * n) OVER ()").each("j", 1, "f").add(r="base + j", c="rows_above + j * n")
 km = log.where("wait IS NOT NULL").add(h="floor(wait / 3600.0)").agg("event_type", "h", d="count(*)").add(
     at_risk="sum(d) OVER (PARTITION BY event_type ORDER BY h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 )
@@ -68,18 +74,18 @@ PLANS = {
     "quantile_mapping_drift_qq_v1": halved.agg("event_type", **{f"{h}{q}": f"PCT(CASE WHEN early = {e} THEN value END, {q / 100})" for h, e in (("a", 1), ("b", 0)) for q in (10, 25, 50, 75, 90)}).select("event_type", d="round((" + " + ".join(f"abs(a{q} - b{q})" for q in (10, 25, 50, 75, 90)) + ") / 5.0, 6)"),
     "distribution_shift_wasserstein_v1": halved.add(k="floor(value / 10.0)").agg("event_type", "k", a="sum(early)", b="sum(1 - early)").add(c="abs(sum(a) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(sum(a) OVER (PARTITION BY event_type) AS DOUBLE) - sum(b) OVER (PARTITION BY event_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(sum(b) OVER (PARTITION BY event_type) AS DOUBLE))").agg("event_type", w="round(sum(c) * 10.0, 6)"),
     "garch_volatility_shift_v1": series.join(events.agg("event_type", n="count(*)"), "event_type").agg("event_type", a="var_pop(CASE WHEN i <= n * 0.3 THEN d END)", b="var_pop(CASE WHEN i > n * 0.7 THEN d END)").select("event_type", ratio="round(b / a, 6)"),
-    "permutation_entropy_drift_v1": entropy(halved.add(b=f"lead(value) {SER}", c=f"lead(value, 2) {SER}").where("c IS NOT NULL").add(pat="concat(CASE WHEN value < b THEN 'u' ELSE 'd' END, CASE WHEN b < c THEN 'u' ELSE 'd' END, CASE WHEN value < c THEN 'u' ELSE 'd' END)").agg("early", "pat", n="count(*)"), "early").select("h", early="CAST(early AS BIGINT)"),
+    "permutation_entropy_drift_v1": entropy(halved.near(*ALONG, 2, b=f"lead(value) {SER}", c=f"lead(value, 2) {SER}").where("c IS NOT NULL").add(pat="concat(CASE WHEN value < b THEN 'u' ELSE 'd' END, CASE WHEN b < c THEN 'u' ELSE 'd' END, CASE WHEN value < c THEN 'u' ELSE 'd' END)").agg("early", "pat", n="count(*)"), "early").select("h", early="CAST(early AS BIGINT)"),
     "constraints_violation_detector_v1": halved.agg("early", n="count(*)", negative="round(avg(CASE WHEN value < 0 THEN 1.0 ELSE 0.0 END), 9)", fraction="round(avg(CASE WHEN value <> floor(value) THEN 1.0 ELSE 0.0 END), 9)").select("n", "negative", "fraction", early="CAST(early AS BIGINT)"),
     "template_drift_two_sample": halves(("m",), halved.add(m="RSUB(props, '[0-9]+', '<num>')")).select("m", delta="b - a"),
     "time_series_analysis_auto": series.agg("event_type", slope="round(regr_slope(value, i), 9)", n="count(*)"),
     "stl_seasonal_decompose_v1": series.add(k="i % 7").agg("event_type", "k", seasonal="round(avg(value), 6)", n="count(*)").select("event_type", "seasonal", "n", k="CAST(k AS BIGINT)"),
     "onset_detection_rhythm_v1": series.join(series.agg("event_type", mu="avg(abs(d))", sd="stddev_pop(abs(d))"), "event_type").agg("event_type", onsets="CAST(sum(CASE WHEN abs(d) > mu + 2 * sd THEN 1 ELSE 0 END) AS BIGINT)"),
-    "haar_wavelet_transient_detector_v1": events.add(c=f"avg(value) {FRAME.format('CURRENT ROW', '7 FOLLOWING')} - avg(value) {FRAME.format('8 PRECEDING', '1 PRECEDING')}").agg("event_type", peak="round(max(abs(c)), 6)"),
+    "haar_wavelet_transient_detector_v1": events.near(*ALONG, 8, c=f"avg(value) {FRAME.format('CURRENT ROW', '7 FOLLOWING')} - avg(value) {FRAME.format('8 PRECEDING', '1 PRECEDING')}").agg("event_type", peak="round(max(abs(c)), 6)"),
     "transfer_entropy_directional": items.add(p="lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice)").agg(r=corr("p", "l_extendedprice")),
     "lagged_predictability_test": series.agg("event_type", r=corr("prev", "value")),
-    "granger_causality_v1": series.add(pt=f"lag(t) {SER}").agg("event_type", r=corr("t - pt", "prev")),
-    "teleconnection_lag_v1": events.add(**{f"l{k}": f"lag(value, {k}) {SER}" for k in range(1, 21)}).agg("event_type", **{f"r{k}": corr(f"l{k}", "value") for k in range(1, 21)}),
-    "pid_controller_analogue_v1": series.join(med, "event_type").add(e="value - m").add(i_e=f"sum(e) {FRAME.format('UNBOUNDED PRECEDING', 'CURRENT ROW')}", d_e=f"e - lag(e) {SER}").agg("event_type", p="var_pop(e)", i="var_pop(i_e)", d="var_pop(d_e)").select("event_type", p_share="round(p / (p + i + d), 6)", d_share="round(d / (p + i + d), 6)"),
+    "granger_causality_v1": series.near(*ALONG, 1, pt=f"lag(t) {SER}").agg("event_type", r=corr("t - pt", "prev")),
+    "teleconnection_lag_v1": events.near(*ALONG, 20, **{f"l{k}": f"lag(value, {k}) {SER}" for k in range(1, 21)}).agg("event_type", **{f"r{k}": corr(f"l{k}", "value") for k in range(1, 21)}),
+    "pid_controller_analogue_v1": series.join(med, "event_type").add(e="value - m").running(*ALONG, "i_e", "e").near(*ALONG, 1, last=f"lag(e) {SER}").add(d_e="e - last").agg("event_type", p="var_pop(e)", i="var_pop(i_e)", d="var_pop(d_e)").select("event_type", p_share="round(p / (p + i + d), 6)", d_share="round(d / (p + i + d), 6)"),
     "soil_depletion_resource_v1": chunks.where("m > 0").agg("event_type", decay="round(regr_slope(ln(m), k), 6)"),
     "half_life_utilization_v1": chunks.where("m > 0").agg("event_type", decay="regr_slope(ln(m), k)").select("event_type", half_life="round(ln(2) / nullif(abs(decay), 0.0), 3)"),
     "creep_fatigue_prediction_v1": rolling.agg("event_type", slope="round(regr_slope(m, i), 9)", ratio="round(stddev_pop(value) / avg(value), 6)"),
@@ -100,7 +106,7 @@ PLANS = {
     "dependency_graph_change_detection": items.add(t="US(l_shipdate)").halve("t", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").agg(**{f"{p}{e}": f"corr(CASE WHEN early = {e} THEN {x} END, CASE WHEN early = {e} THEN {y} END)" for p, x, y in (("qp", "l_quantity", "l_extendedprice"), ("qd", "l_quantity", "l_discount"), ("pd", "l_extendedprice", "l_discount"), ("pt", "l_extendedprice", "l_tax"), ("qt", "l_quantity", "l_tax"), ("dt", "l_discount", "l_tax")) for e in (0, 1)}).select(**{p: f"round({p}0 - {p}1, 6)" for p in ("qp", "qd", "pd", "pt", "qt", "dt")}, largest="round(greatest(" + ", ".join(f"abs({p}0 - {p}1)" for p in ("qp", "qd", "pd", "pt", "qt", "dt")) + "), 6)"),
     "zipf_law_frequency_v1": ranks.agg(slope="round(regr_slope(ln(n), ln(r)), 6)", r2="round(regr_r2(ln(n), ln(r)), 6)"),
     "lotka_law_concentration_v1": events.agg("user_id", n="count(*)").agg("n", f="count(*)").agg(slope="round(regr_slope(ln(f), ln(n)), 6)", r2="round(regr_r2(ln(f), ln(n)), 6)"),
-    "bradford_law_core_hosts_v1": ranks.add(c="sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", every="sum(n) OVER ()").agg(core="CAST(sum(CASE WHEN c * 3 <= every THEN 1 ELSE 0 END) AS BIGINT)", users="count(*)"),
+    "bradford_law_core_hosts_v1": ranks.agg(core="CAST(sum(CASE WHEN c * 3 <= every THEN 1 ELSE 0 END) AS BIGINT)", users="count(*)"),
     "survival_kaplan_meier": km.add(s="exp(sum(CASE WHEN at_risk > d THEN ln(1.0 - d / CAST(at_risk AS DOUBLE)) ELSE -50.0 END) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))").select("event_type", h="CAST(h AS BIGINT)", s="round(s, 6)"),
     "life_table_hazard_v1": km.select("event_type", h="CAST(h AS BIGINT)", hazard="round(d / CAST(at_risk AS DOUBLE), 9)"),
     "competing_risks_cif_v1": log.where("wait IS NOT NULL").cross(log.agg(t50="PCT(wait, 0.5)", t90="PCT(wait, 0.9)", every="count(wait)")).agg("event_type", c50="round(sum(CASE WHEN wait <= t50 THEN 1.0 ELSE 0.0 END) / max(every), 9)", c90="round(sum(CASE WHEN wait <= t90 THEN 1.0 ELSE 0.0 END) / max(every), 9)"),
@@ -110,10 +116,10 @@ PLANS = {
     "fairness_bias_detection_v1": items.agg("l_linestatus", rate="avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)", n="count(*)").add(gap="max(rate) OVER () - min(rate) OVER ()", ratio="min(rate) OVER () / nullif(max(rate) OVER (), 0.0)").select("l_linestatus", "n", rate="round(rate, 9)", gap="round(gap, 9)", disparate="round(ratio, 9)"),
     "renyi_entropy_spectrum_v1": events.add(k="floor(value / 10.0)").agg("event_type", "k", n="count(*)").add(p="n / CAST(sum(n) OVER (PARTITION BY event_type) AS DOUBLE)").agg("event_type", h0="round(ln(count(*)), 6)", h1="round(-sum(p * ln(p)), 6)", h2="round(-ln(sum(p * p)), 6)"),
     "surface_rugosity_index": series.agg("event_type", n="count(*)", s="sum(abs(d))", lo="PCT(value, 0.05)", hi="PCT(value, 0.95)").select("event_type", rugosity="round(s / ((hi - lo) * (n - 1)), 6)"),
-    "surface_terrain_position_index": events.add(m=f"avg(value) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}").agg("event_type", q90="round(PCT(abs(value - m), 0.9), 6)"),
-    "surface_fractal_dimension_variogram": events.add(**{f"l{k}": f"lag(value, {k}) {SER}" for k in (1, 2, 4)}).agg("event_type", **{f"g{k}": f"avg((value - l{k}) * (value - l{k})) / 2.0" for k in (1, 2, 4)}).where("g1 > 0 AND g4 > 0").add(slope="(ln(g4) - ln(g1)) / (2.0 * ln(2.0))").select("event_type", g1="round(g1, 4)", g2="round(g2, 4)", g4="round(g4, 4)", hurst="round(slope / 2.0, 6)", dimension="round(2.0 - slope / 2.0, 6)"),
-    "moran_i_autocorrelation_v1": series.join(moments, "event_type").add(z="value - mu", zn=f"lead(value) {SER} - mu").agg("event_type", n="count(*)", c="sum(z * zn)", v="sum(z * z)").select("event_type", i="round(n / (2.0 * (n - 1)) * 2.0 * c / v, 6)"),
-    "getis_ord_hotspot_v1": events.add(s=f"sum(value) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}", k=f"count(*) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}").join(moments, "event_type").add(g="(s - k * mu) / nullif(sd * sqrt((n * k - k * k) / CAST(n - 1 AS DOUBLE)), 0.0)").agg("event_type", hot="CAST(sum(CASE WHEN g > 1.96 THEN 1 ELSE 0 END) AS BIGINT)", cold="CAST(sum(CASE WHEN g < -1.96 THEN 1 ELSE 0 END) AS BIGINT)"),
+    "surface_terrain_position_index": events.near(*ALONG, 5, m=f"avg(value) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}").agg("event_type", q90="round(PCT(abs(value - m), 0.9), 6)"),
+    "surface_fractal_dimension_variogram": events.near(*ALONG, 4, **{f"l{k}": f"lag(value, {k}) {SER}" for k in (1, 2, 4)}).agg("event_type", **{f"g{k}": f"avg((value - l{k}) * (value - l{k})) / 2.0" for k in (1, 2, 4)}).where("g1 > 0 AND g4 > 0").add(slope="(ln(g4) - ln(g1)) / (2.0 * ln(2.0))").select("event_type", g1="round(g1, 4)", g2="round(g2, 4)", g4="round(g4, 4)", hurst="round(slope / 2.0, 6)", dimension="round(2.0 - slope / 2.0, 6)"),
+    "moran_i_autocorrelation_v1": series.join(moments, "event_type").near(*ALONG, 1, nxt=f"lead(value) {SER}").add(z="value - mu", zn="nxt - mu").agg("event_type", n="count(*)", c="sum(z * zn)", v="sum(z * z)").select("event_type", i="round(n / (2.0 * (n - 1)) * 2.0 * c / v, 6)"),
+    "getis_ord_hotspot_v1": events.near(*ALONG, 5, s=f"sum(value) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}", k=f"count(*) {FRAME.format('5 PRECEDING', '5 FOLLOWING')}").join(moments, "event_type").add(g="(s - k * mu) / nullif(sd * sqrt((n * k - k * k) / CAST(n - 1 AS DOUBLE)), 0.0)").agg("event_type", hot="CAST(sum(CASE WHEN g > 1.96 THEN 1 ELSE 0 END) AS BIGINT)", cold="CAST(sum(CASE WHEN g < -1.96 THEN 1 ELSE 0 END) AS BIGINT)"),
     "evt_gumbel_tail": series.add(b="floor((i - 1) / 20.0)").agg("event_type", "b", m="max(value)").agg("event_type", mean="avg(m)", sd="stddev_pop(m)").select("event_type", beta="round(sd * sqrt(6.0) / pi(), 6)", mu="round(mean - 0.5772156649 * sd * sqrt(6.0) / pi(), 6)"),
     "psha_probabilistic_risk_v1": events.agg("event_type", p95="PCT(value, 0.95)", p99="PCT(value, 0.99)").select("event_type", ratio="round(p99 / p95, 6)"),
     "assortativity_scheduling_bias_v1": deg.join(out_deg, "src").join(in_deg, "dst").agg(r=corr("od", "id"), edges="count(*)"),

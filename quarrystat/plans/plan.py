@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystat.plans.chunked import near_windows, place_in_order, running_sum
 from quarrystat.plans.halves import early_half
 
 _SPARK = {"PCT": "percentile", "US": "unix_micros", "JGET": "get_json_object", "RSUB": "regexp_replace"}
@@ -89,6 +90,18 @@ class Plan:
         """Column early: 1 for the first int(n / 2) rows by t and ties, else 0."""
         return self._with("halve", t, ties)
 
+    def near(self, key: str, order: str, reach: int, **columns: str) -> Plan:
+        """Window columns over ``PARTITION BY key ORDER BY order`` that look at most ``reach`` rows away."""
+        return self._with("near", key, order, reach, columns)
+
+    def place(self, key: str, order: str, name: str) -> Plan:
+        """Each row's place from 1 along its key."""
+        return self._with("place", key, order, name)
+
+    def running(self, key: str, order: str, name: str, value: str) -> Plan:
+        """Sum of ``value`` from the key's first row to the row itself."""
+        return self._with("running", key, order, name, value)
+
     def top(self, order: str, n: int) -> Plan:
         return self._with("top", order, n)
 
@@ -114,6 +127,12 @@ class Plan:
                 out = out.unionByName(x[0].df(spark, sf_dir))
             elif kind == "halve":
                 out = early_half(out, [x[0], *x[1]])
+            elif kind == "near":
+                out = near_windows(out, x[0], x[1].split(", "), x[2], {n: _spark(e) for n, e in x[3].items()})
+            elif kind == "running":
+                out = running_sum(out, x[0], x[1].split(", "), x[2], _spark(x[3]))
+            elif kind == "place":
+                out = place_in_order(out, x[0], x[1].split(", "), x[2])
             elif kind == "each":
                 out = out.selectExpr("*", f"explode(sequence({x[1]}L, CAST({_spark(str(x[2]))} AS BIGINT))) AS {x[0]}")
             else:
@@ -142,6 +161,13 @@ class Plan:
                 out = f"SELECT * FROM ({out}) {x[2].upper()} JOIN ({x[0].sql()}) ON {_duck(x[1])}"
             elif kind == "union":
                 out = f"({out}) UNION ALL BY NAME ({x[0].sql()})"
+            elif kind == "near":
+                out = f"SELECT *, {named(x[3])} FROM ({out})"
+            elif kind == "running":
+                frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+                out = f"SELECT *, sum({_duck(x[3])}) OVER (PARTITION BY {x[0]} ORDER BY {x[1]} {frame}) AS {x[2]} FROM ({out})"
+            elif kind == "place":
+                out = f"SELECT *, row_number() OVER (PARTITION BY {x[0]} ORDER BY {x[1]}) AS {x[2]} FROM ({out})"
             elif kind == "halve":
                 out = f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {', '.join((x[0], *x[1]))}) <= count(*) OVER () // 2 THEN 1 ELSE 0 END AS early FROM ({out})"
             elif kind == "each":
