@@ -29,7 +29,7 @@ def three(*keys: str, source: Plan = num) -> Plan:
     )
 
 
-cut = num.agg(cut="PCT(t, 0.5)")
+cut = num.median("t", "cut")
 halves = num.halve("t", "x", "y", "z")
 moved = three("early", source=halves)
 shift = moved.where("early = 1").cross(moved.where("early = 0").select(qxy="pxy", qxz="pxz", qyz="pyz", f1="e1"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystat.plans.chunked import near_windows, place_in_order, running_sum
-from quarrystat.plans.halves import early_half
+from quarrystat.plans.halves import early_half, exact_median
 
 _SPARK = {"PCT": "percentile", "US": "unix_micros", "JGET": "get_json_object", "RSUB": "regexp_replace"}
 _DUCK = {"PCT": "quantile_cont", "US": "epoch_us", "JGET": "json_extract_string", "RSUB": "regexp_replace_all"}
@@ -90,6 +90,10 @@ class Plan:
         """Column early: 1 for the first int(n / 2) rows by t and ties, else 0."""
         return self._with("halve", t, ties)
 
+    def median(self, t: str, name: str) -> Plan:
+        """One row: the exact median of microseconds."""
+        return self._with("median", t, name)
+
     def near(self, key: str, order: str, reach: int, **columns: str) -> Plan:
         """Window columns over ``PARTITION BY key ORDER BY order`` that look at most ``reach`` rows away."""
         return self._with("near", key, order, reach, columns)
@@ -127,6 +131,8 @@ class Plan:
                 out = out.unionByName(x[0].df(spark, sf_dir))
             elif kind == "halve":
                 out = early_half(out, [x[0], *x[1]])
+            elif kind == "median":
+                out = exact_median(out, x[0], x[1])
             elif kind == "near":
                 out = near_windows(out, x[0], x[1].split(", "), x[2], {n: _spark(e) for n, e in x[3].items()})
             elif kind == "running":
@@ -161,6 +167,8 @@ class Plan:
                 out = f"SELECT * FROM ({out}) {x[2].upper()} JOIN ({x[0].sql()}) ON {_duck(x[1])}"
             elif kind == "union":
                 out = f"({out}) UNION ALL BY NAME ({x[0].sql()})"
+            elif kind == "median":
+                out = f"SELECT quantile_cont({x[0]}, 0.5) AS {x[1]} FROM ({out})"
             elif kind == "near":
                 out = f"SELECT *, {named(x[3])} FROM ({out})"
             elif kind == "running":

@@ -38,3 +38,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, i long, v double")
     assert near_windows(df, "k", ["ts", "i"], 2, {"a": f"lag(v) {FULL.format('')}"}).count() == 0
     assert place_in_order(df, "k", ["ts", "i"], "p").count() == 0 and running_sum(df, "k", ["ts", "i"], "t", "v").agg(F.count("*")).first()[0] == 0
+
+
+def test_exact_median(spark):
+    import statistics
+
+    from quarrystat.plans.halves import exact_median
+
+    r = random.Random(9)
+    for n, spread in ((0, 1), (1, 1), (2, 10**12), (7, 10), (500, 3 * 10**6), (501, 10**11)):
+        values = [r.randint(0, spread) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "t long").repartition(3)
+        got = exact_median(df, "t", "m").first()["m"]
+        assert got == (statistics.median(values) if values else None)
