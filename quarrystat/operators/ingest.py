@@ -54,8 +54,8 @@ def _normalised(spark, sf_dir):
 def _generated(spark, sf_dir):
     """Without a local model the generator's fallback: the deterministic pack of the table, each statement checked by the guard and
     by planning it."""
-    _read(spark, sf_dir, "events").createOrReplaceTempView("events")
-    pack = sql_pack(role_scores(spark.table("events")).select("column", "dtype"), "events").collect()
+    _read(spark, sf_dir, "events").createOrReplaceTempView("quarrystat_events")
+    pack = sql_pack(role_scores(spark.table("quarrystat_events")).select("column", "dtype"), "quarrystat_events").collect()
     rows = []
     for r in pack:
         try:

@@ -327,7 +327,7 @@ def sql_pack(schema: DataFrame, table: str) -> DataFrame:
 
 @register("transform_sql_intents_pack_v1")
 def _pack(spark, sf_dir):
-    return sql_pack(role_scores(_read(spark, sf_dir, "events")).select("column", "dtype"), "events")
+    return sql_pack(role_scores(_read(spark, sf_dir, "events")).select("column", "dtype"), "quarrystat_events")
 
 
 def materialize_pack(spark, pack: list[tuple[str, str]], max_rows: int = 1000) -> DataFrame:
@@ -349,8 +349,8 @@ def materialize_pack(spark, pack: list[tuple[str, str]], max_rows: int = 1000) -
 @register("transform_sqlpack_materialize_v1")
 def _materialized(spark, sf_dir):
     """The pack of the event log, run read-only over a view of it; one statement a column of its schema."""
-    _read(spark, sf_dir, "events").createOrReplaceTempView("events")
-    pack = [(r["intent"], r["sql"]) for r in sql_pack(role_scores(spark.table("events")).select("column", "dtype"), "events").collect()]
+    _read(spark, sf_dir, "events").createOrReplaceTempView("quarrystat_events")
+    pack = [(r["intent"], r["sql"]) for r in sql_pack(role_scores(spark.table("quarrystat_events")).select("column", "dtype"), "quarrystat_events").collect()]
     return materialize_pack(spark, pack)
 
 
