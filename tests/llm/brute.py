@@ -163,3 +163,46 @@ def language(train, texts, dimensions, seed):
         best = max(sorted(cos), key=lambda k: cos[k]) if n and cos else "und"
         out.append((best, min(1.0, max(0.0, cos[best])) if n and cos else 0.0))
     return out
+
+
+def fill(children, budget):
+    """Shares of a budget by name, children being (name, capacity, weight): everyone gets weight times one level, those full stop there."""
+    if sum(c for _, c, _ in children) <= budget:
+        return {n: c for n, c, _ in children}
+    order, left, level = sorted(children, key=lambda x: (x[1] / x[2], x[0])), budget, 0.0
+    for i, (_, c, _) in enumerate(order):
+        level = max(level, left / sum(w for *_, w in order[i:]))
+        left -= c
+    return {n: min(c, math.floor(level * w)) for n, c, w in children}
+
+
+def mixing(docs, mix):
+    """Copies of each document (doc_id, text, lang, source) by plain recursion over domains, languages and sources."""
+    import hashlib
+
+    leaf = defaultdict(list)
+    for i, text, lang, source in docs:
+        end = (source or "")[-1:]
+        domain = "web" if end in set("01234") - {""} and end else "books" if end and end in "567" else "forum"
+        leaf[domain, lang or "<null>", source or "<null>"].append((i, text or "", len(SPACE.findall(text or ""))))
+    leaf = {k: v for k, v in leaf.items() if sum(t for *_, t in v)}
+    tokens = {k: sum(t for *_, t in v) for k, v in leaf.items()}
+    cap = lambda keys: sum(tokens[k] * mix.max_epochs for k in keys)
+    split = lambda keys, at: {n: [k for k in keys if k[at] == n] for n in sorted({k[at] for k in keys})}
+    out, budget = {}, sum(tokens.values()) * mix.budget_percent // 100
+    domains = split(list(leaf), 0)
+    for d, db in fill([(d, cap(ks), mix.domains.get(d, mix.other)) for d, ks in domains.items()], budget).items():
+        langs = split(domains[d], 1)
+        for lang, lb in fill([(n, cap(ks), mix.languages.get(n, mix.other)) for n, ks in langs.items()], db).items():
+            sources = split(langs[lang], 2)
+            for s, b in fill([(n, cap(ks), mix.sources.get(n, mix.other)) for n, ks in sources.items()], lb).items():
+                rows = leaf[d, lang, s]
+                whole, rest = divmod(b, tokens[d, lang, s])
+                keyed = sorted((hashlib.md5(f"{mix.seed}|{whole}|{'null' if i is None else i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), i, n) for i, t, n in rows)
+                used = 0
+                for _, i, n in keyed:
+                    used += n
+                    copies = whole + (rest > 0 and used <= rest)
+                    if copies:
+                        out[i] = copies
+    return out

@@ -10,7 +10,8 @@ def test_pipeline(spark, sf, docs):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     now = docs
     for name, stage in cp.STAGES:
-        before = [(r["doc_id"], r["text"]) for r in now.select("doc_id", "text").collect()]
+        full = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in now.collect()]
+        before = [x[:2] for x in full]
         out = stage(spark, now, sf)
         if name != cp.STAGES[-1][0]:
             assert out.columns == docs.columns
@@ -23,7 +24,9 @@ def test_pipeline(spark, sf, docs):
             assert set(ids) == {c for _, c, _ in brute.components(before, 5, 80, 100).values()}
         if "decontamination" in name:
             assert set(ids) == {i for i, x in brute.decontaminate(before, bench).items() if not x[1]}
-        if "token" in name:
+        if "mixing" in name:
+            assert set(ids) == set(brute.mixing(full, cp.MIX))
+        if name == cp.STAGES[-1][0]:
             assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows} == brute.tokens(before, token_config().tokenizer)
         now = spark.createDataFrame(rows, out.schema)
     whole = sorted(tuple(r) for r in cp.run(spark, sf).collect())
