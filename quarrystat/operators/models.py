@@ -37,7 +37,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cluster_analysis_auto")
 def _auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inertia and silhouette for 2 to 5 clusters."""
-    rows, found = profiles(spark, sf_dir), []
+    rows, found = materialize(profiles(spark, sf_dir).select("features"), "profiles"), []  # four fits read it
     for k in range(2, 6):
         model = KMeans(k=k, seed=1).fit(rows)
         found.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(rows)))))
@@ -48,7 +48,7 @@ def _auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual information of cluster and label over k."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    out = None
+    rows, out = materialize(rows, "vectors"), None
     for k in (2, 4, 8):
         cells = KMeans(k=k, seed=1).fit(rows).transform(rows).groupBy("prediction", "label").agg(F.count("*").alias("n"))
         every, c, w = F.sum("n").over(Window.partitionBy()), F.sum("n").over(Window.partitionBy("prediction")), F.sum("n").over(Window.partitionBy("label"))

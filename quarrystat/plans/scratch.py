@@ -24,3 +24,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/quarrystat/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove all intermediate tables of this library from the shared folder; call it when no result that reads them is left."""
+    jvm, path = spark.sparkContext._jvm, f"{scratch_dir(spark)}/quarrystat"
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -124,3 +124,15 @@ def test_robust_scale(spark):
     assert one([1, 1, 1, 1, 5, 9, 1, 5])[3] == pytest.approx(4 / 1.349, abs=1e-6) and one([-1] * 9 + [3])[3] == pytest.approx(1.2) and one([7, 7])[3] == 1.0
     n, log1p, centre, _ = one([1] * 5 + [2, 3, 4000])
     assert log1p and centre == pytest.approx(math.log(2), abs=1e-9)
+
+
+def test_scratch(spark, tmp_path):
+    from quarrystat.plans.scratch import clear_scratch, materialize
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/ck")
+    try:
+        assert materialize(spark.range(5), "t").count() == 5 and len(list((tmp_path / "ck" / "quarrystat").iterdir())) == 1
+        assert clear_scratch(spark) and not (tmp_path / "ck" / "quarrystat").exists()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
