@@ -126,13 +126,21 @@ def test_robust_scale(spark):
     assert log1p and centre == pytest.approx(math.log(2), abs=1e-9)
 
 
-def test_scratch(spark, tmp_path):
-    from quarrystat.plans.scratch import clear_scratch, materialize
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/ck")
-    try:
-        assert materialize(spark.range(5), "t").count() == 5 and len(list((tmp_path / "ck" / "quarrystat").iterdir())) == 1
-        assert clear_scratch(spark) and not (tmp_path / "ck" / "quarrystat").exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_scratch(spark, tmp_path, monkeypatch):
+    from quarrystat.plans import scratch
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda s: f"file://{tmp_path}/ck")
+    assert scratch.materialize(spark.range(5), "t").count() == 5 and len(list((tmp_path / "ck" / "quarrystat").iterdir())) == 1
+    assert scratch.clear_scratch(spark) and not (tmp_path / "ck" / "quarrystat").exists()
+
+
+def test_scratch_without_the_setting():
+    """A local session gets one folder, a cluster's is refused."""
+    from types import SimpleNamespace
+
+    from quarrystat.plans.scratch import scratch_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    assert scratch_dir(session("local[2]")) == scratch_dir(session("local[2]")).rstrip("/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session("spark://host:7077"))
