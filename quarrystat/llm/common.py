@@ -15,14 +15,20 @@ NON_ALNUM_RUN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Folders of local sessions without the setting.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``; a local session without it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quarrystat-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:  # the setting itself can't be changed in a running session
+            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='quarrystat-')}"
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
