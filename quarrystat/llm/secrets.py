@@ -3,7 +3,7 @@
 Every run of eight value characters or more is a candidate, wherever it stands in a text's space-separated words: whole
 values, values with the marks of passwords, and the parts of paths and dotted values. So minified JSON, CSV, query strings
 and connection strings give all of theirs; a run is scored with the name before it as its key. Each candidate is described
-by its length, its character transitions (runs of a kind, steps between vowels and consonants, letters and digits), digits, capitals, marks, distinct characters, dictionary coverage, its path form,
+by its length, its character transitions (runs of a kind, steps between vowels and consonants), digits, capitals, marks, distinct characters, dictionary coverage, its path form,
 known key prefixes and the words around it. A random forest, trained on labelled findings, gives each candidate the
 probability of being a secret. A password of several words counts as its words.
 
@@ -59,8 +59,8 @@ def _features(x: Column, i: Column, near: Column) -> Column:
     runs = v
     for kind, mark in (("[a-z]+", "!"), ("[A-Z]+", "@"), ("[0-9]+", "#"), ("[^A-Za-z0-9!@#]+", "$")):
         runs = F.regexp_replace(runs, kind, F.lit(mark.replace("$", "\\$")))
-    # vowels, consonants and digits as one letter each: pronounceable names alternate, keys and digests mix
-    kinds = F.translate(F.lower(v), "abcdefghijklmnopqrstuvwxyz0123456789", "vcccvcccvcccccvcccccvccccc" + "d" * 10)
+    # vowels and consonants as one letter each: pronounceable names alternate, keys and digests do not
+    kinds = F.translate(F.lower(v), "abcdefghijklmnopqrstuvwxyz", "vcccvcccvcccccvcccccvccccc")
     steps = lambda *pairs: sum((n - F.length(F.replace(kinds, F.lit(p), F.lit("")))) / 2 for p in pairs)
     gone = lambda pattern, x=v: (n - F.length(F.regexp_replace(x, pattern, ""))).cast("double")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -70,7 +70,6 @@ def _features(x: Column, i: Column, near: Column) -> Column:
         n.cast("double").alias("length"),
         (F.length(runs) / n).alias("transitions"),
         (steps("cv", "vc") / n).alias("alternations"),
-        (steps("cd", "dc", "vd", "dv") / n).alias("mixtures"),
         (gone("[0-9]") / n).alias("digits"),
         (gone("[A-Z]") / n).alias("capitals"),
         (F.size(F.array_distinct(F.split(v, ""))) / n).alias("distinct"),
@@ -87,7 +86,7 @@ def _features(x: Column, i: Column, near: Column) -> Column:
     )
 
 
-FEATURES = ("length", "transitions", "alternations", "mixtures", "digits", "capitals", "distinct", "dictionary", "path", "marks", "hex", "uuid", "prefix", "key", "user", "telling", "otherwise")
+FEATURES = ("length", "transitions", "alternations", "digits", "capitals", "distinct", "dictionary", "path", "marks", "hex", "uuid", "prefix", "key", "user", "telling", "otherwise")
 
 
 def _runs(word: Column, pattern: str, only: str | None = None) -> Column:
