@@ -16,6 +16,7 @@ from quarrystat.llm import (
     mixing,
     quality_rules,
     secrets,
+    token_align,
     token_output,
 )
 from quarrystat.llm.oracle import SQL
@@ -35,6 +36,12 @@ def token_config(**more: int) -> token_output.Output:
     return token_output.Output(tokenizer_path(), **more)
 
 
+def align_config(**more: int) -> token_align.Align:
+    import public_tokenizers
+
+    return token_align.Align(tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"), **more)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: _read(s, d, "documents")
     return {
@@ -48,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": lambda s, d: decontaminate.digest(docs(s, d), _read(s, d, "benchmark")),
         "op9_secrets": lambda s, d: secrets.digest(docs(s, d)),
         "op10_license_scan": lambda s, d: license_scan.digest(docs(s, d)),
+        "op11_token_alignment": lambda s, d: token_align.digest(docs(s, d), align_config()),
     }
 
 
