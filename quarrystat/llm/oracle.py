@@ -173,6 +173,30 @@ SELECT doc_id, d AS domain, l AS lang, s AS source, t AS n_tokens, (whole + (res
 FROM o WHERE whole + (rest > 0 AND cum <= rest)::INT > 0
 """
 
+PHRASES = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, unnest(range(1, 6)) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS x FROM g WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN unnest(range(1, 5)) AS s(j) ON j < k JOIN n ON n.lang = c.lang
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(x[1:j], ' ')
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(x[j + 1:], ' ')),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (
+  SELECT DISTINCT worst.lang, worst.phrase FROM worst JOIN worst o ON o.lang = worst.lang AND o.k > worst.k AND 100 * o.a >= 100 * worst.a
+       AND contains(' ' || o.phrase || ' ', ' ' || worst.phrase || ' ')),
+kept AS (SELECT worst.* FROM worst ANTI JOIN held USING (lang, phrase))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a,
+       l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op2_lm_score": LM,
     "op3_mixing": MIXING,
@@ -180,4 +204,5 @@ SQL: dict[str, str] = {
     "op6_chat": CHAT,
     "op7_jaccard_join": JACCARD,
     "op8_decontaminate": DECONTAMINATE,
+    "op12_collocations": PHRASES,
 }

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrystat.llm import (
     chat,
+    collocations,
     decontaminate,
     jaccard_join,
     language_id,
     license_scan,
     lm_score,
     mixing,
+    personal_data,
     quality_rules,
     secrets,
     token_align,
@@ -56,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": lambda s, d: secrets.digest(docs(s, d)),
         "op10_license_scan": lambda s, d: license_scan.digest(docs(s, d)),
         "op11_token_alignment": lambda s, d: token_align.digest(docs(s, d), align_config()),
+        "op12_collocations": lambda s, d: collocations.digest(docs(s, d)),
+        "op13_personal_data": lambda s, d: personal_data.digest(docs(s, d)),
     }
 
 
