@@ -48,9 +48,9 @@ class Mine:
     #: Counters and bits; more buckets tell more phrases apart.
     buckets: int = 1 << 22
     chunk: int = 1 << 16
-    batch_bytes: int = 4_000_000
+    batch_bytes: int = 1_500_000
     #: Distinct phrases that a task adds up before it hands them on.
-    held_rows: int = 400_000
+    held_rows: int = 150_000
 
 
 def _kinds() -> np.ndarray:
@@ -131,7 +131,7 @@ class Words:
         group, distinct = pd.factorize(key)
         first = np.empty(len(distinct), dtype=np.int64)
         first[group[::-1]] = at[::-1]
-        n = np.bincount(group, minlength=len(distinct)).astype(np.int64)
+        n = np.bincount(group, minlength=len(distinct))
         parts = [self.names.take(pa.array(self.code[first + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
         return pa.table({"lang": self.langs.dictionary.take(pa.array(self.lang[first])), "phrase": phrase, "n": n})
@@ -168,7 +168,6 @@ def _scan(cfg: Mine, k: int, reached: bytes | None, frequent: bytes | None):
         kinds = _kinds()
         open_bits = lambda b: np.unpackbits(np.frombuffer(b, dtype=np.uint8)).view(bool)
         may, good = (open_bits(reached), open_bits(frequent)) if k > 1 else (None, None)
-        # counts stop at ``least``, which decides as the full counts do
         counts = np.zeros(cfg.buckets if k < cfg.longest else 0, dtype=np.int32)
         held: list[pa.Table] = []
 
@@ -192,16 +191,18 @@ def _scan(cfg: Mine, k: int, reached: bytes | None, frequent: bytes | None):
                 if k < cfg.longest:
                     n = max(0, len(keep) - 1)
                     longer = keep[:n] & keep[1 : n + 1] & w.within(k + 1)
-                    counts += np.bincount(w.bucket(k + 1, cfg.buckets)[longer], minlength=cfg.buckets).astype(np.int32)
-                    np.minimum(counts, cfg.least, out=counts)
+                    np.add.at(counts, w.bucket(k + 1, cfg.buckets)[longer], 1)
                 if sum(map(len, held)) > 2 * cfg.held_rows:
                     held = [together()]
                     if len(held[0]) > cfg.held_rows:
                         yield from _phrases(held.pop())
+                    pa.default_memory_pool().release_unused()
+                del w
                 lo = hi
         if held:
             yield from _phrases(together())
-        yield from _chunks(counts, cfg.chunk)
+        # counts past ``least`` decide as ``least`` does
+        yield from _chunks(np.minimum(counts, cfg.least), cfg.chunk)
         trim()
 
     return run
