@@ -14,6 +14,8 @@ class NotAllowed(ValueError):
 
 #: Parts of names of plan nodes that write, change the session or run programs.
 WRITES = ("command", "insertinto", "createtable", "createview", "replace", "drop", "alter", "delete", "update", "merge", "write", "scripttransformation", "compound", "cache", "setcatalog")
+#: Table functions of the language itself; others may read files or run programs.
+TABLES = {"range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack", "json_tuple", "values", "variant_explode", "variant_explode_outer"}
 #: Functions that call any Java method.
 CALLS = {"reflect", "java_method", "try_reflect"}
 
@@ -47,7 +49,8 @@ def _nodes(node, seen_depth: int = 0) -> Iterator:
 
 def guarded_sql(spark: SparkSession, sql: str, max_rows: int | None = None, args: dict | None = None) -> DataFrame:
     """The query's lazy result. Commands (DDL, DML, SET, CACHE) are refused before anything runs, wherever they stand: after
-    common table expressions, as one of several inserts from one source, or in a script; so are calls of Java methods.
+    common table expressions, as one of several inserts from one source, or in a script; so are calls of Java methods, files
+    named by their path, and table functions other than the language's own.
 
     With ``max_rows`` at most max_rows + 1 rows are counted, and a larger result is refused.
     """
@@ -61,6 +64,16 @@ def guarded_sql(spark: SparkSession, sql: str, max_rows: int | None = None, args
         if ".plans.logical." in kind or ".execution." in kind or ".commands." in kind:
             if ".command." in kind or any(w in name for w in WRITES):
                 raise NotAllowed("only queries are allowed")
+        if name == "unresolvedrelation":
+            parts = node.multipartIdentifier()
+            words = [parts.apply(i) for i in range(parts.size())]
+            # format.`path` reads a file; a table of the catalog has its name there
+            if len(words) > 1 and not spark.catalog.tableExists(".".join(f"`{w.replace('`', '``')}`" for w in words)):
+                raise NotAllowed("only tables and views are read, not files")
+        elif name == "unresolvedtablevaluedfunction":
+            parts = node.name()
+            if parts.size() > 1 or parts.apply(0).lower() not in TABLES:
+                raise NotAllowed("only table functions of the language are allowed")
         elif name == "unresolvedfunction":
             parts = node.nameParts()
             if parts.apply(parts.size() - 1).lower() in CALLS:

@@ -44,25 +44,29 @@ def fuzzy_links(left: DataFrame, right: DataFrame, threshold: int = 82, least: i
     """Best right name for each left name (both: id, name): equal sets of tokens, else a token-sort ratio of ``threshold`` or
     more, else at least ``overlap`` shared tokens and ``share`` of the shorter's; then the smallest id.
 
-    Names of equal sorted tokens are one class, and only classes meet, in blocks of a shared token of ``least`` characters; a
-    token of many classes is split by hashing the left side, so that no block is one task."""
+    Names of equal sorted tokens are one class. Classes of equal sets of tokens are joined by their set, whatever their tokens'
+    length; other classes meet in blocks of a shared token of ``least`` characters, where a token of many classes is split by
+    hashing the left side, so that no block is one task. A name without letters and digits has no tokens and no link."""
     salts = 16
     key = F.array_join(sorted_tokens(F.col("name")), " ")
-    named = left.where("name IS NOT NULL").select(F.col("id").alias("left_id"), key.alias("left_key"))
+    as_set = lambda c: F.array_join(F.array_distinct(F.split(c, " ")), " ")
+    named = left.where("name IS NOT NULL").select(F.col("id").alias("left_id"), key.alias("left_key")).where("left_key <> ''")
     tokens = lambda p: F.array_distinct(F.array_remove(F.split(f"{p}_key", " "), "")).alias(f"{p}_tokens")
     block = lambda df, p: df.withColumn("token", F.explode(F.filter(f"{p}_tokens", lambda t: F.length(t) >= least)))
     a = block(named.select("left_key").distinct().select("left_key", tokens("left")), "left").withColumn("salt", F.pmod(F.xxhash64("left_key"), F.lit(salts)))
-    classes = right.where("name IS NOT NULL").groupBy(key.alias("right_key")).agg(F.min("id").alias("right_id"))
+    classes = right.where("name IS NOT NULL").groupBy(key.alias("right_key")).agg(F.min("id").alias("right_id")).where("right_key <> ''")
+    # a smallest id for each set of tokens
+    sets = classes.groupBy(as_set("right_key").alias("set")).agg(F.min("right_id").alias("right_id"))
+    equal = named.select("left_key", as_set("left_key").alias("set")).distinct().join(sets, "set").select("left_key", "right_id")
     b = block(classes.select("right_key", "right_id", tokens("right")), "right").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     # a pair is looked at under the smallest of its shared tokens only
     pairs = a.join(b, ["token", "salt"]).where(F.col("token") == F.array_min(F.filter(F.array_intersect("left_tokens", "right_tokens"), lambda t: F.length(t) >= least)))
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     ratio = F.floor(100.0 * (1 - F.levenshtein("left_key", "right_key") / F.greatest(F.length("left_key"), F.length("right_key"), F.lit(1)))).cast("long")
-    same = (shared == F.size("left_tokens")) & (shared == F.size("right_tokens"))
-    scored = pairs.select("left_key", "right_id", same.alias("same"), ratio.alias("ratio"), shared.alias("shared"), F.least(F.size("left_tokens"), F.size("right_tokens")).alias("shorter"))
-    kind = F.when(F.col("same"), "exact").when(F.col("ratio") >= threshold, "fuzzy").when((F.col("shared") >= overlap) & (F.col("shared") >= share * F.col("shorter")), "tokens")
-    score = F.when(F.col("kind") == "exact", F.lit(100)).otherwise(F.col("ratio")).cast("long")
-    kept = scored.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("score", score)
+    scored = pairs.select("left_key", "right_id", ratio.alias("ratio"), shared.alias("shared"), F.least(F.size("left_tokens"), F.size("right_tokens")).alias("shorter"))
+    kind = F.when(F.col("ratio") >= threshold, "fuzzy").when((F.col("shared") >= overlap) & (F.col("shared") >= share * F.col("shorter")), "tokens")
+    near = scored.withColumn("kind", kind).where("kind IS NOT NULL").select("left_key", "right_id", "kind", F.col("ratio").alias("score"))
+    kept = near.unionByName(equal.withColumn("kind", F.lit("exact")).withColumn("score", F.lit(100).cast("long")))
     best = F.max(F.struct(F.when(F.col("kind") == "exact", 2).when(F.col("kind") == "fuzzy", 1).otherwise(0).alias("k"), "score", (-F.col("right_id")).alias("r"), "kind"))
     linked = kept.groupBy("left_key").agg(best.alias("b")).select("left_key", (-F.col("b.r")).alias("right_id"), "b.kind", "b.score")
     return named.join(linked, "left_key").select("left_id", "right_id", "kind", "score")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystat.sources.quoted_csv import quoted_breaks, read_quoted
+from quarrystat.sources.sql_dump import read_sql_dump
+
 
 def unique_headers(names: list[str]) -> list[str]:
     """Blank names become ``column``; a repeated name gets _2, _3 and so on."""
@@ -19,9 +20,22 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
-    """Read a tabular file; ``kind`` is csv, json, jsonl, parquet, xlsx or sql, by default the path's extension."""
+    """Read a tabular file; ``kind`` is csv, json, jsonl, parquet, xlsx or sql, by default the path's extension.
+
+    CSV fields may hold line breaks in quotes; doubled quotes are quotes unless an ``escape`` is given."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
+        sep, quote = options.get("sep", options.get("delimiter", ",")), options.get("quote", '"')
+        utf8 = options.get("encoding", options.get("charset", "utf-8")).lower() in ("utf-8", "utf8")
+        if not {"multiLine", "escape", "lineSep"} & options.keys():
+            if utf8 and len(sep) == len(quote) == 1:
+                states, broken = quoted_breaks(spark, path, sep, quote)
+                if broken:
+                    df, names = read_quoted(spark, path, states, sep, quote)
+                    return df.toDF(*unique_headers(names))
+            else:
+                options["multiLine"] = "true"
+            options["escape"] = quote
         df = spark.read.options(header=True, inferSchema=True, **options).csv(path)
         # Spark renames repeated headers, so the header line is read apart
         names = spark.read.options(**(options | {"header": "false", "inferSchema": "false"})).csv(path).head()
@@ -39,37 +53,6 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options:
     raise ValueError(f"unknown kind {kind}")
 
 
-VALUES = re.compile(r"\((?:[^()']|'(?:[^']|'')*')*\)")
-FIELD = re.compile(r"\s*('(?:[^']|'')*'|[^,]*)\s*(?:,|$)")
-
-
-def read_sql_dump(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """Rows of INSERT statements of one table of a dump with one statement a line, all columns as strings.
-
-    Lines are parsed on the executors; only the CREATE TABLE statement is looked at by the driver.
-    """
-    lines = spark.read.text(path)
-    create = lines.where(F.col("value").rlike("(?i)^create table")).select("value").collect()
-    found = [re.match(r"(?is)create table\s+(?:if not exists\s+)?[`\"]?(\w+)[`\"]?\s*\((.*)\)", r["value"]) for r in create]
-    names = {m[1]: [c.strip().split()[0].strip('`"') for c in m[2].split(",") if not re.match(r"\s*(primary|unique|key|constraint)", c, re.I)] for m in found if m}
-    table = table or next(iter(names))
-    columns = names[table]
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for line in pdf["value"]:
-                if re.match(rf"(?i)insert into [`\"]?{table}[`\"]?", line):
-                    for group in VALUES.findall(line[line.lower().index("values") :]):
-                        cells = [m[1] for m in FIELD.finditer(group[1:-1])][: len(columns)]
-                        rows.append([None if c.upper() == "NULL" else c[1:-1].replace("''", "'") if c[:1] == "'" else c for c in cells])
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-    return lines.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
-
-
 def normalise(df: DataFrame, least: float = 0.98) -> DataFrame:
     """Strings trimmed, lower-cased, white space collapsed, empty to null; columns numeric in ``least`` of their values, and
     not named like ids, become doubles. One aggregate job decides for all columns."""

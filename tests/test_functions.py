@@ -9,6 +9,11 @@ from quarrystat.sources import readers
 from quarrystat.streaming import events as streams
 
 
+def _whole(spark):
+    spark.range(1).createOrReplaceGlobalTempView("whole")
+    return True
+
+
 def test_guard(spark):
     assert guard.guarded_sql(spark, "SELECT 1 AS a;").collect()[0]["a"] == 1
     assert guard.guarded_sql(spark, "WITH t AS (SELECT 2 AS a) SELECT a FROM t WHERE a > :x", args={"x": 1}).count() == 1
@@ -27,12 +32,18 @@ def test_guard(spark):
             "SELECT a FROM (SELECT java_method('java.lang.System', 'nanoTime') AS a)",
             "SELECT * FROM one_row WHERE id IN (SELECT reflect('java.lang.System', 'nanoTime'))",
             "FROM one_row SELECT TRANSFORM(id) USING 'cat' AS (x STRING)",
+            "SELECT * FROM text.`/etc/hostname`",
+            "SELECT * FROM one_row WHERE id IN (SELECT CAST(value AS INT) FROM text.`/etc/hostname`)",
+            "WITH t AS (SELECT * FROM csv.`/etc/hostname`) SELECT * FROM t",
+            "SELECT * FROM parquet.`x` p JOIN one_row o ON true",
+            "SELECT * FROM read_everything('/etc/hostname')",
         ):
             with pytest.raises(guard.NotAllowed):
                 guard.guarded_sql(spark, bad)
         assert spark.table("guarded").count() == 0
     finally:
         spark.sql("DROP TABLE guarded")
+    assert guard.guarded_sql(spark, "SELECT count(*) AS n FROM global_temp.whole w JOIN range(3) r ON true").first()["n"] == 3 if _whole(spark) else False
     assert guard.guarded_sql(spark, "SELECT max(a) AS m FROM (SELECT id AS a FROM one_row UNION ALL SELECT 5) WHERE a IN (SELECT 5)").first()["m"] == 5
     assert guard.statement_id("SELECT  1") == guard.statement_id("SELECT\n1")
 

@@ -64,6 +64,14 @@ def test_name_patterns(spark):
     assert out(["%_1"]) == ["LOAD_1", "loadx1"] and out(["re:^lo.*1$"]) == ["LOAD_1", "loadx1"] and out(["re:["]) == [] and out(["re:" + "x" * 201]) == []
 
 
+def test_fuzzy_links_of_short_names(spark):
+    """Equal names link whatever the length of their tokens; names without tokens don't."""
+    left = spark.createDataFrame([(1, "IBM"), (2, "A B C"), (3, "c a b b"), (4, "##"), (5, None), (6, "acme holdings ab")], "id long, name string")
+    right = spark.createDataFrame([(11, "ibm."), (10, "I.B.M"), (12, "c-b-a"), (13, "--"), (14, "holdings acme ab"), (15, "IBM")], "id long, name string")
+    got = {r["left_id"]: (r["right_id"], r["kind"], r["score"]) for r in matching.fuzzy_links(left, right).collect()}
+    assert got == {1: (11, "exact", 100), 2: (12, "exact", 100), 3: (12, "exact", 100), 6: (14, "exact", 100)}
+
+
 def test_fuzzy_links(spark):
     left = spark.createDataFrame([(1, "Acme Steel Works"), (2, "Northern Light Trading"), (3, "Zed"), (4, None)], "id long, name string")
     right = spark.createDataFrame([(10, "works steel ACME"), (11, "Acme Stele Works"), (20, "northern lights trading house"), (21, "Trading Northern Co"), (30, "Other")], "id long, name string")
