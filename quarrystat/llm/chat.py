@@ -44,8 +44,8 @@ class Template:
     final: tuple[str, ...] = ("assistant",)
 
     def __post_init__(self):
-        if not self.close or not self.open_after or "&" in self.close[0] + self.open_after[0]:
-            raise ValueError("the marks after a role and after a text start with a character other than &")
+        if not self.close or not self.open_after or re.search("[A-Za-z0-9&#;]", self.close[0] + self.open_after[0]):
+            raise ValueError("the marks after a role and after a text start with a character that no entity holds: no letter, digit, &, # or ;")
 
 
 CHATML = Template(open_before="<|im_start|>", open_after="\n", close="<|im_end|>\n")
@@ -111,19 +111,15 @@ def format_chats(conversations: DataFrame, template: Template = Template()) -> D
 
 def parse_chats(formatted: Column, template: Template = Template()) -> Column:
     """Array of (role, text) read back from a formatted string."""
-    # a lone close mark can't come from a turn, so the one empty part is the end
-    parts = F.split(formatted, re.sub(r"([^A-Za-z0-9\s])", r"\\\1", template.close))
+    # an escaped role holds no first character of the mark after it, an escaped text none of the closing mark
+    quoted = lambda t: re.sub(r"([^A-Za-z0-9\s])", r"\\\1", t)
+    role, text = quoted(template.open_after[0] + template.close[0]), quoted(template.close[0])
+    whole = f"{quoted(template.open_before)}([^{role}]*){quoted(template.open_after)}([^{text}]*){quoted(template.close)}"
     text_pairs, role_pairs = _entities(template.close[0]), _entities(template.close[0], template.open_after[0])
-
-    def turn(s: Column) -> Column:
-        body = F.substr(s, F.lit(len(template.open_before) + 1))
-        at = F.instr(body, template.open_after)
-        return F.struct(
-            _unescape(F.substr(body, F.lit(1), at - 1), role_pairs).alias("role"),
-            _unescape(F.substr(body, at + len(template.open_after)), text_pairs).alias("text"),
-        )
-
-    return F.transform(F.filter(parts, lambda s: s != ""), turn)
+    found = lambda i: F.regexp_extract_all(formatted, F.lit(whole), F.lit(i))
+    return F.zip_with(
+        found(1), found(2), lambda r, t: F.struct(_unescape(r, role_pairs).alias("role"), _unescape(t, text_pairs).alias("text"))
+    )
 
 
 def digest(conversations: DataFrame, template: Template = Template()) -> DataFrame:

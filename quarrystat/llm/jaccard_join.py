@@ -32,11 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystat.llm.common import materialize
+from quarrystat.llm.common import materialize, without_clash
 from quarrystat.llm.components import components
 from quarrystat.llm.texthash import mix, shingles, trim
 
@@ -84,9 +84,10 @@ def _signatures(cfg: Join):
             sets = shingles(batch.column(1).to_pylist(), cfg.k)
             rows = [(len(s), *_fingerprint(s)) for s in sets]
             n, f1, f2 = zip(*rows) if rows else ((), (), ())
+            marks = batch.select(batch.schema.names[2:])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())],
-                ["doc_id", "n", "f1", "f2"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *marks.columns],
+                ["doc_id", "n", "f1", "f2", *marks.schema.names],
             )
             trim()
 
@@ -372,10 +373,17 @@ def _verify(cfg: Join):
     return run
 
 
-def join_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
-    """Rows (doc_id, n, component_id, n_links), one for each row of ``docs``."""
+def _text_marks(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit("second")).alias("t2")]
+
+
+def join_classes(docs: DataFrame, cfg: Join = Join(), marks: bool = False) -> DataFrame:
+    """Rows (doc_id, n, component_id, n_links), one for each row of ``docs``; with ``marks`` also the text's hashes t1, t2 and
+    ``group``, a number for each group of linked documents, null for a document without words."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(plain.mapInArrow(_signatures(cfg), SIG), "signatures")
+    signed = plain.select("*", *_text_marks(F.col("text"))) if marks else plain
+    sig = materialize(signed.mapInArrow(_signatures(cfg), SIG + (", t1 long, t2 long" if marks else "")), "signatures")
     full = sig.where("n > 0")
     # a class is a node by its place in the written table, whether any of its rows has a doc_id or not
     classes = materialize(
@@ -416,15 +424,17 @@ def join_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     members = classes.join(tops, "node").select("node", "rep", "component")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
     counts = links.groupBy("u").agg(F.sum("links").alias("links"))
-    linked = members.join(least, "component").select("node", "least").join(counts, F.col("node") == F.col("u"), "left")
+    linked = members.join(least, "component").select("node", "least", "component").join(counts, F.col("node") == F.col("u"), "left")
     named = classes.join(linked, "node", "left").select(
-        "f1", "f2", F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "f1", "f2", F.coalesce("least", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "node").alias("group"),
     )
     return sig.join(named, ["f1", "f2"], "left").select(
         "doc_id",
         "n",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        *(["t1", "t2", F.when(F.col("n") > 0, F.col("group")).alias("group")] if marks else []),
     )
 
 
@@ -434,14 +444,27 @@ def digest(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, cfg: Join) -> DataFrame:
-    """The document with the smallest doc_id of each group; a repeated row of it stays once, rows without doc_id stay."""
-    named = materialize(join_classes(docs, cfg).select("doc_id", "component_id"), "named")
-    kept = named.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
-    kept = materialize(kept, "kept")
+    """One document of each group: the one with the smallest doc_id, then the smallest text hash; a doc_id of two texts is two
+    documents, and one without doc_id stays only where its group has no other. Documents without words all stay, once where
+    doc_id and text are repeated."""
+    named = materialize(join_classes(docs, cfg, marks=True).select("doc_id", "t1", "t2", "group"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("x")
+    grouped = named.where("group IS NOT NULL").groupBy("group").agg(first).select("x.doc_id", "x.t1", "x.t2")
+    wordless = named.where("group IS NULL").select("doc_id", "t1", "t2").distinct()
+    rows = named.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("_rows"))
+    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t1"] == b["t1"]) & (a["t2"] == b["t2"])
+    stay = grouped.unionByName(wordless)
+    kept = materialize(stay.join(rows, on(stay, rows)).select(stay["doc_id"], stay["t1"], stay["t2"], "_rows"), "kept")
     repeated = kept.where("_rows > 1").limit(1).count() > 0
     small = kept.count() <= cfg.broadcast_rows
-    on = docs["doc_id"].cast("long") == kept["_kept_id"]
-    rows = docs.join(F.broadcast(kept) if small else kept, on, "left_semi")
-    if repeated:
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    p = without_clash(docs)
+    ids = {"doc_id": f"{p}id", "t1": f"{p}t1", "t2": f"{p}t2", "_rows": f"{p}rows"}
+    kept = kept.withColumnsRenamed(ids)
+    marks = [m.alias(f"{p}{c}") for m, c in zip(_text_marks(F.col("text").cast("string")), "ab")]
+    marked = docs.select("*", *marks)
+    meet = marked["doc_id"].cast("long").eqNullSafe(kept[f"{p}id"]) & (marked[f"{p}a"] == kept[f"{p}t1"]) & (marked[f"{p}b"] == kept[f"{p}t2"])
+    out = marked.join(F.broadcast(kept) if small else kept, meet)
+    if repeated:  # rows of one doc_id and text
+        again = out.where(F.col(f"{p}rows") > 1).dropDuplicates(["doc_id", f"{p}a", f"{p}b"])
+        out = out.where(F.col(f"{p}rows") == 1).unionByName(again)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,8 @@ only that range of a leaf is ordered by a window. No leaf, not even one with a t
 Only DataFrame functions are used. The tree, a row for each leaf, is joined to the documents by broadcast up to
 ``MAX_BROADCAST_LEAVES`` leaves and by key beyond that.
 
-Defined results: null domain, lang or source is a node of its own; null or empty text has no tokens and rides along free
+Defined results: null domain, lang or source is a node of its own, beside one of any name; a node of weight 0 gets only what its
+siblings can't take; null or empty text has no tokens and rides along free
 of charge where its place in the order falls in a started epoch's prefix; equal doc_ids are told apart by the text's md5 and stay
 together if equal; an empty table or a budget of 0 gives an empty result.
 """
@@ -54,13 +55,29 @@ class Mix:
 def _weight(name: Column, weights: dict[str, int], other: int) -> Column:
     out = F.lit(other)
     for k, v in weights.items():
-        out = F.when(name == k, F.lit(v)).otherwise(out)
+        out = F.when(name == _node(F.lit(k)), F.lit(v)).otherwise(out)
     return out.cast("long")
 
 
+def _node(name: Column) -> Column:
+    """Names of nodes: a null is a node of its own, whatever other names there are."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("<null>"))
+
+
+def _shown(node: Column) -> Column:
+    return F.when(node.startswith("="), F.substr(node, F.lit(2))).otherwise(node)
+
+
 def fill(children: DataFrame, parents: list[str], budget: str, capacity: str, weight: str, out: str, order: list[str]) -> DataFrame:
-    """Adds ``out``: the share of ``budget`` (of the parent) for each child. Rows are tree nodes, never documents."""
-    of = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1))
+    """Adds ``out``: the share of ``budget`` (of the parent) for each child. Rows are tree nodes, never documents. Children of
+    weight 0 share, as equals, what their siblings can't hold."""
+    family = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1))
+    last = F.col(weight) == 0
+    left = F.greatest(F.col(budget) - F.coalesce(F.sum(F.when(~last, F.col(capacity))).over(family), F.lit(0)), F.lit(0))
+    children = children.withColumn("_own", F.when(last, left).otherwise(F.col(budget)))
+    children = children.withColumn("_last", last).withColumn("_w", F.when(last, F.lit(1)).otherwise(F.col(weight)))
+    budget, weight = "_own", "_w"
+    of = Window.partitionBy(*parents, "_last")
     ratio = F.col(capacity) / F.col(weight)
     ordered = of.orderBy("_ratio", *order)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +88,7 @@ def fill(children: DataFrame, parents: list[str], budget: str, capacity: str, we
     share = F.when(F.col("_all") <= F.col(budget), F.col(capacity)).otherwise(
         F.least(F.col(capacity), F.floor(F.col("_top") * F.col(weight)).cast("long"))
     )
-    return rows.withColumn(out, share.cast("long")).drop("_ratio", "_level", "_all", "_top")
+    return rows.withColumn(out, share.cast("long")).drop("_ratio", "_level", "_all", "_top", "_own", "_last", "_w")
 
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -94,12 +111,11 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), keep: list[str] | None = No
     p = without_clash(docs, "d", "l", "s")
     keep = docs.columns if keep is None else keep
     columns = [F.col(f"`{c}`") for c in keep]
-    node = lambda c: F.coalesce(c.cast("string"), F.lit("<null>"))
     rows = docs.select(
         *columns,
-        node(F.expr(mix.domain_sql)).alias(f"{p}d"),
-        node(F.col("lang")).alias(f"{p}l"),
-        node(F.col("source")).alias(f"{p}s"),
+        _node(F.expr(mix.domain_sql)).alias(f"{p}d"),
+        _node(F.col("lang")).alias(f"{p}l"),
+        _node(F.col("source")).alias(f"{p}s"),
         F.size(space_words(F.col("text"))).cast("long").alias(f"{p}t"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(f"{p}id"),
         F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias(f"{p}x"),
@@ -158,9 +174,9 @@ def digest(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     out, p = mix_documents(docs, mix, ["doc_id"])
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col(f"{p}d").alias("domain"),
-        F.col(f"{p}l").alias("lang"),
-        F.col(f"{p}s").alias("source"),
+        _shown(F.col(f"{p}d")).alias("domain"),
+        _shown(F.col(f"{p}l")).alias("lang"),
+        _shown(F.col(f"{p}s")).alias("source"),
         F.col(f"{p}t").alias("n_tokens"),
         F.col(f"{p}copies").alias("copies"),
     )

@@ -31,3 +31,12 @@ def test_pipeline(spark, sf, docs):
         now = spark.createDataFrame(rows, out.schema)
     whole = sorted(tuple(r) for r in cp.run(spark, sf).collect())
     assert whole == sorted(tuple(r) for r in rows)
+
+
+def test_pipeline_keeps_texts_of_one_id(spark, sf, docs):
+    """Two texts under one doc_id: the near-duplicate stage keeps both unless they are near copies of something."""
+    r = docs.first()
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60)) + "."
+    now = spark.createDataFrame([(9, text("a"), r["lang"], r["source"], 1), (9, text("b"), r["lang"], r["source"], 1), (4, text("b") + " more", r["lang"], r["source"], 1)], docs.schema)
+    kept = dict(cp.STAGES)["n-gram Jaccard join"](spark, now, sf)
+    assert sorted((x["doc_id"], x["text"]) for x in kept.collect()) == [(4, text("b") + " more"), (9, text("a"))]
