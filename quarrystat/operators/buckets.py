@@ -66,7 +66,6 @@ hist = events.add(b="CAST(floor(value / 20.0) AS BIGINT)").agg("event_type", "b"
 modes = hist.add(a="coalesce(lag(s) OVER (PARTITION BY event_type ORDER BY b), 0.0)", c="coalesce(lead(s) OVER (PARTITION BY event_type ORDER BY b), 0.0)")
 
 PLANS = {
-    "control_chart_cusum": cusum.agg("event_type", alarms="CAST(sum(CASE WHEN greatest(up, down) > 5.0 THEN 1 ELSE 0 END) AS BIGINT)", worst="round(max(greatest(up, down)), 5)"),
     "control_chart_suite": cusum.agg("event_type", individuals="CAST(sum(CASE WHEN abs(z) > 4.0 THEN 1 ELSE 0 END) AS BIGINT)", cusum="CAST(sum(CASE WHEN greatest(up, down) > 5.0 THEN 1 ELSE 0 END) AS BIGINT)", buckets="count(*)"),
     "periodicity_spectral_scan": peak(wave(hours.add(x="n - mn"), "x")).select("event_type", "k", ratio="round(top / nullif(mid, 0.0), 5)", period="round(size / CAST(k AS DOUBLE), 6)"),
     "wave_directional_spectra_v1": hours.agg("event_type", e="count(*) * var_pop(v)").add(share="e / sum(e) OVER ()").select("event_type", share="round(share, 6)", dominant="share > 0.3"),

@@ -39,8 +39,6 @@ calibrated = steps.add(lim=f"PCT(d, 0.9) {NEAR.format('48 PRECEDING', '1 PRECEDI
 medians = hours.add(b=f"PCT(v, 0.5) {NEAR.format('12 PRECEDING', '1 PRECEDING')}", a=f"PCT(v, 0.5) {NEAR.format('CURRENT ROW', '11 FOLLOWING')}").where("i > 12 AND i <= size - 11")
 fence = hours.join(hours.agg("event_type", q1="PCT(v, 0.25)", q3="PCT(v, 0.75)"), "event_type").add(out="CASE WHEN v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END")
 runs = fence.add(g="i - row_number() OVER (PARTITION BY event_type, out ORDER BY h)").where("out = 1").agg("event_type", "g", length="count(*)")
-residual = hours.add(r=f"v - avg(v) {NEAR.format('12 PRECEDING', '1 PRECEDING')}").where("i > 12")
-residual = residual.join(residual.agg("event_type", s="stddev_pop(r)"), "event_type").add(c=f"sum(r / nullif(s, 0.0) - 0.5) {NEAR.format('UNBOUNDED PRECEDING', 'CURRENT ROW')}").add(up=f"c - least(0.0, min(c) {NEAR.format('UNBOUNDED PRECEDING', 'CURRENT ROW')})")
 PARTS = {"x": "l_quantity", "y": "l_discount", "z": "l_tax"}
 centre = {f"g{c}": f"PCT({v}, 0.5)" for c, v in PARTS.items()}
 scale = items.agg(**centre, **{f"s{c}": f"stddev_pop({v})" for c, v in PARTS.items()})
@@ -78,7 +76,6 @@ PLANS = {
     "two_sample_numeric_ad": pooled.where("hn < big - 0.5").agg("event_type", a2="round(sum((a + b) * power(fa * n1 * big - n1 * hn, 2) / (hn * (big - hn))) / max(n1 * n2), 5)"),
     "online_conformal_changepoint": calibrated.agg("event_type", alarms="CAST(sum(CASE WHEN d > lim THEN 1 ELSE 0 END) AS BIGINT)", n="count(*)"),
     "bayesian_online_changepoint_studentt_v1": medians.join(robust.agg("event_type", mad="max(mad)"), "event_type").agg("event_type", score="round(max(abs(a - b)) / nullif(max(mad), 0.0), 5)"),
-    "cusum_on_model_residuals_v1": residual.agg("event_type", worst="round(max(up), 5)", alarms="CAST(sum(CASE WHEN up > 5.0 THEN 1 ELSE 0 END) AS BIGINT)"),
     "defect_density_classification_v1": runs.agg("event_type", points="CAST(sum(CASE WHEN length = 1 THEN 1 ELSE 0 END) AS BIGINT)", lines="CAST(sum(CASE WHEN length BETWEEN 2 AND 4 THEN 1 ELSE 0 END) AS BIGINT)", planes="CAST(sum(CASE WHEN length > 4 THEN 1 ELSE 0 END) AS BIGINT)"),
     "surface_roughness_metrics": steps.add(turn="CASE WHEN (v - mv) * (lag(v) OVER (PARTITION BY event_type ORDER BY h) - mv) < 0 THEN 1.0 ELSE 0.0 END").agg("event_type", rough="round(stddev_pop(d), 5)", mad="round(PCT(d, 0.5), 5)", crossings="CAST(sum(turn) AS BIGINT)"),
     "surface_multiscale_wavelet_curvature": steps.agg("event_type", one="round(avg(abs(d2)), 5)", two="round(avg(abs(d4)), 5)", four="round(avg(abs(d8)), 5)"),
