@@ -72,6 +72,58 @@ def fuzzy_links(left: DataFrame, right: DataFrame, threshold: int = 82, least: i
     return named.join(linked, "left_key").select("left_id", "right_id", "kind", "score")
 
 
+def edit_pairs(strings: DataFrame, code: str, edits: int) -> DataFrame:
+    """All pairs (a, b, d) of distinct strings, a before b in length and then in order, within ``edits`` edits; null is no string.
+
+    A string cut into ``edits`` + 1 segments keeps one of them unchanged under ``edits`` edits, moved by no more places than there
+    are edits. So strings meet by (length, segment's number, segment's text): shorter ones with their segments, longer ones with
+    their parts around each segment's place. A string of up to ``edits`` characters has empty segments; it meets the strings of up
+    to twice that length, whose number the alphabet bounds, by length.
+    """
+    own = strings.select(F.col(code).cast("string").alias("s")).where("s IS NOT NULL").distinct().withColumn("n", F.length("s"))
+    k = edits + 1
+    start = lambda n, i: F.floor(n * i / k).cast("int")
+    segments = F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(F.col("n").alias("n"), i.alias("i"), F.substr("s", start(F.col("n"), i) + 1, start(F.col("n"), i + 1) - start(F.col("n"), i)).alias("part")))
+    short = own.where(F.col("n") > edits).select(F.col("s").alias("a"), F.explode(segments).alias("at"))
+
+    def around(n: Column) -> Column:
+        """Parts of s that may be a segment of a string of length n: moved by at most ``edits``, and by what the lengths allow."""
+        size = lambda i: start(n, i + 1) - start(n, i)
+        places = lambda i: F.sequence(F.greatest(start(n, i) - edits, F.lit(0)), F.least(start(n, i) + edits, F.col("n") - size(i)))
+        some = lambda i: F.greatest(start(n, i) - edits, F.lit(0)) <= F.least(start(n, i) + edits, F.col("n") - size(i))
+        parts = lambda i: F.when(some(i), F.transform(places(i), lambda p: F.struct(n.alias("n"), i.alias("i"), F.substr(F.col("s"), p + 1, size(i)).alias("part"))))
+        return F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.lit(edits)), parts), lambda x: x.isNotNull()))
+
+    lengths = F.sequence(F.greatest(F.col("n") - edits, F.lit(edits + 1)), F.col("n"))
+    probes = F.when(F.col("n") > edits, F.array_distinct(F.flatten(F.transform(lengths, around))))
+    long = own.where(F.col("n") > edits).select(F.col("s").alias("b"), F.explode(probes).alias("at"))
+    met = short.join(long, "at").select("a", "b")
+    few = own.where(F.col("n") <= 2 * edits)
+    tiny = few.where(F.col("n") <= edits).select(F.col("s").alias("a"), F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n")).join(few.select(F.col("s").alias("b"), "n"), "n").select("a", "b")
+    ordered = F.struct(F.length("a"), F.col("a")) < F.struct(F.length("b"), F.col("b"))
+    pairs = met.unionByName(tiny).where(ordered).distinct()
+    # beyond the threshold the distance is -1
+    return pairs.withColumn("d", F.levenshtein("a", "b", edits)).where("d >= 0")
+
+
+def alignment_score(a: Column, b: Column, match: int = 2, miss: int = -1) -> Column:
+    """Best local alignment score of two strings (Smith and Waterman), gaps and misses costing the same."""
+    places = lambda s: F.sequence(F.lit(1), F.length(s))
+    chars = lambda s: F.when(F.length(s) > 0, F.transform(places(s), lambda i: F.substr(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    first = F.struct(F.lit(0).alias("best"), F.concat(F.array(F.lit(0)), F.transform(chars(b), lambda _: F.lit(0))).alias("row"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def cell(s: Column, y: Column) -> Column:
+            j = F.size(s["out"])
+            value = F.greatest(F.lit(0), F.get(acc["row"], j - 1) + F.when(x == y, match).otherwise(miss), F.get(acc["row"], j) + miss, s["last"] + miss)
+            return F.struct(value.alias("last"), F.concat(s["out"], F.array(value)).alias("out"))
+
+        row = F.aggregate(chars(b), F.struct(F.lit(0).alias("last"), F.array(F.lit(0)).alias("out")), cell, lambda s: s["out"])
+        return F.struct(F.greatest(acc["best"], F.array_max(row)).alias("best"), row.alias("row"))
+
+    return F.aggregate(chars(a), first, step, lambda acc: acc["best"])
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones have 1."""
     union = F.size(F.array_union(a, b))

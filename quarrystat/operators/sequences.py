@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystat.functions.matching import simhash
+from quarrystat.functions.matching import alignment_score, edit_pairs, simhash
 from quarrystat.functions.pvalues import normal_sf
 from quarrystat.operators.corrected import CASES, ROLES, case_variants
 from quarrystat.operators.tested import PHI
@@ -40,17 +37,26 @@ def neighbour_pairs(variants: DataFrame, buckets: int = 16) -> DataFrame:
     return rows.select("variant", "code", F.lead("variant").over(own).alias("other"), F.lead("code").over(own).alias("other_code")).where("other IS NOT NULL")
 
 
+#: Edits up to which two workflows are close.
+CLOSE = 1
+
+
 @register("levenshtein_workflow_dist_v1", f"""
 WITH c AS ({CASES.format('', 'events')}), v AS (SELECT DISTINCT variant, array_to_string(list_transform(string_split(variant, '>'), lambda s: s[1]), '') AS code FROM c),
 p AS (SELECT code, lead(code) OVER (PARTITION BY md5(variant)[1] ORDER BY md5(variant), variant) AS other FROM v),
-d AS (SELECT levenshtein(code, other)::DOUBLE / greatest(length(code), length(other)) AS d FROM p WHERE other IS NOT NULL)
-SELECT (SELECT count(*) FROM v) AS n_workflows, count(*) AS pairs, round(avg(d), 9) AS mean_dist, round(stddev_pop(d), 9) AS std_dist, round(quantile_cont(d, 0.5), 9) AS median_dist FROM d""")
+d AS (SELECT levenshtein(code, other)::DOUBLE / greatest(length(code), length(other)) AS d FROM p WHERE other IS NOT NULL),
+w AS (SELECT DISTINCT code FROM v),
+near AS (SELECT a.code AS a, b.code AS b FROM w a JOIN w b ON (length(a.code), a.code) < (length(b.code), b.code) AND levenshtein(a.code, b.code) <= {CLOSE})
+SELECT (SELECT count(*) FROM v) AS n_workflows, (SELECT count(*) FROM near) AS close_pairs,
+       (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM near UNION ALL SELECT b FROM near)) AS close_workflows, count(*) AS pairs, round(avg(d), 9) AS mean_dist, round(stddev_pop(d), 9) AS std_dist, round(quantile_cont(d, 0.5), 9) AS median_dist FROM d""")
 def _edits(spark, sf_dir):
-    """Normalised edit distance of workflows (users' days) to their neighbours in hash order."""
+    """Normalised edit distance of workflows (users' days) to their neighbours in hash order, and all pairs within an edit."""
     variants = coded_variants(_days(spark, sf_dir), *ROLES)
+    close = edit_pairs(variants, "code", CLOSE).select("a", "b")
+    counts = close.agg(F.count("*").alias("close_pairs")).crossJoin(close.select(F.explode(F.array("a", "b")).alias("x")).agg(F.countDistinct("x").alias("close_workflows")))
     d = F.levenshtein("code", "other_code") / F.greatest(F.length("code"), F.length("other_code"))
     told = neighbour_pairs(variants).select(d.alias("d")).agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 9).alias("mean_dist"), F.round(F.stddev_pop("d"), 9).alias("std_dist"), F.round(F.percentile("d", 0.5), 9).alias("median_dist"))
-    return told.crossJoin(variants.agg(F.count("*").alias("n_workflows")))
+    return told.crossJoin(variants.agg(F.count("*").alias("n_workflows"))).crossJoin(counts)  # rows of aggregates
 
 
 def local_alignment(a: str, b: str, match: int = 2, miss: int = -1) -> int:
@@ -68,14 +74,9 @@ def local_alignment(a: str, b: str, match: int = 2, miss: int = -1) -> int:
 @register("smith_waterman_workflow_align_v1")
 def _alignment(spark, sf_dir):
     """Mean local alignment of workflows with their neighbours in hash order, as a share of the shorter's own score."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            score = [local_alignment(a, b) / (2 * max(1, min(len(a), len(b)))) for a, b in zip(pdf["code"], pdf["other_code"])]
-            yield pd.DataFrame({"s": score})
-
     pairs = neighbour_pairs(coded_variants(_days(spark, sf_dir), *ROLES)).select("code", "other_code")
-    return pairs.mapInPandas(run, "s double").agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 9).alias("mean_similarity"))
+    share = alignment_score(F.col("code"), F.col("other_code")) / (2 * F.greatest(F.least(F.length("code"), F.length("other_code")), F.lit(1)))
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(share), 9).alias("mean_similarity"))
 
 
 def motifs(df: DataFrame, case: list[str], time: str, tie: str, activity: str, low: int = 3, high: int = 6, least: float = 0.3, top: int = 20) -> DataFrame:
