@@ -30,32 +30,34 @@ from quarrystat.llm.common import let, space_words, without_clash
 
 @dataclass(frozen=True)
 class Forest:
-    findings: int = 3000
+    findings: int = 6000
     trees: int = 15
-    depth: int = 6
+    depth: int = 8
     seed: int = 11
     threshold: float = 0.5
 
 
 #: Words that tell of secrets, words that tell of other things, key prefixes, common words inside names.
 TELLING = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
-OTHERWISE = "sha[0-9]*|md5|checksum|digest|hash|commit|revision|uuid|guid|etag|version|isbn|issn|card|phone|order|invoice|example|sample|dummy|placeholder|url|http|file|path"
+OTHERWISE = "sha[0-9]*|md5|checksum|digest|hash|commit|revision|uuid|guid|etag|version|isbn|issn|card|phone|order|invoice|example|sample|dummy|placeholder|url|http|file|path|git|checkout|merge|branch|integrity|base64|image|img|src|href|class|package|import|asset|trace|span|session|build"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|eyJ|SG\\\\.|npm_|dop_v1_|hf_"
 DICTIONARY = ["access", "account", "address", "application", "article", "build", "change", "client", "code", "config", "content", "count", "data", "default", "document", "example", "file", "group", "image", "index", "item", "key", "language", "list", "local", "manager", "message", "model", "name", "number", "object", "order", "page", "password", "path", "placeholder", "product", "project", "release", "report", "request", "response", "result", "sample", "secret", "server", "service", "session", "source", "status", "string", "system", "table", "test", "text", "time", "token", "update", "user", "value", "version", "your"]
 
 #: Value runs of eight characters or more, from wide to narrow: with the marks of passwords, of keys and paths, and their parts.
 LOOSE = r"[A-Za-z0-9!#$%*+./@\\^_~-]{7,}[A-Za-z0-9!#$%*+/@\\^_~-](?:={1,2}(?![A-Za-z0-9]))?"
 VALUE = r"[A-Za-z0-9+/_.~-]{7,}[A-Za-z0-9+/_~-](?:={1,2}(?![A-Za-z0-9]))?"
+#: A word without digits, marks, inner dots or case changes; its runs count only in a text that tells of secrets.
+TELLTALE = r"[0-9!#$%*@\\^/_+=~]|[a-z][A-Z]|[.-]."
 PART = r"(?<![A-Za-z0-9_-])(?:(?<=[/.])[A-Za-z0-9_-]{8,}+|[A-Za-z0-9_-]{8,}+(?=[/.][A-Za-z0-9+/_~-]))"
 #: Characters of the words before that count as surroundings, so that a text without spaces costs as much as its length.
 NEAR = 64
 
 
-def _features(x: Column, i: Column, near: Column) -> Column:
+def _features(x: Column, i: Column, near: Column, word: Column) -> Column:
     """Struct of features of the value run x (key, value) in word i, with its value."""
     v, key = x["value"], x["key"]
     n = F.greatest(F.length(v), F.lit(1))
-    name = F.regexp_extract(key, "[a-z0-9_-]*[^a-z0-9]*$", 0)
+    name, rest = F.regexp_extract(key, "[a-z0-9_-]*[^a-z0-9]*$", 0), x["rest"]
     runs = v
     for kind, mark in (("[a-z]+", "!"), ("[A-Z]+", "@"), ("[0-9]+", "#"), ("[^A-Za-z0-9!@#]+", "$")):
         runs = F.regexp_replace(runs, kind, F.lit(mark.replace("$", "\\$")))
@@ -74,6 +76,9 @@ def _features(x: Column, i: Column, near: Column) -> Column:
         (gone("[A-Z]") / n).alias("capitals"),
         (F.size(F.array_distinct(F.split(v, ""))) / n).alias("distinct"),
         (gone("|".join(DICTIONARY), F.lower(v)) / n).alias("dictionary"),
+        (gone("[A-Z]?[a-z]{3,}") / n).alias("wordlike"),
+        flag(v.rlike(r"\.[A-Za-z]{2,5}$") | rest.rlike(r"^\.[a-z]{2,5}\b")).alias("extension"),
+        flag(key.rlike("[?&][a-z]{1,2}=$") | word.rlike("base64,|sha[0-9]+-")).alias("blob"),
         gone("[/.]").alias("path"),
         gone(r"[!#$%*@\\^]").alias("marks"),
         flag(v.rlike("^[0-9a-fA-F]+$")).alias("hex"),
@@ -86,39 +91,44 @@ def _features(x: Column, i: Column, near: Column) -> Column:
     )
 
 
-FEATURES = ("length", "transitions", "alternations", "digits", "capitals", "distinct", "dictionary", "path", "marks", "hex", "uuid", "prefix", "key", "user", "telling", "otherwise")
+FEATURES = ("length", "transitions", "alternations", "digits", "capitals", "distinct", "dictionary", "wordlike", "extension", "blob", "path", "marks", "hex", "uuid", "prefix", "key", "user", "telling", "otherwise")
 
 
 def _runs(word: Column, pattern: str, only: str | None = None) -> Column:
-    """Array of (key, value) of a word's runs in their order; the key is the run before with what lies between."""
+    """Array of (key, value, rest) of a word's runs in their order; the key is the run before with what lies between, the rest
+    what lies between the run and the next."""
 
     def of(found: Column) -> Column:
         gaps = F.split(word, pattern, -1)
         key = lambda k: F.lower(F.right(F.concat(F.coalesce(F.get(found, k - 1), F.lit("")), F.get(gaps, k)), F.lit(NEAR)))
-        rows = F.transform(found, lambda v, k: F.struct(key(k).alias("key"), v.alias("value")))
+        rows = F.transform(found, lambda v, k: F.struct(key(k).alias("key"), v.alias("value"), F.get(gaps, k + 1).alias("rest")))
         return F.filter(rows, lambda x: x["value"].rlike(only)) if only else rows
 
     return let(F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), of)
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<key:string,value:string>>")
+    return F.array().cast("array<struct<key:string,value:string,rest:string>>")
 
 
 def candidates(text: Column) -> Column:
-    """Array of feature structs of all value runs of a text, by word."""
+    """Array of feature structs of all value runs of a text, by word. Runs of a plain word (no ``TELLTALE``) in a text without
+    any telling word have value and place only: they are no secrets."""
 
-    def of(words: Column) -> Column:
+    def of(words: Column, tells: Column) -> Column:
         def word(i: Column) -> Column:
             w = F.get(words, i)
             near = F.lower(F.concat_ws(" ", *[F.right(F.get(words, i - k), F.lit(NEAR)) for k in (3, 2, 1)]))
             found = let(w, lambda w: F.concat(_runs(w, VALUE), F.when(w.rlike(r"[!#$%*@\\^]"), _runs(w, LOOSE, r"[!#$%*@\\^]")).otherwise(_none()), F.when(w.rlike("[/.]"), _runs(w, PART)).otherwise(_none())))
-            return let(near, lambda near: F.transform(found, lambda x: _features(x, i, near)))
+            whole = let(near, lambda near: F.transform(found, lambda x: _features(x, i, near, w)))
+            plain = F.transform(F.regexp_extract_all(w, F.lit(VALUE), F.lit(0)), lambda v: F.struct(v.alias("value"), i.alias("at"), *[F.lit(None).cast("double").alias(c) for c in FEATURES]))
+            return F.when(tells | w.rlike(TELLTALE), whole).otherwise(plain)
 
         places = F.filter(F.transform(words, lambda w, i: F.when(F.length(w) >= 8, i)), lambda i: i.isNotNull())
         return F.flatten(F.transform(places, word))
 
-    return let(space_words(text), of)
+    tells = F.coalesce(text.rlike(f"(?i)(?:{TELLING})"), F.lit(False))
+    return let(F.struct(space_words(text).alias("w"), tells.alias("t")), lambda x: of(x["w"], x["t"]))
 
 
 def labelled_findings(n: int, seed: int) -> list[dict]:
@@ -136,6 +146,8 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
     shout = lambda: r.choice(["", "!!", "%%%", "***", "$$", ".##"])
     hard = lambda: f"{some(up, 1)}{some(low, r.randint(2, 5))}{some(digits, 1)}{some(mixed, r.randint(4, 9))}"
     marked = lambda: f"{some(up, 1)}{r.choice('@!#$%*^')}{some(low, r.randint(2, 4))}{some(digits, r.randint(1, 2))}{some(low, 2)}{r.choice('!#$*')}{some(digits, r.randint(2, 4))}"
+    phrase = lambda: "".join(some(low, r.randint(4, 8)) + some(digits, r.randint(0, 3)) for _ in range(r.randint(2, 3))) + some(digits, 1)
+    title = lambda: some(up, 1) + some(low, r.randint(3, 8))
     key = lambda: r.choice([f"AKIA{some(up + '234567', 16)}", f"ghp_{some(mixed, 36)}", f"sk-{some(mixed, r.randint(32, 48))}", some(mixed, r.randint(16, 40)), hexa(r.choice([32, 40]))])
     sure = lambda: r.choice([f"AKIA{some(up + '234567', 16)}", f"ghp_{some(mixed, 36)}", f"sk-{some(mixed, r.randint(32, 48))}"])
     true = [
@@ -148,7 +160,6 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
         lambda: f"{prose()} {told()}: |{some(mixed, r.randint(16, 40))}| {prose()}",
         lambda: f"authorization: bearer |eyJ{some(mixed, r.randint(30, 80))}| {prose()}",
         lambda: f"{prose()} |xoxb-{some(digits, 12)}-{some(mixed, 24)}| {prose()}",
-        lambda: f"{prose()} |{hexa(40)}| {prose()}",
         lambda: f'{prose()} {{"id":{r.randint(1, 10**9)},"{told()}":"|{key()}|","user":"{word()}"}} {prose()}',
         lambda: f"{prose()} https://{some(low, 8)}.example.com/{name('/')}?{told()}=|{key()}|&v={r.randint(1, 9)} {prose()}",
         lambda: f"{prose()} |{sure()}|,{word()},{name('-')}-{r.randint(1, 9)} {prose()}",
@@ -159,6 +170,12 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
         lambda: f'{prose()} {told()} = "|{marked()}|" {prose()}',
         lambda: f"{prose()} {told()}=|{hard()}| {prose()}",
         lambda: f"{prose()} {told()}=|{some(low, r.randint(10, 18))}| {prose()}",
+        lambda: f"{prose()} {told()}{r.choice([': ', '=', ' = ', ' is '])}|{phrase()}| {prose()}",
+        lambda: f"{prose()} {told()}: |{some(low + digits, r.randint(14, 24))}| {prose()}",
+        lambda: f"{prose()} {told().upper()}{r.choice(['=', ': ', ' '])}|{some(low + digits, r.randint(16, 32))}| {prose()}",
+        lambda: f"{prose()} {r.choice(['export ', 'set ', ''])}{word().upper()}_{told().upper()}={r.choice(['', chr(34)])}|{key()}| {prose()}",
+        lambda: f"{prose()} {told()} {r.choice(['is', 'was', ''])} |{hard()}| {prose()}",
+        lambda: f"{prose()} {told()}: |{some(mixed + digits, r.randint(14, 24))}| {prose()}",
     ]
     false = [
         lambda: f"{prose()} {said()} {hexa(r.choice([32, 40, 64]))} {prose()}",
@@ -190,6 +207,18 @@ def labelled_findings(n: int, seed: int) -> list[dict]:
         lambda: f"{prose()} {word()}{shout()} {some(up, r.randint(6, 12))}{shout()} {r.choice('#*$%&|') * r.randint(8, 20)} {prose()}",
         lambda: f"{prose()} {some(low, 6)}{some(up, 1)}{some(low, 6)}({name('_')},{word()}.{word()}) {prose()}",
         lambda: f"{prose()} {some(up, r.randint(2, 9))}!! {some(up, r.randint(8, 14))}!! {some(up, r.randint(4, 9))}.!! {prose()}",
+        lambda: f"{prose()} {hexa(r.choice([32, 40, 40, 64]))} {prose()}",
+        lambda: f"git {r.choice(['show', 'revert', 'reset --hard', 'cherry-pick'])} {hexa(r.choice([12, 20, 40]))} {prose()}",
+        lambda: f'{prose()} "{r.choice(["resolved", "sum", "content"])}": "sha{r.choice([1, 256, 384])}-{some(mixed + "+/", r.choice([27, 43, 64, 86]))}==" {prose()}',
+        lambda: f"{prose()} {r.choice(['DSC', 'PXL', 'VID', 'Scan'])}_20{r.randint(10, 29)}{some(digits, 4)}_{some(digits, 6)}.{r.choice(['png', 'jpeg', 'mp4', 'heic'])} {prose()}",
+        lambda: f"{prose()} {r.choice(['org', 'net', 'io'])}.{some(low, 5)}.{word()}.{''.join(title() for _ in range(r.randint(2, 4)))} {prose()}",
+        lambda: f"{prose()} {''.join(title() for _ in range(r.randint(2, 5)))}.{r.choice(['java', 'py', 'cs', 'tsx'])} {prose()}",
+        lambda: f"{prose()} data:{r.choice(['font/woff', 'image/gif', 'audio/mp3'])};base64,{some(mixed + '+/', r.randint(30, 120))}= {prose()}",
+        lambda: f"{prose()} https://{some(low, 6)}.example.com/{some(low, 4)}?{some(low, 1)}={some(mixed + '_-', r.randint(8, 12))} {prose()}",
+        lambda: f"{prose()} /{some(low, 6)}/{word()}.{r.choice([hexa(8), some(mixed, 8), hexa(16)])}.{r.choice(['css', 'js', 'woff2', 'svg'])} {prose()}",
+        lambda: f"{prose()} {word()}-{r.choice([hexa(8), some(low + digits, 10)])}.{r.choice(['css', 'js', 'png'])} {prose()}",
+        lambda: f"{prose()} {r.choice(['request', 'trace', 'job', 'span'])} {r.choice([hexa(16), hexa(32), some(low + digits, 12)])} {prose()}",
+        lambda: f"{prose()} {phrase()} {prose()}",
     ]
     out = []
     for i in range(n):
@@ -207,7 +236,7 @@ def train(spark: SparkSession, cfg: Forest) -> str:
     rows = F.explode(F.from_json(F.lit(json.dumps(labelled_findings(cfg.findings, cfg.seed))), "array<struct<text:string,value:string>>"))
     found = spark.range(1, numPartitions=1).select(rows.alias("r")).select("r.value", F.explode(candidates(F.col("r.text"))).alias("f"))
     inside = F.col("value").contains(F.col("f.value")) | F.col("f.value").contains(F.col("value"))
-    found = found.select(((F.length("value") > 0) & inside).cast("double").alias("label"), "f")
+    found = found.where("f.length IS NOT NULL").select(((F.length("value") > 0) & inside).cast("double").alias("label"), "f")
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found.select("label", "f.*"))
     model = RandomForestClassifier(
         numTrees=cfg.trees, maxDepth=cfg.depth, seed=cfg.seed, featureSubsetStrategy="onethird", maxBins=64
@@ -221,7 +250,7 @@ def train(spark: SparkSession, cfg: Forest) -> str:
         return f"IF(f.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D, {sql(node.leftChild())}, {sql(node.rightChild())})"
 
     trees = [sql(t.rootNode()) for t in model._java_obj.trees()]
-    return f"({' + '.join(trees)}) / {len(trees)}"
+    return f"IF(f.length IS NULL, 0D, ({' + '.join(trees)}) / {len(trees)})"
 
 
 def scan(docs: DataFrame, cfg: Forest = Forest()) -> tuple[DataFrame, str]:
