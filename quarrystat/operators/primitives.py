@@ -65,7 +65,8 @@ def _nearest(spark, sf_dir):
 WITH n AS (SELECT p_partkey AS id, list_sort(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM part),
 l AS (SELECT * FROM n WHERE id % 2 = 0), r AS (SELECT * FROM n WHERE id % 2 = 1),
 lt AS (SELECT DISTINCT id, unnest(t) AS w FROM l), rt AS (SELECT DISTINCT id, unnest(t) AS w FROM r),
-p AS (SELECT DISTINCT lt.id AS a, rt.id AS b FROM lt JOIN rt ON lt.w = rt.w WHERE length(lt.w) >= 4),
+p AS (SELECT lt.id AS a, rt.id AS b FROM lt JOIN rt ON lt.w = rt.w WHERE length(lt.w) >= 4
+      UNION SELECT l.id, r.id FROM l JOIN r ON list_sort(list_distinct(l.t)) = list_sort(list_distinct(r.t)) WHERE len(l.t) > 0),
 s AS (SELECT a, b, list_distinct(l.t) AS x, list_distinct(r.t) AS y, array_to_string(l.t, ' ') AS u, array_to_string(r.t, ' ') AS v FROM p JOIN l ON l.id = a JOIN r ON r.id = b),
 k AS (SELECT a, b, list_sort(x) = list_sort(y) AS same, floor(100.0 * (1 - levenshtein(u, v)::DOUBLE / greatest(length(u), length(v), 1)))::BIGINT AS ratio, len(list_intersect(x, y)) AS shared, least(len(x), len(y)) AS shorter FROM s),
 c AS (SELECT a, b, CASE WHEN same THEN 2 WHEN ratio >= 82 THEN 1 WHEN shared >= 2 AND shared >= 0.6 * shorter THEN 0 END AS kind, CASE WHEN same THEN 100 ELSE ratio END AS score FROM k)

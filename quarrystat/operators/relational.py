@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from quarrystat.plans.plan import table
-from quarrystat.plans.registry import add_plan
+from quarrystat.plans.registry import add_plan, register
+from quarrystat.plans.selection import quantiles
 
 orders, items, customers, suppliers, parts, nations, regions, events = (
     table(t) for t in ("orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events")
@@ -15,7 +19,6 @@ PLANS = {
     "filter_wrap_day_window": events.add(d="CAST(day(ts) AS BIGINT)").where("d >= 20 OR d <= 5").agg("d", n="count(*)"),
     "filter_invalid_strings": events.where("lower(trim(event_type)) NOT IN ('', 'nan', 'none', 'null')").agg("event_type", n="count(*)"),
     "hash_aggregate": items.agg("l_returnflag", "l_linestatus", n="count(*)", qty="round(sum(l_quantity), 4)", mean="round(avg(l_extendedprice), 6)", lo="min(l_discount)", hi="max(l_tax)"),
-    "exact_quantiles": events.agg("event_type", p05="round(PCT(value, 0.05), 6)", p50="round(PCT(value, 0.5), 6)", p95="round(PCT(value, 0.95), 6)"),
     "distinct_aggregate": events.agg("event_type", users="count(DISTINCT user_id)", n="count(*)"),
     "conditional_having": orders.agg("o_custkey", n="count(*)", late="CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT)").where("n >= 5"),
     "pivot_crosstab": items.agg("l_returnflag", o="CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT)", f="CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT)"),
@@ -52,3 +55,14 @@ PLANS = {
 
 for _name, _plan in PLANS.items():
     add_plan(_name, _plan)
+
+
+@register(
+    "exact_quantiles",
+    "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
+)
+def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By selection, so that no buffer holds a type's values."""
+    wanted = {"p05": ("value", 0.05), "p50": ("value", 0.5), "p95": ("value", 0.95)}
+    found = quantiles(events.df(spark, sf_dir), ["event_type"], wanted)
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in wanted])
