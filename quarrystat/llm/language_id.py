@@ -11,8 +11,8 @@ Bundling is a sum, so tasks add up partial prototypes and send one vector for ea
 Training uses the text and non-null lang of rows whose crc32(doc_id as text) mod 5 is not 0. A prediction uses text only.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any training row every text is
-``und``; equal cosines give the alphabetically first language; a null doc_id is not held out (crc32 of an empty string is
-0, so it is kept out of training) ; repeated rows each count; an empty table gives an empty result.
+``und``; equal cosines give the alphabetically first language; a null doc_id is held out, as the crc32 of an empty
+string is 0, and so kept out of training; repeated rows each count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
