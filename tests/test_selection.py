@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystat.plans import plan, selection
 from quarrystat.plans.selection import quantiles
 
 WANTED = {"q0": ("v", 0.0), "q1": ("v", 0.1), "med": ("v", 0.5), "p95": ("v", 0.95), "top": ("v", 1.0), "w": ("w * 2", 0.5), "none": ("CASE WHEN k = 'a' THEN v END", 0.3)}
@@ -37,3 +38,26 @@ def test_whole_table_and_empty(table):
     got = quantiles(table.where("k = 'a'"), [], {"m": ("v", 0.25)}, most=10).first()["m"]
     assert got == pytest.approx(table.where("k = 'a'").agg(F.percentile("v", 0.25)).first()[0])
     assert quantiles(table.where("false"), ["k"], {"m": ("v", 0.5)}).collect() == []
+
+
+@pytest.mark.parametrize("whole, accuracy", [(20_000, 10_000), (60, 100), (40, 40)])
+def test_by_sketch_and_rank(table, monkeypatch, whole, accuracy):
+    monkeypatch.setattr(selection, "WHOLE", whole)
+    monkeypatch.setattr(selection, "ACCURACY", accuracy)
+    got = selection.with_quantiles(table, ["k"], WANTED, {"n": "count(*)"}).collect()
+    want = {r.k: r for r in table.groupBy("k").agg(F.count("*").alias("n"), *[F.percentile(F.expr(e).cast("double"), p).alias(n) for n, (e, p) in WANTED.items()]).collect()}
+    assert len(got) == len(want)
+    for r in got:
+        assert r.n == want[r.k].n
+        for n in WANTED:
+            assert r[n] is want[r.k][n] is None or r[n] == pytest.approx(want[r.k][n], rel=1e-12, nan_ok=True), (r.k, n)
+
+
+def test_plans_keep_no_group_in_a_buffer(spark):
+    """All values of a group once went to one buffer of ``percentile``."""
+    df = spark.range(100_000).selectExpr("id % 2 AS k", "CAST(xxhash64(id) AS DOUBLE) AS v")
+    for keys in ([], ["k"]):
+        got = plan._grouped(df, keys, {"a": "round(PCT(v, 0.995), 5)", "b": "max(v) / PCT(v, 0.5)", "n": "count(*)"})
+        assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = df.groupBy(*keys).agg(F.round(F.percentile("v", 0.995), 5).alias("a"), (F.max("v") / F.percentile("v", 0.5)).alias("b"), F.count("*").alias("n"))
+        assert [tuple(map(pytest.approx, r)) for r in sorted(want.collect())] == [tuple(r) for r in sorted(got.collect())]
