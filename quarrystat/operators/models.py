@@ -70,7 +70,12 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("gradient_boosting_importance_v1")
 def _boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = GBTRegressor(maxIter=8, maxDepth=3, seed=1).fit(numbers(spark, sf_dir))
+    """Importances by trees on the distinct feature values, weighted by their rows, with their mean label: gains of squared error
+    depend on a value's rows by their number and mean alone."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cells = rows.groupBy(*FEATURES).agg(F.avg("l_extendedprice").alias("label"), F.count("l_extendedprice").cast("double").alias("weight"))
+    cells = materialize(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(cells), "cells")
+    model = GBTRegressor(maxIter=8, maxDepth=3, seed=1, weightCol="weight").fit(cells)
     return spark.createDataFrame([(n, float(v)) for n, v in zip(FEATURES, model.featureImportances.toArray())], "feature string, importance double")
 
 
@@ -125,7 +130,8 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading terms of five topics over whole texts: each iteration reads every document, with its 262,144 commonest words at most."""
     words = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.split(F.lower("text"), r"\W+").alias("words"))
     counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY).fit(words)
-    model = LDA(k=5, maxIter=5, seed=1, optimizer="online", subsamplingRate=1.0).fit(counts.transform(words).select("features"))
+    rows = materialize(counts.transform(words).select("features"), "counts")  # five iterations read it
+    model = LDA(k=5, maxIter=5, seed=1, optimizer="online", subsamplingRate=1.0).fit(rows)
     terms = counts.vocabulary
     found = [(r.topic, " ".join(terms[i] for i in r.termIndices)) for r in model.describeTopics(6).collect()]
     return spark.createDataFrame(found, "topic int, terms string")
