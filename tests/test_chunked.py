@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystat.plans import chunked
 from quarrystat.plans.chunked import near_windows, place_in_order, running_sum
 
 FULL = "OVER (PARTITION BY k ORDER BY ts, i{})"
@@ -51,3 +52,16 @@ def test_exact_median(spark):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "t long").repartition(3)
         got = exact_median(df, "t", "m").first()["m"]
         assert got == (statistics.median(values) if values else None)
+
+
+def test_tiles(spark, monkeypatch):
+    """No task orders a key, which one window once did."""
+    monkeypatch.setattr(chunked, "PART", 40)
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.randint(0, 5), i) for i in range(501)] + [("c", 1, 600), ("c", 0, 601)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(3)
+    got = chunked.tiles(df, "k", {"q": (5, "v, i"), "p": (3, "i, v")})
+    want = df.selectExpr("*", "ntile(5) OVER (PARTITION BY k ORDER BY v, i) AS q", "ntile(3) OVER (PARTITION BY k ORDER BY i, v) AS p")
+    assert {x.i: (x.k, x.q, x.p) for x in got.collect()} == {x.i: (x.k, x.q, x.p) for x in want.collect()}
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in line]
+    assert windows and all("_part" in line for line in windows)
