@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrystat.plans import scans
 from quarrystat.plans.chunked import near_windows, place_in_order, running_sum
 from quarrystat.plans.registry import register
+from quarrystat.plans.selection import with_quantiles
 
 
 def ewma(x: np.ndarray, alpha: float = 0.2) -> np.ndarray:
@@ -85,10 +86,10 @@ def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _standard(rows: DataFrame, value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the value less its key's median in units of 1.4826 MAD (null where that is 0)."""
-    at = rows.groupBy("key").agg(F.percentile(value, 0.5).alias("_med"))
+    at = with_quantiles(rows, ["key"], {"_med": (value, 0.5)}, {})
     near = lambda a, b: a.join(b.withColumnRenamed("key", "_k"), a["key"].eqNullSafe(F.col("_k"))).drop("_k")
     rows = near(rows, at)
-    scale = rows.groupBy("key").agg(F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5).alias("_mad"))
+    scale = with_quantiles(rows, ["key"], {"_mad": (f"abs({value} - _med)", 0.5)}, {})
     return near(rows, scale).withColumn(name, (F.col(value) - F.col("_med")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0))).drop("_mad").withColumnRenamed("_med", "med")
 
 
@@ -119,10 +120,10 @@ def chart(df: DataFrame, key: str, time: str, tie: str, value: str, block: int =
         F.struct(n.alias("p"), (n * d).alias("q"), scans.double(1).alias("r"), (d + n).alias("s")).alias("var"),
     )
     every = scans.together(mean=scans.affine(), sums=scans.max_plus(*sums), best=scans.lowest("level", "p", "s"), var=scans.moebius())
-    rows = scans.scan_rows(rows, "key", order, lambda _: told, every, "now", block)
+    rows = scans.scan_rows(rows, "key", order, lambda _: told, every, "now", block, "place")
     gain = F.col("now.var.v") / F.col("noise")
     step = F.when(first, F.struct(scans.double(0).alias("a"), x.alias("b"))).otherwise(F.struct((1 - gain).alias("a"), (gain * x).alias("b")))
-    rows = scans.scan_rows(rows, "key", order, lambda _: step, scans.affine(), "level", block)
+    rows = scans.scan_rows(rows, "key", order, lambda _: step, scans.affine(), "level", block, "place")
     alarm = (F.col("place") >= 30) & (F.col("p") + F.col("s") > F.col("now.best.p") + 3 * F.col("now.best.s"))
     return rows.groupBy("key").agg(
         F.count("*").alias("n"), F.max_by("now.mean.x", "place").alias("ewma_last"), F.max("now.sums.up").alias("cusum_up"), F.max("now.sums.down").alias("cusum_down"),

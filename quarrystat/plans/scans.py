@@ -111,12 +111,13 @@ def _carried(blocks: DataFrame, scan: Scan, size: int, levels: int) -> DataFrame
     return out.select("_key", F.col("e.row.i").alias("_i"), F.col("e.state").alias("state"))
 
 
-def scan_rows(df: DataFrame, key: str, order: list[str], element: Callable[[Column], Column], scan: Scan, name: str, block: int = 256) -> DataFrame:
+def scan_rows(df: DataFrame, key: str, order: list[str], element: Callable[[Column], Column], scan: Scan, name: str, block: int = 256, place: str | None = None) -> DataFrame:
     """``df`` with a struct ``name``: the state after each row, along ``key`` in the order of ``order`` (a time, then ties).
 
-    ``element(place)`` gives a row's function from its columns and its place from 1 on; null functions change nothing.
+    ``element(place)`` gives a row's function from its columns and its place from 1 on; null functions change nothing. ``place``:
+    the column that holds the places already.
     """
-    placed = place_in_order(df, key, order, "_p")
+    placed = df.withColumn("_p", F.col(place)) if place else place_in_order(df, key, order, "_p")
     f = F.coalesce(element(F.col("_p")), scan.unit)
     entry = F.struct(F.col("_p").alias("i"), f.alias("f"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"))
     blocks = placed.groupBy(F.col(key).alias("_key"), F.floor((F.col("_p") - 1) / block).alias("_i")).agg(F.array_sort(F.collect_list(entry), lambda a, b: (a["i"] - b["i"]).cast("int")).alias("entries"))

@@ -75,3 +75,14 @@ def test_no_group_holds_a_key(series):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, i long, v double")
     assert scans.ewma(df, "k", ["ts", "i"], "v", 0.2, "e").collect() == []
+
+
+def test_a_chart_numbers_its_rows_once(spark, sf, monkeypatch):
+    """Each scan once ordered all rows again, and medians kept a key's values in one buffer."""
+    calls, place = [], recursions.place_in_order
+    monkeypatch.setattr(recursions, "place_in_order", lambda *a: calls.append(a) or place(*a))
+    monkeypatch.setattr(scans, "place_in_order", lambda *a: calls.append(a) or place(*a))
+    out = recursions.chart(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "ts", "event_id", "value")
+    assert len(calls) == 1 and out.count() == 5
+    rows = recursions._standard(spark.range(9).selectExpr("id % 2 AS key", "CAST(id AS DOUBLE) AS x"), "x", "z")
+    assert "percentile(" not in rows._jdf.queryExecution().optimizedPlan().toString()
