@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.clustering import KMeans, LDA
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from quarrystat.operators.graph import _supply, core_numbers, pagerank
 from quarrystat.plans.registry import register
@@ -17,6 +22,8 @@ from quarrystat.plans.scratch import materialize
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 #: Words of a topic model at most; the driver holds them.
 VOCABULARY = 1 << 18
+#: Trees of each forest of the double residuals.
+TREES = 8
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +112,53 @@ def _conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("part >= 8").crossJoin(F.broadcast(width)).agg(F.avg((F.col("e") <= F.col("width")).cast("double")).alias("coverage"), F.max("width").alias("half_width"), F.count("*").alias("n"))
 
 
+def _poisson(key: Column) -> Column:
+    """Number of times that a bootstrap takes a row, Poisson of mean 1, by a hash of ``key``."""
+    u, least, chance, out = F.shiftrightunsigned(key, 11) / float(1 << 53), 0.0, math.exp(-1), None
+    for n in range(19):
+        least, chance = least + chance, chance / (n + 1)
+        out = F.when(u < least, n) if out is None else out.when(u < least, n)
+    return out.otherwise(19)
+
+
+def forest_cells(rows: DataFrame, trees: int) -> DataFrame:
+    """Distinct feature values by ``fold`` and ``tree``, with mean ``label`` and ``treat`` of the ``n`` rows that the tree's bootstrap
+    takes; tree -1 has each row once, and ``both`` is the covariance of label and treat in the cell."""
+    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(-1), F.lit(trees - 1))))
+    key = F.xxhash64("tree", "l_orderkey", "l_linenumber", "l_returnflag", "label", *FEATURES)
+    drawn = drawn.withColumn("w", F.when(F.col("tree") < 0, 1).otherwise(_poisson(key)))
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
+    cells = drawn.groupBy(*FEATURES, "fold", "tree").agg(F.sum("w").alias("n"), mean("label"), mean("treat"), F.covar_pop("label", "treat").alias("both"))
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(cells.where("n > 0"))
+
+
 @register("double_ml_ate_v1")
 def _double(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effect of returned lines on price, with both residualised out of fold by random forests."""
-    rows = numbers(spark, sf_dir).withColumn("treat", (F.col("l_returnflag") == "R").cast("double"))
+    """Effect of returned lines on price, with both residualised out of fold by random forests.
+
+    Each tree's bootstrap draws rows and is added up by distinct feature values: a tree depends on rows by their number and mean
+    alone, and so do the sums of residuals, but for the covariance within a cell. Rows without a price or flag don't count."""
+    rows = numbers(spark, sf_dir).drop("features").withColumn("treat", (F.col("l_returnflag") == "R").cast("double"))
+    rows = rows.where("label IS NOT NULL AND treat IS NOT NULL").withColumn("fold", F.col("part") % 2)
+    cells = materialize(forest_cells(rows, TREES), "cells")
+
+    def fit(job: tuple[int, int, str]) -> RandomForestRegressionModel:
+        fold, tree, label = job
+        one = RandomForestRegressor(numTrees=1, bootstrap=False, featureSubsetStrategy="onethird", maxDepth=4, seed=tree, weightCol="n", labelCol=label, predictionCol=f"{label}{tree}")
+        return one.fit(cells.where(f"tree = {tree} AND fold <> {fold}"))
+
+    jobs = list(itertools.product((0, 1), range(TREES), ("label", "treat")))
+    with ThreadPool(TREES) as pool:
+        models = pool.map(inheritable_thread_target(spark)(fit), jobs)
     parts = []
     for fold in (0, 1):
-        fit, use = rows.where(f"part % 2 <> {fold}"), rows.where(f"part % 2 = {fold}")
-        y = RandomForestRegressor(numTrees=8, maxDepth=4, seed=1, labelCol="label", predictionCol="ey").fit(fit)
-        t = RandomForestRegressor(numTrees=8, maxDepth=4, seed=1, labelCol="treat", predictionCol="et").fit(fit)
-        parts.append(t.transform(y.transform(use)).select((F.col("label") - F.col("ey")).alias("ry"), (F.col("treat") - F.col("et")).alias("rt")))
-    return parts[0].unionByName(parts[1]).agg((F.sum(F.col("rt") * F.col("ry")) / F.sum(F.col("rt") * F.col("rt"))).alias("ate"), F.count("*").alias("n"))
+        part = cells.where(f"tree = -1 AND fold = {fold}")
+        for job, model in zip(jobs, models):
+            part = model.transform(part) if job[0] == fold else part
+        parts.append(part)
+    left = {c: F.col(c) - sum(F.col(f"{c}{i}") for i in range(TREES)) / TREES for c in ("label", "treat")}
+    top, bottom = F.col("both") + left["label"] * left["treat"], F.col("treat") * (1 - F.col("treat")) + left["treat"] * left["treat"]
+    return parts[0].unionByName(parts[1]).agg((F.sum(F.col("n") * top) / F.sum(F.col("n") * bottom)).alias("ate"), F.sum("n").alias("n"))
 
 
 @register("factor_analysis_auto")

@@ -1,7 +1,8 @@
 """What a round of an iterative operator writes and takes again."""
 
 import pytest
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import functions as F
 
 from quarrystat.operators import graph, models
 from tests.test_cores import peel
@@ -50,3 +51,31 @@ def test_topics_count_words_once(spark, sf, monkeypatch):
     seen = watch(monkeypatch, models)
     assert models._topics(spark, sf).count() == 5
     assert dict(seen)["counts"].count() == spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").count()
+
+
+def test_double_residuals_of_cells_are_those_of_rows(spark, sf, monkeypatch):
+    """Forests once held every row; trees on distinct feature values and their sums give the same effect."""
+    monkeypatch.setattr(models, "_poisson", lambda key: F.lit(1))
+    monkeypatch.setattr(models, "TREES", 3)
+    seen = watch(monkeypatch, models)
+    got = models._double(spark, sf).first()
+    cells = dict(seen)["cells"]
+    rows = models.numbers(spark, sf).withColumn("treat", (F.col("l_returnflag") == "R").cast("double"))
+    assert cells.count() == 4 * rows.select(*models.FEATURES, F.col("part") % 2).distinct().count()
+    parts = []
+    for fold in (0, 1):
+        part = rows.where(f"part % 2 = {fold}")
+        for c in ("label", "treat"):
+            for i in range(3):
+                one = RandomForestRegressor(numTrees=1, bootstrap=False, featureSubsetStrategy="onethird", maxDepth=4, seed=i, labelCol=c, predictionCol=f"{c}{i}")
+                part = one.fit(rows.where(f"part % 2 <> {fold}")).transform(part)
+        parts.append(part.selectExpr("label - (label0 + label1 + label2) / 3 AS y", "treat - (treat0 + treat1 + treat2) / 3 AS t"))
+    want = parts[0].unionByName(parts[1]).selectExpr("sum(t * y) / sum(t * t) AS ate", "count(*) AS n").first()
+    assert got.ate == pytest.approx(want.ate, rel=1e-6) and got.n == want.n == rows.count()
+
+
+def test_bootstrap_draws(spark):
+    """Rows are taken as often as Poisson says, for each tree anew."""
+    w = spark.range(20000).select(*[models._poisson(F.xxhash64(F.lit(i), "id")).alias(f"w{i}") for i in (0, 1)])
+    got = w.selectExpr("avg(w0) a", "var_pop(w0) v", "avg(CAST(w0 = 0 AS INT)) z", "corr(w0, w1) c").first()
+    assert got.a == pytest.approx(1, abs=0.03) and got.v == pytest.approx(1, abs=0.05) and got.z == pytest.approx(0.36788, abs=0.015) and abs(got.c) < 0.03
