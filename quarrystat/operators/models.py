@@ -180,19 +180,50 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "topic int, terms string")
 
 
+#: Sets of up to SHORT items meet by common subsets, of which a set has SUBSETS at most for a partner's size; longer ones by one item.
+SHORT, SUBSETS = 14, 64
+#: Rows of one task that compares sets.
+MEETING = 50_000
+
+
+def _subsets(order: list[str]) -> list[tuple[int, int, str]]:
+    """Sizes (a <= b, one of them this set's) and a subset that this set shares with each near set of the other size, for all such sizes.
+
+    Near sets of a and b items have c = 7 (a + b) / 17 (rounded up) in common, so the first k of these lie among the first a - c + k
+    of one and b - c + k of the other, for any k up to c; k is as large as SUBSETS allows, at best c: then each meeting is a near pair.
+    """
+    n, out = len(order), []
+    for m in range(-(-7 * n // 10), min(10 * n // 7, SHORT) + 1):
+        c = -(-7 * (n + m) // 17)
+        k = next((k for k in range(c, 1, -1) if math.comb(max(n, m) - c + k, k) <= SUBSETS), 1)
+        out += [(min(n, m), max(n, m), "\x1f".join(some)) for some in itertools.combinations(order[: n - c + k], k)]
+    return out
+
+
 def near_sets(sets: DataFrame) -> DataFrame:
     """All pairs of ``sets`` (key, items, id, copies; distinct keys) at Jaccard distance of at most 0.3, and each set with copies with itself.
 
-    Two such sets share an item among the rarest 3/10 n + 1 (rounded down) of each, n being its size.
+    Short sets that are near share a subset (see ``_subsets``). A pair with a long one shares an item among the rarest 3/10 n + 1
+    (rounded down) of each, n being its size.
     """
     items = sets.select("key", "items", F.size("items").alias("n"), F.explode("items").alias("item"))
     rare = items.groupBy("item").agg(F.count("*").alias("f"))
     ranked = items.join(rare, "item").groupBy("key").agg(F.first("items").alias("items"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "item"))).alias("order"))
-    prefix = materialize(ranked.select("key", "items", "n", F.explode(F.slice("order", F.lit(1), F.expr("CAST(3 * n DIV 10 + 1 AS INT)"))).alias("o")).select("key", "items", "n", "o.item"), "prefix")
-    left, right = prefix.alias("x"), prefix.alias("y")
-    pairs = left.join(right, (F.col("x.item") == F.col("y.item")) & (F.col("x.key") < F.col("y.key")) & (10 * F.least("x.n", "y.n") >= 7 * F.greatest("x.n", "y.n")))
+    ranked = materialize(ranked.select("key", "items", "n", F.col("order.item").alias("order")), "ranked")
+    ranked = ranked.repartition(ranked.count() // MEETING + 1, "key")
+    subsets = F.udf(lambda order: _subsets(order), "array<struct<a:int,b:int,item:string>>")
+    short = ranked.where(F.col("n") <= SHORT).select("key", "items", "n", F.explode(subsets("order")).alias("o")).select("key", "items", "n", "o.*")
+    rarest = F.explode(F.slice("order", F.lit(1), F.expr("CAST(3 * n DIV 10 + 1 AS INT)"))).alias("item")
+    long_ = ranked.where(10 * F.col("n") > 7 * SHORT).select("key", "items", "n", F.lit(0).alias("a"), F.lit(0).alias("b"), rarest)
+    prefix = materialize(short.unionByName(long_), "prefix")
+    parts = prefix.count() // MEETING + 1
+    left = prefix.where("a IN (0, n)").repartition(parts, "a", "b", "item").alias("x")
+    right = prefix.where("b IN (0, n)").repartition(parts, "a", "b", "item").alias("y")
+    once = F.when(F.col("x.a") == F.col("x.b"), F.col("x.key") < F.col("y.key")).otherwise(F.lit(True))
+    sizes = (F.col("x.a") > 0) | ((10 * F.least("x.n", "y.n") >= 7 * F.greatest("x.n", "y.n")) & (F.greatest("x.n", "y.n") > SHORT))
+    pairs = left.join(right, (F.col("x.item") == F.col("y.item")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & once & sizes)
     both = F.size(F.array_intersect("x.items", "y.items"))
-    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), both.alias("both"), (F.col("x.n") + F.col("y.n") - both).alias("either")).where("10 * both >= 7 * either").distinct()
+    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), both.alias("both"), (F.col("x.n") + F.col("y.n") - both).alias("either")).where("10 * both >= 7 * either").distinct()
     named = lambda c: sets.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id"), F.col("copies").alias(f"{c}_copies"))
     pairs = pairs.select("a", "b", F.round(1 - F.col("both") / F.col("either"), 6).alias("distance"))
     same = sets.where("copies > 1").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("distance"))
