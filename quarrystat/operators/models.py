@@ -6,9 +6,10 @@ import itertools
 import math
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans, LDA
+import numpy as np
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from quarrystat.operators.graph import _supply, core_numbers, pagerank
+from quarrystat.operators.topics import indexed, lda, vocabulary
 from quarrystat.plans.registry import register
 from quarrystat.plans.scratch import materialize
 
@@ -171,12 +173,10 @@ def _loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("topic_model_lda")
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading terms of five topics over whole texts: each iteration reads every document, with its 262,144 commonest words at most."""
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.split(F.lower("text"), r"\W+").alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY).fit(words)
-    rows = materialize(counts.transform(words).select("features"), "counts")  # five iterations read it
-    model = LDA(k=5, maxIter=5, seed=1, optimizer="online", subsamplingRate=1.0).fit(rows)
-    terms = counts.vocabulary
-    found = [(r.topic, " ".join(terms[i] for i in r.termIndices)) for r in model.describeTopics(6).collect()]
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("text")
+    terms = vocabulary(texts, VOCABULARY)
+    weights = lda(materialize(indexed(texts, terms), "counts"), len(terms), k=5, rounds=5, seed=1)  # five rounds read it
+    found = [(k, " ".join(terms[int(i)].as_py() for i in np.argsort(-weights[:, k], kind="stable")[:6])) for k in range(5)]
     return spark.createDataFrame(found, "topic int, terms string")
 
 
