@@ -79,3 +79,14 @@ def test_bootstrap_draws(spark):
     w = spark.range(20000).select(*[models._poisson(F.xxhash64(F.lit(i), "id")).alias(f"w{i}") for i in (0, 1)])
     got = w.selectExpr("avg(w0) a", "var_pop(w0) v", "avg(CAST(w0 = 0 AS INT)) z", "corr(w0, w1) c").first()
     assert got.a == pytest.approx(1, abs=0.03) and got.v == pytest.approx(1, abs=0.05) and got.z == pytest.approx(0.36788, abs=0.015) and abs(got.c) < 0.03
+
+
+def test_k_core_tasks_hold_some_pairs(spark, monkeypatch):
+    """Pairs were once dealt to as many tasks as the session has, so a task grew with the graph."""
+    monkeypatch.setattr(graph, "TASK", 500)
+    edges = spark.range(4000).select((F.col("id") % 400).alias("src"), (F.col("id") + 400).alias("dst")).repartition(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    both = graph.undirected(edges)
+    sizes = [r["count"] for r in both.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 1000
+    assert graph.k_core(edges.unionByName(spark.createDataFrame([(5, 6), (6, 7), (5, 7)], "src long, dst long")), 2).count() == 3
