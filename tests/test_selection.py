@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystat.plans import plan, selection
+from quarrystat.plans.registry import oracle_sql, queries
 from quarrystat.plans.selection import quantiles
 
 WANTED = {"q0": ("v", 0.0), "q1": ("v", 0.1), "med": ("v", 0.5), "p95": ("v", 0.95), "top": ("v", 1.0), "w": ("w * 2", 0.5), "none": ("CASE WHEN k = 'a' THEN v END", 0.3)}
@@ -61,3 +63,17 @@ def test_plans_keep_no_group_in_a_buffer(spark):
         assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
         want = df.groupBy(*keys).agg(F.round(F.percentile("v", 0.995), 5).alias("a"), (F.max("v") / F.percentile("v", 0.5)).alias("b"), F.count("*").alias("n"))
         assert [tuple(map(pytest.approx, r)) for r in sorted(want.collect())] == [tuple(r) for r in sorted(got.collect())]
+
+
+@pytest.mark.parametrize("name", ["robust_covariance_outliers"])
+def test_queries_on_all_line_items_narrow_their_ranges(spark, sf, monkeypatch, name):
+    """The limit of all distances once lay in one task's buffer; the ranges hold a few of the values."""
+    monkeypatch.setattr(selection, "WHOLE", 1000)
+    monkeypatch.setattr(selection, "ACCURACY", 1000)
+    df = queries()[name](spark, sf)
+    assert "percentile(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({oracle_sql()[name]})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) or [tuple(map(pytest.approx, r)) for r in want] == got
