@@ -65,9 +65,9 @@ def test_plans_keep_no_group_in_a_buffer(spark):
         assert [tuple(map(pytest.approx, r)) for r in sorted(want.collect())] == [tuple(r) for r in sorted(got.collect())]
 
 
-@pytest.mark.parametrize("name", ["robust_covariance_outliers"])
+@pytest.mark.parametrize("name", ["robust_covariance_outliers", "quantile_regression_duration"])
 def test_queries_on_all_line_items_narrow_their_ranges(spark, sf, monkeypatch, name):
-    """The limit of all distances once lay in one task's buffer; the ranges hold a few of the values."""
+    """The limit of all distances, and the prices of a flag, once lay in one task's buffer; the ranges hold a few of the values."""
     monkeypatch.setattr(selection, "WHOLE", 1000)
     monkeypatch.setattr(selection, "ACCURACY", 1000)
     df = queries()[name](spark, sf)
