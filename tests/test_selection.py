@@ -77,3 +77,14 @@ def test_queries_on_all_line_items_narrow_their_ranges(spark, sf, monkeypatch, n
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({oracle_sql()[name]})").fetchall()
     got = [tuple(r) for r in df.collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) or [tuple(map(pytest.approx, r)) for r in want] == got
+
+
+def test_rows_are_told_apart_without_a_function(spark):
+    """Each row's array of ranges once went through a lambda function, one row at a time outside of compiled code."""
+    df = spark.range(30_000).selectExpr("id % 2 AS k", "CAST(xxhash64(id) AS DOUBLE) AS v")
+    for keys, wanted in (([], {"a": ("v", 0.9)}), (["k"], {"a": ("v", 0.9), "b": ("v", 0.5)})):
+        got = selection.with_quantiles(df, keys, wanted, {"n": "count(*)"})
+        plan_ = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan_ and ("Generate" in plan_) == (len(wanted) > 1)
+        want = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile("v", p).alias(n) for n, (_, p) in wanted.items()])
+        assert [tuple(map(pytest.approx, r)) for r in sorted(want.collect())] == [tuple(r) for r in sorted(got.select(want.columns).collect())]
